@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rotorwatch.config import DEFAULTS, Settings
 from rotorwatch.functions.times import from_micros, micros
+from rotorwatch.operators.mapping import one_per_device
 from rotorwatch.operators.quantiles import exact_percentiles
 
 _DAY = 86_400_000_000
@@ -129,7 +130,7 @@ def detect_baseline(df: DataFrame, top_n: int | None = None, key="device_id", cf
 
 def manual_baseline(df: DataFrame, device_dim: DataFrame) -> DataFrame:
     """Rows inside the period given by hand for their machine, both ends included."""
-    given = device_dim.where(
+    given = one_per_device(device_dim).where(
         F.col("train_start").isNotNull() & F.col("train_end").isNotNull()
     ).select("devicename", "train_start", "train_end")
     return df.join(given, "devicename").where(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rotorwatch.config import DEFAULTS, Settings
 from rotorwatch.functions.scoring import alert_level, trend_label
 from rotorwatch.functions.times import from_micros, micros
+from rotorwatch.operators.mapping import map_devices
 from rotorwatch.operators.quantiles import exact_percentiles
 
 
@@ -100,8 +101,8 @@ def daily_fleet_average(daily: DataFrame, days: int = 60) -> DataFrame:
     fleet = daily.groupBy("date").agg(
         F.round(F.avg("avg_score"), 2).alias("avg_score"), F.count("avg_score").alias("n_devices")
     )
-    last = fleet.agg(F.date_add(F.max("date"), -(days - 1)).alias("_from"))
-    return fleet.join(last, F.col("date") >= F.col("_from")).drop("_from")
+    first_day = fleet.agg(F.date_add(F.max("date"), -(days - 1)))
+    return fleet.where(F.col("date") >= first_day.scalar())
 
 
 def fleet_ranking(stats: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def health_summary(df: DataFrame, recent_days: int = 30, score="HealthScore", ke
     )
 
 
-def device_records(scored: DataFrame, baseline: DataFrame, device_dim: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+def device_records(scored: DataFrame, baseline: DataFrame, device_dim: DataFrame) -> DataFrame:
     """Per measuring point: machine, latest score, baseline dates, row count."""
     known = F.when(F.col("health_score").isNotNull(), F.struct("datetime", "row_id"))
     latest = scored.groupBy("device_id", "devicename", "position").agg(
@@ -128,12 +129,7 @@ def device_records(scored: DataFrame, baseline: DataFrame, device_dim: DataFrame
     base = baseline.groupBy("device_id").agg(
         F.to_date(F.min("datetime")).alias("baseline_start"), F.to_date(F.max("datetime")).alias("baseline_end")
     )
-    dim = device_dim.select("devicename", "machine_id", "model_group")
-    return (
-        latest.join(base, "device_id").join(dim, "devicename", "left")
-        .withColumn("machine_id", F.coalesce("machine_id", "devicename"))
-        .withColumn("model_group", F.coalesce("model_group", F.lit("")))
-    )
+    return map_devices(latest.join(base, "device_id"), device_dim).drop("tagname")
 
 
 def device_summary(records: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:

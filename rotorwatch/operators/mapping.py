@@ -10,9 +10,16 @@ from rotorwatch.functions.scoring import contains_any
 from rotorwatch.operators.asof import asof_nearest
 
 
+def one_per_device(device_dim: DataFrame) -> DataFrame:
+    """One row per device name; of repeated names the last in file order counts."""
+    rest = [c for c in device_dim.columns if c != "devicename"]
+    last = F.max_by(F.struct(*rest), "row_no").alias("_r")
+    return device_dim.groupBy("devicename").agg(last).select("devicename", "_r.*")
+
+
 def map_devices(df: DataFrame, device_dim: DataFrame) -> DataFrame:
     """Add tag, machine and model group; the machine defaults to the device name."""
-    dim = device_dim.select("devicename", "tagname", "machine_id", "model_group")
+    dim = one_per_device(device_dim).select("devicename", "tagname", "machine_id", "model_group")
     return (
         df.join(dim, "devicename", "left")
         .withColumn("machine_id", F.coalesce("machine_id", "devicename"))
@@ -98,7 +105,7 @@ def asof_current(
     cfg: Settings = DEFAULTS,
 ) -> DataFrame:
     """Vibration rows with ``current_A`` of the device's own current tag."""
-    tags = device_dim.select("devicename", "tagname")
+    tags = one_per_device(device_dim).select("devicename", "tagname")
     rows = vib.join(tags, "devicename", "left")
     right = current.select("tagname", "datetime", "row_id", F.col("value").alias("current_A"))
     out = asof_nearest(rows, right, ["tagname"], ["current_A"], tolerance_s, right_order="row_id", cfg=cfg)
@@ -120,7 +127,7 @@ def alignment_status(vib: DataFrame, current: DataFrame, device_dim: DataFrame)
     span = vib.groupBy("device_id", "devicename").agg(
         F.min("datetime").alias("_v0"), F.max("datetime").alias("_v1")
     )
-    tags = device_dim.select("devicename", "tagname")
+    tags = one_per_device(device_dim).select("devicename", "tagname")
     readings = current.groupBy("tagname").agg(F.min("datetime").alias("_c0"), F.max("datetime").alias("_c1"))
     empty = current.agg((F.count("*") == 0).alias("_empty"))  # one row
     overlap = (F.col("_v1") >= F.col("_c0")) & (F.col("_c1") >= F.col("_v0"))
