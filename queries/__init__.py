@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("inputs", "rows", "telemetry", "joins")
+MODULES = ("inputs", "rows", "telemetry", "joins", "health", "reports", "files")
 
 
 def load_all() -> None:

@@ -33,6 +33,12 @@ STEPS["exported_all"] = asof_wide_sql("spikeless")
 STEPS["merged"] = asof_wide_sql("cleaned")
 
 
+def spikeless_with_telemetry(spark, sf):
+    rows = clean.filter_spikes(clean.derive_features(i.vib(spark, sf)))
+    wide = telemetry.pivot_scada(i.telemetry(spark, sf), i.tag_dim(spark, sf), list(_VARS))
+    return mapping.asof_scada_wide(rows, wide, i.TOLERANCE_S)
+
+
 @query("asof_current", f"SELECT row_id, device_id, {r('current_A')} AS current_A FROM aligned")
 def asof_current(spark, sf):
     return rounded(aligned_raw(spark, sf).select("row_id", "device_id", "current_A"), "current_A")
@@ -41,9 +47,7 @@ def asof_current(spark, sf):
 @query("asof_scada_wide", f"""
 SELECT row_id, device_id, {', '.join(f'{r(chr(34) + v + chr(34))} AS "{v}"' for v in _VARS)} FROM exported_all""")
 def asof_wide(spark, sf):
-    rows = clean.filter_spikes(clean.derive_features(i.vib(spark, sf)))
-    wide = telemetry.pivot_scada(i.telemetry(spark, sf), i.tag_dim(spark, sf), list(_VARS))
-    df = mapping.asof_scada_wide(rows, wide, i.TOLERANCE_S)
+    df = spikeless_with_telemetry(spark, sf)
     return rounded(df.select("row_id", "device_id", *_VARS), *_VARS)
 
 

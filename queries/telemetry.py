@@ -161,10 +161,9 @@ SELECT device_id, n_pre, n_post, {r('sp_pre')} AS sp_pre, {r('sp_post')} AS sp_p
  {r('CASE WHEN n_post > 0 AND sp_pre > 0 THEN (flow_post / sp_pre - kwh_post) * 3.5e0 END', 4)} AS cost_saved
 FROM energy_cmp""")
 def energy_cmp(spark, sf):
-    daily_rows = _power(spark, sf)
-    cut = energy.energy_split(daily_rows, i.maintenance(spark, sf))
-    df = energy.energy_before_after(daily_rows, cut, price=3.5)
-    df = rounded(df, "sp_pre", "sp_post", "runhr_pre", "runhr_post", "improve_pct")
+    report = specific_power.energy_report(
+        i.counters(spark, sf), i.tag_dim(spark, sf), i.maintenance(spark, sf), price=3.5)
+    df = rounded(report.comparison, "sp_pre", "sp_post", "runhr_pre", "runhr_post", "improve_pct")
     return df.withColumn("kwh_saved", F.round("kwh_saved", 4)).withColumn("cost_saved", F.round("cost_saved", 4))
 
 
@@ -173,17 +172,16 @@ SELECT device_id, {r('runhr_pre')} AS runhr_pre, {r('runhr_post')} AS runhr_post
  {r('abs(runhr_pre - runhr_post)')} AS runhr_diff, abs(runhr_pre - runhr_post) > 1 AS confounded
 FROM energy_cmp WHERE runhr_pre IS NOT NULL AND runhr_post IS NOT NULL""")
 def confound(spark, sf):
-    daily_rows = _power(spark, sf)
-    cut = energy.energy_split(daily_rows, i.maintenance(spark, sf))
-    df = energy.run_hours_confound(energy.energy_before_after(daily_rows, cut))
-    return rounded(df, "runhr_pre", "runhr_post", "runhr_diff")
+    report = specific_power.energy_report(
+        i.counters(spark, sf), i.tag_dim(spark, sf), i.maintenance(spark, sf))
+    return rounded(energy.run_hours_confound(report.comparison), "runhr_pre", "runhr_post", "runhr_diff")
 
 
 @query("union_dates", """
 SELECT DISTINCT t.device_id, d.date FROM tag_daily d JOIN role_tag t USING (tagname)""")
 def dates(spark, sf):
-    tags = energy.role_tags(i.tag_dim(spark, sf))
-    daily_rows = telemetry.counter_daily_sum(i.counters(spark, sf)).join(tags, "tagname")
+    used = i.counters(spark, sf).drop("device_id").join(energy.role_tags(i.tag_dim(spark, sf)), "tagname")
+    daily_rows = telemetry.counter_daily_sum(used, ("device_id", "role", "tagname"))
     return energy.union_dates(*[daily_rows.where(F.col("role") == x) for x in energy.ROLES])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorwatch.config import DEFAULTS, ENERGY_WORDS, FLOW_WORDS, RUN_HOUR_WORDS, Settings
@@ -13,16 +13,17 @@ from rotorwatch.operators.telemetry import counter_daily_sum
 ROLES = {"kwh": ENERGY_WORDS, "flow": FLOW_WORDS, "run": RUN_HOUR_WORDS}
 
 
-def resolve_variable_by_keyword(tag_dim: DataFrame, roles=None) -> DataFrame:
-    """First variable of each device, in mapping order, whose name fits a role."""
-    roles = roles or ROLES
+def _with_roles(tag_dim: DataFrame, roles=None) -> DataFrame:
     fits = F.array(*[
-        F.when(contains_any("variable_type", words), F.lit(role)) for role, words in roles.items()
+        F.when(contains_any("variable_type", words), F.lit(role)) for role, words in (roles or ROLES).items()
     ])
-    return (
-        tag_dim.withColumn("role", F.explode(F.array_compact(fits)))
-        .groupBy("device_id", "role")
-        .agg(F.min_by("variable_type", "row_no").alias("variable_type"))
+    return tag_dim.withColumn("role", F.explode(F.array_compact(fits)))
+
+
+def resolve_variable_by_keyword(tag_dim: DataFrame, roles=None) -> DataFrame:
+    """First variable of each device, in mapping order, whose name fits a role."""
+    return _with_roles(tag_dim, roles).groupBy("device_id", "role").agg(
+        F.min_by("variable_type", "row_no").alias("variable_type")
     )
 
 
@@ -34,25 +35,23 @@ def first_tag_for_variable(tag_dim: DataFrame) -> DataFrame:
 
 
 def role_tags(tag_dim: DataFrame) -> DataFrame:
-    """Tags by role, for devices that have both an energy and a flow counter."""
-    tags = resolve_variable_by_keyword(tag_dim).join(
-        first_tag_for_variable(tag_dim).select("device_id", "variable_type", "tagname"),
-        ["device_id", "variable_type"],
-    ).select("device_id", "role", "tagname")
-    whole = tags.groupBy("device_id").agg(
-        F.count_if(F.col("role").isin("kwh", "flow")).alias("_n")
-    ).where(F.col("_n") == 2)
-    return tags.join(whole, "device_id", "left_semi")
+    """Tags by role, for devices that have both an energy and a flow counter.
+
+    The first tag of the first fitting variable is the first fitting mapping row.
+    """
+    tags = _with_roles(tag_dim).groupBy("device_id", "role").agg(
+        F.min_by("tagname", "row_no").alias("tagname")
+    )
+    needed = F.count_if(F.col("role").isin("kwh", "flow")).over(Window.partitionBy("device_id"))
+    return tags.withColumn("_n", needed).where(F.col("_n") == 2).drop("_n")  # three rows a device
 
 
 def outer_join_daily(counters: DataFrame, tags: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """One row per device and day that any of its counters reports, one column
     per role. Increments are taken on each tag's own clock before days are joined."""
-    daily = counter_daily_sum(
-        counters.drop("device_id").join(tags.select("tagname").distinct(), "tagname", "left_semi"), cfg=cfg
-    )
+    used = counters.drop("device_id").join(tags, "tagname")
     return (
-        daily.join(tags, "tagname")
+        counter_daily_sum(used, ("device_id", "role", "tagname"), cfg=cfg)
         .groupBy("device_id", "date")
         .pivot("role", list(ROLES))
         .agg(F.max("total"))

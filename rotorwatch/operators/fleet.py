@@ -98,8 +98,10 @@ def daily_device_scores(df: DataFrame, score="HealthScore", key="device_id") ->
 def daily_fleet_average(daily: DataFrame, days: int = 60) -> DataFrame:
     """Mean of the machines' daily means for the last ``days`` days of the data;
     every machine weighs the same."""
+    # The daily means have two decimals; decimal sums do not depend on row order.
+    mean = F.avg(F.col("avg_score").cast("decimal(18,2)"))
     fleet = daily.groupBy("date").agg(
-        F.round(F.avg("avg_score"), 2).alias("avg_score"), F.count("avg_score").alias("n_devices")
+        F.round(mean, 2).cast("double").alias("avg_score"), F.count("avg_score").alias("n_devices")
     )
     first_day = fleet.agg(F.date_add(F.max("date"), -(days - 1)))
     return fleet.where(F.col("date") >= first_day.scalar())

@@ -35,40 +35,40 @@ def pivot_scada(long: DataFrame, tag_dim: DataFrame, variables: list[str] | None
     )
 
 
-def counter_delta(long: DataFrame, key="tagname", order=TIME_ORDER, cfg: Settings = DEFAULTS) -> DataFrame:
+def counter_delta(long: DataFrame, keys=("tagname",), order=TIME_ORDER, cfg: Settings = DEFAULTS) -> DataFrame:
     """Increment to the previous reading of the same tag; a reset gives NULL."""
-    out = with_previous(long, [key], ["value"], order, cfg=cfg)
+    out = with_previous(long, keys, ["value"], order, cfg=cfg)
     raw = F.col("value") - F.col("prev_value")
     return out.withColumn("delta", F.when(raw >= 0, raw)).withColumn("is_reset", F.coalesce(raw < 0, F.lit(False)))
 
 
-def counter_resets(long: DataFrame, key="tagname", order=TIME_ORDER, cfg: Settings = DEFAULTS) -> DataFrame:
-    deltas = counter_delta(long, key, order, cfg)
-    return deltas.groupBy(key).agg(
+def counter_resets(long: DataFrame, keys=("tagname",), order=TIME_ORDER, cfg: Settings = DEFAULTS) -> DataFrame:
+    deltas = counter_delta(long, keys, order, cfg)
+    return deltas.groupBy(*keys).agg(
         F.count("*").alias("n_rows"), F.count_if("is_reset").alias("n_resets")
     )
 
 
 def counter_daily_sum(long: DataFrame, keys=("tagname",), order=TIME_ORDER, cfg: Settings = DEFAULTS) -> DataFrame:
     """Sum of increments per day; a day without any increment gives NULL."""
-    deltas = counter_delta(long, "tagname", order, cfg)
+    deltas = counter_delta(long, keys, order, cfg)
     return deltas.groupBy(*keys, F.to_date("datetime").alias("date")).agg(F.sum("delta").alias("total"))
 
 
 def detect_gaps(
-    long: DataFrame, key="tagname", order=TIME_ORDER,
+    long: DataFrame, keys=("tagname",), order=TIME_ORDER,
     interval_min: float | None = None, factor: float | None = None, cfg: Settings = DEFAULTS,
 ) -> DataFrame:
     """Silent periods of each tag, longer than interval x factor."""
     limit = (interval_min or cfg.gap_interval_min) * (factor or cfg.gap_factor)
     rows = long.where(F.col("datetime").isNotNull())
-    steps = with_previous(rows, [key], ["datetime"], order, cfg=cfg)
+    steps = with_previous(rows, keys, ["datetime"], order, cfg=cfg)
     minutes = seconds_between("prev_datetime", "datetime") / 60.0
     return (
         steps.withColumn("_m", minutes)
         .where(F.col("_m") > limit)
         .select(
-            key, F.col("prev_datetime").alias("gap_start"), F.col("datetime").alias("gap_end"),
+            *keys, F.col("prev_datetime").alias("gap_start"), F.col("datetime").alias("gap_end"),
             F.bround(F.col("_m") / 60.0, 2).alias("gap_hours"),
         )
     )

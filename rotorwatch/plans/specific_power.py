@@ -16,6 +16,7 @@ from rotorwatch.operators.energy import (
     role_tags,
 )
 from rotorwatch.operators.telemetry import detect_gaps
+from rotorwatch.session import materialize
 
 
 class EnergyReport(NamedTuple):
@@ -26,9 +27,8 @@ class EnergyReport(NamedTuple):
 
 def energy_gaps(counters: DataFrame, tag_dim: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Gaps of the counters in use, each tag on its own clock."""
-    tags = role_tags(tag_dim)
-    used = counters.drop("device_id").join(tags.select("tagname").distinct(), "tagname", "left_semi")
-    return detect_gaps(used, cfg=cfg).join(tags, "tagname").select(
+    used = counters.drop("device_id").join(role_tags(tag_dim), "tagname")
+    return detect_gaps(used, ("device_id", "role", "tagname"), cfg=cfg).select(
         "device_id", F.col("role").alias("tag"), "gap_start", "gap_end", "gap_hours"
     )
 
@@ -37,6 +37,9 @@ def energy_report(
     counters: DataFrame, tag_dim: DataFrame, events: DataFrame, price: float | None = None,
     cfg: Settings = DEFAULTS,
 ) -> EnergyReport:
-    daily = daily_specific_power(outer_join_daily(counters, role_tags(tag_dim), cfg))
+    # One row per device and day; read by the split, the medians and the caller.
+    daily = materialize(
+        daily_specific_power(outer_join_daily(counters, role_tags(tag_dim), cfg)), "energy-days"
+    )
     comparison = energy_before_after(daily, energy_split(daily, events), price, cfg)
     return EnergyReport(daily, energy_gaps(counters, tag_dim, cfg), comparison)

@@ -1,0 +1 @@
+"""CSV readers with header and encoding repair, and table writers."""

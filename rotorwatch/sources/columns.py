@@ -18,6 +18,10 @@ LAYOUTS = (
     "yyyy-M-d'T'H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
     "yyyy-M-d H:m",
     "yyyy-M-d",
+    "yyyy-M-d h:m:s a",
+    "M-d-yyyy H:m:s",
+    "M-d-yyyy H:m",
+    "M-d-yyyy",
 )
 YEARS = (2020, 2030)
 
