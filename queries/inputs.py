@@ -25,7 +25,7 @@ CASE WHEN user_id % 2 = 0 THEN 'M1' ELSE 'M2' END AS position,
 4e-1 + (event_id % 5) * 3e-2 AS velRMS_z,
 8e-1 + (event_id % 13) * 5e-2 AS velRMS,
 9e-1 + (event_id % 17) * 5e-2 AS velOA,
-(8e-1 + (event_id % 13) * 5e-2) * (2e0 + value * (1 + 4 * (user_id % 3) * (user_id % 3)) / 2e2) AS velPEAK,
+(8e-1 + (event_id % 13) * 5e-2) * (2e0 + value * (1 + 4 * (user_id % 3) * (user_id % 3)) / 2.0007e2) AS velPEAK,
 2e-1 + value / 4.0007e2 AS accRMS,
 3e-1 + value * (1 + 4 * (user_id % 3) * (user_id % 3)) / 2.0003e3 + (event_id % 19) * 2e-3 AS accOA,
 CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 23 = 0 THEN 0e0
