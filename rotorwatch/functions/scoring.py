@@ -25,7 +25,7 @@ def total_vrms(x="velRMS_x", y="velRMS_y", z="velRMS_z") -> Column:
 
 
 def crest_factor(peak="velPEAK", rms="velRMS") -> Column:
-    return _c(peak) / (_c(rms) + F.lit(1e-6))
+    return F.try_divide(_c(peak), _c(rms) + F.lit(1e-6))
 
 
 def mahalanobis(features: list, mean, cov_inv) -> Column:
@@ -93,6 +93,15 @@ def period_label(ts, split) -> Column:
     return F.when(_c(ts) < _c(split), "before").otherwise("after")
 
 
+def pearson(x, y) -> Column:
+    """Correlation aggregate over rows where both are known; NULL for a constant
+    side, where the built-in one fails under ANSI rules."""
+    x, y = _c(x), _c(y)
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def contains_any(name, words) -> Column:
     """True when the lower-cased name contains one of the words."""
     low = F.lower(_c(name))

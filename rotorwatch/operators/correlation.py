@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from rotorwatch.config import DEFAULTS, Settings
+from rotorwatch.functions.scoring import pearson
 from rotorwatch.operators.quantiles import average_ranks
 
 
@@ -38,14 +39,14 @@ def correlation_matrix(df: DataFrame, xs, ys, key="device_id", cfg: Settings = D
     ranked = long.join(rank_x, [*pair, "x"]).join(rank_y, [*pair, "y"])
     out = ranked.groupBy(*pair).agg(
         F.count("*").alias("n_samples"),
-        F.corr("x", "y").alias("_p"), F.corr("rx", "ry").alias("_s"),
+        pearson("x", "y").alias("_p"), pearson("rx", "ry").alias("_s"),
         F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy"),
     )
     sigma = cfg.constant_sigma
     return (
         out.where(
             (F.col("n_samples") >= cfg.corr_min_rows) & (F.col("_sx") >= sigma) & (F.col("_sy") >= sigma)
-            & F.col("_p").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_p") & ~F.isnan("_s")
+            & F.col("_p").isNotNull() & F.col("_s").isNotNull()
         )
         .select(*pair, F.round("_p", 4).alias("pearson_r"), F.round("_s", 4).alias("spearman_r"), "n_samples",
                 F.col("_p").alias("pearson_raw"), F.col("_s").alias("spearman_raw"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotorwatch.config import DEFAULTS, Settings
+from rotorwatch.functions.scoring import pearson
 from rotorwatch.operators.baseline import variation
 from rotorwatch.operators.model import _chosen_value, model_by_machine
 from rotorwatch.operators.quantiles import exact_percentiles
@@ -83,8 +84,7 @@ def score_feature_corr(scored: DataFrame, key="device_id", cfg: Settings = DEFAU
     aggs = []
     for f in features:
         both = F.col("health_score").isNotNull() & F.col(f).isNotNull()
-        r = F.corr(F.when(both, F.col("health_score")), F.when(both, F.col(f)))
-        aggs.append(F.struct(F.count_if(both).alias("n"), r.alias("r")).alias(f))
+        aggs.append(F.struct(F.count_if(both).alias("n"), pearson("health_score", f).alias("r")).alias(f))
     wide = scored.groupBy(key).agg(*aggs)
     out = wide.unpivot(key, features, "feature", "s").select(
         key, "feature", F.col("s.n").alias("n"), F.col("s.r").alias("r")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rotorwatch.config import DEFAULTS, DISPLAY_METRICS, Settings
-from rotorwatch.functions.scoring import period_label
+from rotorwatch.functions.scoring import pearson, period_label
 from rotorwatch.operators.quantiles import exact_percentiles
 from rotorwatch.operators.series import TIME_ORDER, with_position
 
@@ -75,7 +75,7 @@ def _fit(x, y):
         F.count("*").alias("n"),
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
-        F.corr(x, y).alias("r"),
+        pearson(x, y).alias("r"),
         F.stddev_pop(x).alias("_sx"),
     ]
 
