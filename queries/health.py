@@ -277,8 +277,7 @@ def fallback(spark, sf):
 SELECT row_id, device_id, load_bin, {r('health_score', 4)} AS health_score, alert_level,
  {r('health_score_smooth', 4)} AS health_score_smooth FROM scored""")
 def predicted(spark, sf):
-    run = scoring(spark, sf)
-    df = model.predict_scores(run.rows, run.model)
+    df = scoring(spark, sf).predicted
     return df.select("row_id", "device_id", "load_bin", F.round("health_score", 4).alias("health_score"),
                      "alert_level", F.round("health_score_smooth", 4).alias("health_score_smooth"))
 
@@ -294,7 +293,7 @@ def latest(spark, sf):
 @query("semi_join_baseline", "SELECT row_id FROM flagged WHERE is_baseline")
 def in_baseline(spark, sf):
     run = scoring(spark, sf)
-    return diagnosis.baseline_flag(run.scored, run.baseline).where("is_baseline").select("row_id")
+    return diagnosis.baseline_flag(scoring(spark, sf).scored, run.baseline).where("is_baseline").select("row_id")
 
 
 @query("baseline_average_score", f"""
@@ -302,7 +301,7 @@ SELECT device_id, {r('avg(health_score)', 4)} AS baseline_avg, avg(health_score)
 FROM flagged WHERE is_baseline GROUP BY 1""")
 def base_avg(spark, sf):
     run = scoring(spark, sf)
-    df = diagnosis.baseline_average_score(run.scored, run.baseline)
+    df = diagnosis.baseline_average_score(scoring(spark, sf).scored, run.baseline)
     return df.withColumn("baseline_avg", F.round("baseline_avg", 4))
 
 
@@ -318,7 +317,7 @@ SELECT machine_id, max(model_group) AS model_group,
  CAST(sum(data_count) AS BIGINT) AS data_count FROM records GROUP BY 1""")
 def machines(spark, sf):
     run = scoring(spark, sf)
-    return fleet.device_summary(fleet.device_records(run.scored, run.baseline, i.device_dim(spark, sf)))
+    return fleet.device_summary(fleet.device_records(scoring(spark, sf).scored, run.baseline, i.device_dim(spark, sf)))
 
 
 @query("bin_range_check", f"""
@@ -329,7 +328,7 @@ FROM (SELECT *, CASE bin_col WHEN '頻率' THEN "頻率" WHEN 'current_A' THEN c
 WHERE edges IS NOT NULL GROUP BY 1, 2""")
 def ranges(spark, sf):
     run = scoring(spark, sf)
-    df = diagnosis.bin_range_check(run.scored, run.model)
+    df = diagnosis.bin_range_check(scoring(spark, sf).scored, run.model)
     return rounded(df, "trained_min", "trained_max", "scored_min", "scored_max")
 
 
@@ -353,7 +352,7 @@ SELECT device_id, load_bin, {r('a0')} AS accOA_baseline, {r('a1')} AS accOA_rece
 FROM drifted WHERE a0 IS NOT NULL AND a1 IS NOT NULL""")
 def drift(spark, sf):
     run = scoring(spark, sf)
-    df = diagnosis.bin_drift(diagnosis.baseline_flag(run.scored, run.baseline))
+    df = diagnosis.bin_drift(diagnosis.baseline_flag(scoring(spark, sf).scored, run.baseline))
     return rounded(df, "accOA_baseline", "accOA_recent", "current_baseline", "current_recent", "ratio")
 
 

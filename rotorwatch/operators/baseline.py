@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rotorwatch.config import DEFAULTS, Settings
 from rotorwatch.functions.times import from_micros, micros
 from rotorwatch.operators.mapping import one_per_device
-from rotorwatch.operators.quantiles import exact_percentiles
+from rotorwatch.operators.quantiles import exact_percentiles, is_hot
 
 _DAY = 86_400_000_000
 CANDIDATE_COLUMNS = (
@@ -62,6 +62,7 @@ def window_stability(df: DataFrame, key="device_id", cfg: Settings = DEFAULTS) -
     few = lambda c, v: F.when(F.col(f"n_{c}") >= 2, v)
     stats = exact_percentiles(
         members, group, {"_acc": ("accOA", 0.5), "_vrms": ("Total_vRMS", 0.5)}, cfg,
+        hot=is_hot(narrow, [key], cfg),
         extra=[
             F.count("*").alias("n_rows"),
             *[F.count(c).alias(f"n_{c}") for c in cfg.features],

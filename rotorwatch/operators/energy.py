@@ -53,12 +53,10 @@ def outer_join_daily(counters: DataFrame, tags: DataFrame, cfg: Settings = DEFAU
     return (
         counter_daily_sum(used, ("device_id", "role", "tagname"), cfg=cfg)
         .groupBy("device_id", "date")
-        .pivot("role", list(ROLES))
-        .agg(F.max("total"))
-        .select(
-            "device_id", "date", F.col("kwh").alias("kwh_sum"), F.col("flow").alias("flow_sum"),
-            F.col("run").alias("running_hours"),
-        )
+        .agg(*[
+            F.max(F.when(F.col("role") == role, F.col("total"))).alias(name)
+            for role, name in (("kwh", "kwh_sum"), ("flow", "flow_sum"), ("run", "running_hours"))
+        ])
     )
 
 

@@ -20,6 +20,12 @@ def largest_group(df: DataFrame, keys) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
+def is_hot(df: DataFrame, keys, cfg: Settings = DEFAULTS) -> bool:
+    """Whether a group is too large for one task. Groups nested in ``keys`` are
+    smaller, so one check covers them."""
+    return largest_group(df, keys) > cfg.hot_group_rows
+
+
 def cut_points(df: DataFrame, keys, value: str, cfg: Settings = DEFAULTS) -> DataFrame:
     """Approximate quantiles per group as an array of bounded length."""
     steps = [i / cfg.split_cuts for i in range(1, cfg.split_cuts)]
@@ -42,7 +48,7 @@ def exact_percentiles(
     """
     keys = list(keys)
     if hot is None:
-        hot = largest_group(df, keys) > cfg.hot_group_rows
+        hot = is_hot(df, keys, cfg)
     if not hot:
         return df.groupBy(*keys).agg(
             *extra, *[F.percentile(c, p).alias(name) for name, (c, p) in wanted.items()]
@@ -114,7 +120,7 @@ def average_ranks(
     keys = list(keys)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     if hot is None:
-        hot = largest_group(counted, keys) > cfg.hot_group_rows
+        hot = is_hot(counted, keys, cfg)
     if not hot:
         run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         upto = F.sum("_c").over(run)

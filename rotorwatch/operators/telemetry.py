@@ -26,12 +26,13 @@ def pivot_scada(long: DataFrame, tag_dim: DataFrame, variables: list[str] | None
     """One row per device and timestamp, one column per variable; readings of one
     variable at one timestamp are averaged, empty readings ignored."""
     variables = variables or variable_types(tag_dim)
+    # Conditional averages need one shuffle where pivot() needs two.
+    of = lambda v: F.avg(F.when(F.col("variable_type") == v, F.col("value"))).alias(v)
     return (
         map_tags(long, tag_dim)
         .where(F.col("value").isNotNull())
         .groupBy("device_id", "datetime")
-        .pivot("variable_type", variables)
-        .agg(F.avg("value"))
+        .agg(*[of(v) for v in variables])
     )
 
 

@@ -11,7 +11,7 @@ from rotorwatch.operators.baseline import baseline_slice, detect_baseline
 from rotorwatch.operators.clean import derive_features, filter_running, filter_spikes, smooth_features
 from rotorwatch.operators.fleet import device_records, device_summary
 from rotorwatch.operators.mapping import asof_current, asof_scada_wide
-from rotorwatch.operators.model import predict_scores, train_model
+from rotorwatch.operators.model import predict_scores, score_rows, train_model
 from rotorwatch.operators.telemetry import pivot_scada
 from rotorwatch.session import materialize
 
@@ -21,7 +21,7 @@ class Scoring(NamedTuple):
     candidates: DataFrame  # ranked baseline periods
     baseline: DataFrame    # rows of the chosen period
     model: DataFrame       # one row per machine and load bin
-    scored: DataFrame      # rows with scores, alerts and smoothed scores
+    scored: DataFrame      # rows with scores, alerts and smoothed scores (lazy)
     records: DataFrame     # one row per measuring point
     summary: DataFrame     # one row per machine
 
@@ -58,6 +58,6 @@ def score_machines(
     candidates = materialize(detect_baseline(rows, cfg=cfg), "candidates")
     baseline = materialize(baseline_slice(rows, candidates, device_dim), "baseline")
     model = materialize(train_model(baseline, cfg=cfg), "model")
-    scored = materialize(predict_scores(rows, model, cfg=cfg), "scored")
-    records = device_records(scored, baseline, device_dim)
+    scored = predict_scores(rows, model, cfg=cfg)
+    records = device_records(score_rows(rows, model, cfg=cfg), baseline, device_dim)
     return Scoring(rows, candidates, baseline, model, scored, records, device_summary(records, cfg))

@@ -18,6 +18,7 @@ from rotorwatch.operators.maintenance import (
 )
 from rotorwatch.operators.mapping import asof_scada_wide
 from rotorwatch.operators.telemetry import pivot_scada
+from rotorwatch.session import materialize
 
 
 def export_rows(
@@ -42,7 +43,9 @@ def export_rows(
 
 def maintenance_report(exported: DataFrame, events: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """The before/after table of every measuring point with an event in range."""
-    inside = maintenance_in_range(exported, events)
-    grouped = with_group_value(exported, resolve_group_column(exported, "current"))
-    binned = effect_binning(label_period(grouped, inside), cfg=cfg)
-    return maintenance_effect(binned, current="current", cfg=cfg)
+    # Both tables are read by a size check, an aggregate and the next step.
+    rows = materialize(exported, "exported")
+    inside = maintenance_in_range(rows, events)
+    grouped = with_group_value(rows, resolve_group_column(rows, "current"))
+    labelled = materialize(label_period(grouped, inside), "labelled")
+    return maintenance_effect(effect_binning(labelled, cfg=cfg), current="current", cfg=cfg)
