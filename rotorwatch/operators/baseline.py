@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rotorwatch.config import DEFAULTS, Settings
 from rotorwatch.functions.times import from_micros, micros
 from rotorwatch.operators.mapping import one_per_device
-from rotorwatch.operators.quantiles import exact_percentiles, is_hot
+from rotorwatch.operators.quantiles import exact_percentiles, is_hot, split_percentiles
 
 _DAY = 86_400_000_000
 CANDIDATE_COLUMNS = (
@@ -22,32 +22,80 @@ def variation(col: str) -> Column:
     return F.stddev_samp(col) / F.nullif(F.avg(col), F.lit(0.0))
 
 
-def sliding_windows(df: DataFrame, key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:
-    """Copy each row into the windows it belongs to.
+def _with_cells(df: DataFrame, key: str, cfg: Settings) -> DataFrame:
+    """Number of the step a row falls into since the machine's first timestamp,
+    and the last window of the machine.
 
-    Windows start at the machine's first timestamp and move by whole steps; the
-    last one may end up to one step after the data. A machine with less data than
-    one window gets a single window over all of it.
+    A window is a run of whole steps, so a row's cell tells all its windows. The
+    last window may end up to one step after the data. A machine with less data
+    than one window has a single window over all of it.
     """
     width, step = cfg.window_days * _DAY, cfg.step_days * _DAY
+    if width % step:
+        raise ValueError("window_days must be a multiple of step_days")
     span = df.groupBy(key).agg(
         micros(F.min("datetime")).alias("_t0"), micros(F.max("datetime")).alias("_t1")
     )
-    age, length = micros("datetime") - F.col("_t0"), F.col("_t1") - F.col("_t0")
-    low = F.greatest(F.lit(0), F.floor((age - width) / step) + 1)
-    high = F.least(F.floor((length + step - width) / step), F.floor(age / step))
-    numbers = F.when(length < width, F.array(F.lit(0).cast("long"))).otherwise(
-        F.when(low <= high, F.sequence(low, high))
-    )
+    length = F.col("_t1") - F.col("_t0")
+    short = length < width
+    last = F.when(short, F.lit(0)).otherwise(F.floor((length + step - width) / step))
+    cell = F.when(short, F.lit(0)).otherwise(F.floor((micros("datetime") - F.col("_t0")) / step))
+    return df.join(span, key).withColumn("_cell", cell.cast("long")).withColumn("_last", last.cast("long"))
+
+
+def _windows_of(df: DataFrame, cfg: Settings) -> DataFrame:
+    """Copy each cell into its windows."""
+    reach = cfg.window_days // cfg.step_days - 1
+    low = F.greatest(F.lit(0).cast("long"), F.col("_cell") - reach)
+    high = F.least(F.col("_last"), F.col("_cell"))
+    return df.withColumn("window_no", F.explode(F.when(low <= high, F.sequence(low, high))))
+
+
+def _with_dates(df: DataFrame, cfg: Settings) -> DataFrame:
+    width, step = cfg.window_days * _DAY, cfg.step_days * _DAY
     start = F.col("_t0") + F.col("window_no") * step
     end = F.when(F.col("_t1") - F.col("_t0") < width, F.col("_t1")).otherwise(start + width)
-    return (
-        df.join(span, key)
-        .withColumn("window_no", F.explode(numbers))
-        .withColumn("start_date", from_micros(start))
-        .withColumn("end_date", from_micros(end))
-        .drop("_t0", "_t1")
+    return df.withColumn("start_date", from_micros(start)).withColumn("end_date", from_micros(end))
+
+
+def sliding_windows(df: DataFrame, key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:
+    """Copy each row into the windows it belongs to, with their dates."""
+    rows = _with_dates(_windows_of(_with_cells(df, key, cfg), cfg), cfg)
+    return rows.drop("_t0", "_t1", "_cell", "_last")
+
+
+def _combined(parts, of):
+    """Mean and sum of squared deviations of a window from those of its cells."""
+    zero = F.lit(0.0)
+    n = F.aggregate(parts, zero, lambda a, x: a + x[f"n_{of}"])
+    total = F.aggregate(parts, zero, lambda a, x: a + F.coalesce(x[f"n_{of}"] * x[f"mean_{of}"], zero))
+    return n, total / F.nullif(n, zero)
+
+
+def _window_moments(cells: DataFrame, key: str, cfg: Settings) -> DataFrame:
+    """Row count, and count and variation of every feature, per window.
+
+    Moments are taken once per cell; a window joins at most its own cells.
+    """
+    per_cell = cells.groupBy(key, "_t0", "_t1", "_last", "_cell").agg(
+        F.count("*").alias("n"),
+        *[x for c in cfg.features for x in (
+            F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"),
+            (F.var_pop(c) * F.count(c)).alias(f"m2_{c}"),
+        )],
+    )
+    body = [f"{s}_{c}" for c in cfg.features for s in ("n", "mean", "m2")]
+    out = _windows_of(per_cell, cfg).groupBy(key, "window_no", "_t0", "_t1").agg(
+        F.sum("n").alias("n_rows"), F.collect_list(F.struct(*body)).alias("_cells")
     )
+    zero = F.lit(0.0)
+    for c in cfg.features:
+        out = out.withColumns(dict(zip((f"n_{c}", f"mean_{c}"), _combined(F.col("_cells"), c))))
+        spread = F.aggregate("_cells", zero, lambda a, x: a + F.coalesce(
+            x[f"m2_{c}"] + x[f"n_{c}"] * F.pow(x[f"mean_{c}"] - F.col(f"mean_{c}"), F.lit(2.0)), zero))
+        std = F.sqrt(spread / F.nullif(F.col(f"n_{c}") - 1, zero))
+        out = out.withColumn(f"cv_{c}", std / F.nullif(F.col(f"mean_{c}"), zero))
+    return out.drop("_cells")
 
 
 def window_stability(df: DataFrame, key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:
@@ -57,18 +105,18 @@ def window_stability(df: DataFrame, key="device_id", cfg: Settings = DEFAULTS) -
         key, "datetime",
         *[(F.col(c) if c in have else F.lit(None).cast("double")).alias(c) for c in cfg.features],
     )
-    group = [key, "window_no", "start_date", "end_date"]
-    members = sliding_windows(narrow, key, cfg)
+    cells = _with_cells(narrow, key, cfg)
+    group = [key, "window_no"]
+    wanted = {"_acc": ("accOA", 0.5), "_vrms": ("Total_vRMS", 0.5)}
+    if is_hot(narrow, [key], cfg):
+        medians = split_percentiles(
+            cells, group, wanted, cfg, base=[key], cell=[key, "_cell", "_last"],
+            expand=lambda d: _windows_of(d, cfg),
+        )
+    else:
+        medians = exact_percentiles(_windows_of(cells, cfg), group, wanted, cfg, hot=False)
+    stats = _with_dates(_window_moments(cells, key, cfg).join(medians, group), cfg)
     few = lambda c, v: F.when(F.col(f"n_{c}") >= 2, v)
-    stats = exact_percentiles(
-        members, group, {"_acc": ("accOA", 0.5), "_vrms": ("Total_vRMS", 0.5)}, cfg,
-        hot=is_hot(narrow, [key], cfg),
-        extra=[
-            F.count("*").alias("n_rows"),
-            *[F.count(c).alias(f"n_{c}") for c in cfg.features],
-            *[variation(c).alias(f"cv_{c}") for c in cfg.features],
-        ],
-    )
     return (
         stats.where(
             (F.col("n_rows") >= cfg.min_bin_rows)
@@ -76,7 +124,7 @@ def window_stability(df: DataFrame, key="device_id", cfg: Settings = DEFAULTS) -
             & F.col("cv_accOA").isNotNull()
         )
         .select(
-            *group,
+            *group, "start_date", "end_date",
             F.round("_acc", 6).alias("accOA_median"),
             F.round(few("Total_vRMS", F.col("_vrms")), 6).alias("vRMS_median"),
             F.round("cv_accOA", 6).alias("accOA_cv"),

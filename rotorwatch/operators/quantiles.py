@@ -2,8 +2,8 @@
 
 Spark's exact ``percentile`` keeps the distinct values of a group in the memory
 of one task. For groups above ``Settings.hot_group_rows`` the operators split
-the group at approximate quantiles, count each part, and look only at the parts
-that hold the wanted positions. Results are exact either way.
+the group's value range, count each part, and sort only the parts that hold the
+wanted positions. Results are exact either way.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorwatch.config import DEFAULTS, Settings
+from rotorwatch.session import materialize
 
 
 def largest_group(df: DataFrame, keys) -> int:
@@ -26,15 +27,11 @@ def is_hot(df: DataFrame, keys, cfg: Settings = DEFAULTS) -> bool:
     return largest_group(df, keys) > cfg.hot_group_rows
 
 
-def cut_points(df: DataFrame, keys, value: str, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Approximate quantiles per group as an array of bounded length."""
-    steps = [i / cfg.split_cuts for i in range(1, cfg.split_cuts)]
-    cuts = F.percentile_approx(value, steps, cfg.split_cuts * 10)
-    return df.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"))
-
-
-def _part(value: Column, cuts="_cuts") -> Column:
-    return F.size(F.filter(F.col(cuts), lambda c: c < value))
+def _part(v: Column, lo: Column, hi: Column, parts: int) -> Column:
+    """Number of the equal-width part of [lo, hi] that ``v`` lies in."""
+    span = F.nullif(hi - lo, F.lit(0.0))
+    at = F.floor((v - lo) / span * parts)
+    return F.least(F.greatest(F.coalesce(at, F.lit(0)), F.lit(0)), F.lit(parts - 1)).cast("long")
 
 
 def exact_percentiles(
@@ -55,49 +52,73 @@ def exact_percentiles(
         )
     # Groups whose values are all NULL still get their row.
     groups = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
-    return groups.join(_split_percentiles(df, keys, wanted, cfg), keys, "left")
+    return groups.join(split_percentiles(df, keys, wanted, cfg), keys, "left")
 
 
-def _split_percentiles(df, keys, wanted, cfg):
+def split_percentiles(
+    df: DataFrame, keys, wanted: dict, cfg: Settings = DEFAULTS, base=None, cell=None,
+    expand=lambda d: d,
+) -> DataFrame:
+    """Percentiles by counting parts of the value range.
+
+    Every ``base`` group's range is cut into parts; counts per part tell which one
+    holds a wanted position, and only its rows are sorted. A part that is still
+    too large is cut again. Rows are counted where they are, so what is shuffled
+    is the size of the counts.
+
+    Groups may overlap: ``cell`` names columns that tell the groups of a row, and
+    ``expand`` turns cells into groups. Counts are taken per cell and expanded
+    afterwards, so rows are not copied.
+    """
+    keys = list(keys)
+    base, cell = list(base or keys), list(cell or keys)
+    cuts, levels = cfg.split_cuts, 5
     cols = sorted({c for c, _ in wanted.values()})
     pairs = F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols])
     long = (
-        df.select(*keys, F.explode(pairs).alias("_x"))
-        .select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
+        df.select(*cell, F.explode(pairs).alias("_x"))
+        .select(*cell, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
         .where(F.col("_v").isNotNull())
     )
-    group = [*keys, "_m"]
-    parted = long.join(cut_points(long, group, "_v", cfg), group).withColumn("_p", _part(F.col("_v")))
-
-    order = Window.partitionBy(*group).orderBy("_p")
-    parts = (
-        parted.groupBy(*group, "_p").agg(F.count("*").alias("_n"))
-        .withColumn("_skip", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
-    )
 
-    # The two neighbours of every wanted position, and the part each lies in.
-    specs = F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(c).alias("m"), F.lit(float(p)).alias("p"))
-        for n, (c, p) in wanted.items()
-    ])
-    at = F.col("_s.p") * (F.col("_total") - 1)
-    targets = (
-        parts.withColumn("_s", F.explode(F.filter(specs, lambda s: s["m"] == F.col("_m"))))
-        .withColumn("_at", at)
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-        .where((F.col("_rank") >= F.col("_skip")) & (F.col("_rank") < F.col("_skip") + F.col("_n")))
-        .select(*group, "_p", "_skip", F.col("_s.name").alias("_name"), "_at", "_rank")
+    def cut(rows, ranges, on, parent):
+        number = parent * cuts + _part(F.col("_v"), F.col("_lo"), F.col("_hi"), cuts)
+        return rows.join(ranges, on).select(*cell, "_m", "_v", number.alias("_p"))
+
+    whole = long.groupBy(*base, "_m").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    rows = cut(long, whole, [*base, "_m"], F.lit(0).cast("long"))
+    targets = None
+    for level in range(levels):
+        counts = materialize(
+            rows.groupBy(*cell, "_m", "_p").agg(
+                F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+            ), "part-counts",
+        )
+        targets = materialize(_locate(expand(counts), keys, wanted, cuts, targets), "part-targets")
+        needed = (
+            counts.groupBy(*base, "_m", "_p")
+            .agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+            .join(targets.select(*base, "_m", "_p").distinct(), [*base, "_m", "_p"], "left_semi")
+        )
+        # Equal values are counted, not sorted, so they need no further cut.
+        largest = needed.where("_lo < _hi").agg(F.max("_n")).first()[0] or 0
+        if largest <= cfg.hot_group_rows or level == levels - 1:
+            break
+        ranges = needed.select(*base, "_m", F.col("_p").alias("_up"), "_lo", "_hi")
+        rows = cut(rows.withColumnRenamed("_p", "_up"), ranges, [*base, "_m", "_up"], F.col("_up"))
+
+    part = [*keys, "_m", "_p"]
+    picked = rows.join(needed.select(*base, "_m", "_p"), [*base, "_m", "_p"], "left_semi")
+    upto = F.sum("_c").over(
+        Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
-    needed = targets.select(*group, "_p").distinct()
-    run = Window.partitionBy(*group, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     values = (
-        parted.join(needed, [*group, "_p"], "left_semi")
-        .groupBy(*group, "_p", "_v").agg(F.count("*").alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(run))
+        expand(picked.groupBy(*cell, "_m", "_p", "_v").agg(F.count("*").alias("_c")))
+        .groupBy(*part, "_v").agg(F.sum("_c").alias("_c"))
+        .withColumn("_upto", upto)
     )
     local = F.col("_rank") - F.col("_skip")
-    hits = targets.join(values, [*group, "_p"]).where(
+    hits = targets.join(values, part).where(
         (local < F.col("_upto")) & (local >= F.col("_upto") - F.col("_c"))
     )
     share = 1.0 - F.abs(F.col("_at") - F.col("_rank"))
@@ -109,6 +130,37 @@ def _split_percentiles(df, keys, wanted, cfg):
     )
 
 
+def _locate(counts: DataFrame, keys, wanted: dict, cuts: int, targets: DataFrame | None) -> DataFrame:
+    """The part that holds each wanted position, and how many values lie before it.
+    The two neighbours of an interpolated position are looked up separately."""
+    group = [*keys, "_m"]
+    up = F.floor(F.col("_p") / cuts)
+    parts = counts.groupBy(*group, "_p").agg(F.sum("_n").alias("_n")).withColumn("_up", up)
+    order = Window.partitionBy(*group, "_up").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
+    if targets is None:
+        specs = F.array(*[
+            F.struct(F.lit(n).alias("name"), F.lit(c).alias("m"), F.lit(float(p)).alias("p"))
+            for n, (c, p) in wanted.items()
+        ])
+        targets = (
+            parts.groupBy(*group).agg(F.sum("_n").alias("_total"))
+            .withColumn("_s", F.explode(F.filter(specs, lambda s: s["m"] == F.col("_m"))))
+            .withColumn("_at", F.col("_s.p") * (F.col("_total") - 1))
+            .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+            .select(*group, F.col("_s.name").alias("_name"), "_at", "_rank",
+                    F.lit(0).cast("long").alias("_up"), F.lit(0).cast("long").alias("_skip"))
+        )
+    else:
+        targets = targets.withColumnRenamed("_p", "_up")
+    local = F.col("_rank") - F.col("_skip")
+    return (
+        targets.join(parts, [*group, "_up"])
+        .where((local >= F.col("_before")) & (local < F.col("_before") + F.col("_n")))
+        .select(*group, "_name", "_at", "_rank", "_p", (F.col("_skip") + F.col("_before")).alias("_skip"))
+    )
+
+
 def average_ranks(
     df: DataFrame, keys, value: str, name: str, cfg: Settings = DEFAULTS, hot: bool | None = None
 ) -> DataFrame:
@@ -121,21 +173,32 @@ def average_ranks(
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     if hot is None:
         hot = is_hot(counted, keys, cfg)
-    if not hot:
-        run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        upto = F.sum("_c").over(run)
-        return counted.select(*keys, value, (upto - (F.col("_c") - 1) / F.lit(2.0)).alias(name))
-    parted = counted.join(cut_points(counted, keys, value, cfg), keys).withColumn("_p", _part(F.col(value)))
-    order = Window.partitionBy(*keys).orderBy("_p")
-    skips = (
-        parted.groupBy(*keys, "_p").agg(F.sum("_c").alias("_n"))
-        .select(*keys, "_p", (
-            F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-        ).alias("_skip"))
-    )
-    run = Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        parted.withColumn("_upto", F.sum("_c").over(run))
-        .join(skips, [*keys, "_p"])
-        .select(*keys, value, (F.col("_skip") + F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)).alias(name))
-    )
+    counted = _value_parts(counted, keys, value, cfg) if hot else counted.withColumn("_p", F.lit(0))
+    in_part = Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = counted.withColumn("_upto", F.sum("_c").over(in_part))
+    if hot:
+        before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        skips = counted.groupBy(*keys, "_p").agg(F.sum("_c").alias("_n")).select(
+            *keys, "_p", (F.sum("_n").over(before) - F.col("_n")).alias("_skip")
+        )
+        rows = rows.join(skips, [*keys, "_p"]).withColumn("_upto", F.col("_skip") + F.col("_upto"))
+    return rows.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)).alias(name))
+
+
+def _value_parts(counted: DataFrame, keys, value: str, cfg: Settings) -> DataFrame:
+    """Number the rows' value range so that no part of a group is too large.
+    ``_p`` never falls as the value grows."""
+    rows = counted.withColumn("_p", F.lit(0).cast("long"))
+    for _ in range(5):
+        sizes = rows.groupBy(*keys, "_p").agg(
+            F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
+        ).where(F.col("_n") > cfg.hot_group_rows)
+        if sizes.isEmpty():
+            break
+        finer = F.coalesce(_part(F.col(value), F.col("_lo"), F.col("_hi"), cfg.split_cuts), F.lit(0))
+        ranges = sizes.select(*keys, "_p", "_lo", "_hi")
+        rows = rows.join(ranges, [*keys, "_p"], "left").select(
+            *counted.columns,
+            (F.col("_p") * cfg.split_cuts + F.when(F.col("_lo").isNotNull(), finer).otherwise(F.lit(0))).alias("_p"),
+        )
+    return rows

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from rotorwatch.config import Settings
 from rotorwatch.operators import baseline
 
 
@@ -24,8 +25,9 @@ def loop(p):
     return out
 
 
-def test_windows_equal_a_loop(make, month):
-    got = baseline.window_stability(make(month)).orderBy("start_date").toPandas()
+@pytest.mark.parametrize("cfg", [Settings(), Settings(hot_group_rows=40, split_cuts=8)])
+def test_windows_equal_a_loop(make, month, cfg):
+    got = baseline.window_stability(make(month), cfg=cfg).orderBy("start_date").toPandas()
     want = loop(month)
     assert list(got.start_date) == [w[0] for w in want]
     assert list(got.n_rows) == [w[1] for w in want]

@@ -55,8 +55,8 @@ def test_group_size_decides(make, monkeypatch):
     from rotorwatch.operators import quantiles
 
     used = []
-    real = quantiles._split_percentiles
-    monkeypatch.setattr(quantiles, "_split_percentiles", lambda *a: used.append(1) or real(*a))
+    real = quantiles.split_percentiles
+    monkeypatch.setattr(quantiles, "split_percentiles", lambda *a: used.append(1) or real(*a))
     p = pd.DataFrame({"k": "a", "x": np.arange(11.0), "y": 0.0})
     exact_percentiles(make(p), ["k"], WANTED, SPLIT)
     assert used
