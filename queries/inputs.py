@@ -104,7 +104,7 @@ def tag_dim(spark, sf_dir) -> DataFrame:
         "tagname", pick(0).alias("variable_type"), "device_id", pick(1).alias("unit"),
         pick(2).cast("long").alias("row_no"),
     )
-    ghost = seen.limit(1).select(
+    ghost = seen.agg(F.count("*").alias("n")).select(
         *[F.lit(v).alias(c) for c, v in zip(("tagname", "variable_type", "device_id", "unit"), _GHOST)],
         F.lit(9).cast("long").alias("row_no"),
     )

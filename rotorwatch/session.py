@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "rotorwatch", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings the engine expects. All are runtime defaults
-    of current Spark except UTC; cp950 input files also need legacy charsets."""
+    """A session with the settings the engine expects: adaptive execution with skew
+    joins (the defaults), UTC, and the charsets that cp950 files need."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -44,6 +44,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote for this application. Call it when no
+    result that reads those tables is needed any more."""
+    app = spark.conf.get("spark.app.id", "app")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{app}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
