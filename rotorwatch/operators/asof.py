@@ -44,8 +44,7 @@ def asof_nearest(
     )
     rows = (
         left.withColumn("_u", micros(ts))
-        .withColumn("_slice", slice_of(F.col("_u")))
-        .withColumn("_side", F.lit(1))
+        .withColumns({"_slice": slice_of(F.col("_u")), "_side": F.lit(1)})
     )
     both = rows.unionByName(marks, allowMissingColumns=True)
     part = Window.partitionBy(*keys, "_slice")
@@ -53,11 +52,12 @@ def asof_nearest(
     # Looking ahead is the same running frame on the reversed order.
     future = part.orderBy(F.desc("_u"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        both.withColumn("_b", F.last("_back", ignorenulls=True).over(past))
-        .withColumn("_a", F.last("_ahead", ignorenulls=True).over(future))
+        both.withColumns({
+            "_b": F.last("_back", ignorenulls=True).over(past),
+            "_a": F.last("_ahead", ignorenulls=True).over(future),
+        })
         .where(F.col("_side") == 1)
-        .withColumn("_db", F.col("_u") - F.col("_b._u"))
-        .withColumn("_da", F.col("_a._u") - F.col("_u"))
+        .withColumns({"_db": F.col("_u") - F.col("_b._u"), "_da": F.col("_a._u") - F.col("_u")})
     )
     pick = F.when(
         (F.col("_db") <= tol) & (F.col("_da").isNull() | (F.col("_db") <= F.col("_da"))), F.col("_b.v")

@@ -89,13 +89,17 @@ def _window_moments(cells: DataFrame, key: str, cfg: Settings) -> DataFrame:
         F.sum("n").alias("n_rows"), F.collect_list(F.struct(*body)).alias("_cells")
     )
     zero = F.lit(0.0)
+    out = out.withColumns({
+        name: value for c in cfg.features
+        for name, value in zip((f"n_{c}", f"mean_{c}"), _combined(F.col("_cells"), c))
+    })
+    variations = {}
     for c in cfg.features:
-        out = out.withColumns(dict(zip((f"n_{c}", f"mean_{c}"), _combined(F.col("_cells"), c))))
         spread = F.aggregate("_cells", zero, lambda a, x: a + F.coalesce(
             x[f"m2_{c}"] + x[f"n_{c}"] * F.pow(x[f"mean_{c}"] - F.col(f"mean_{c}"), F.lit(2.0)), zero))
         std = F.sqrt(spread / F.nullif(F.col(f"n_{c}") - 1, zero))
-        out = out.withColumn(f"cv_{c}", std / F.nullif(F.col(f"mean_{c}"), zero))
-    return out.drop("_cells")
+        variations[f"cv_{c}"] = std / F.nullif(F.col(f"mean_{c}"), zero)
+    return out.withColumns(variations).drop("_cells")
 
 
 def window_stability(df: DataFrame, key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:

@@ -46,7 +46,7 @@ def resolve_bin_column(
 
 
 def _chosen_value(df: DataFrame, name="bin_col") -> Column:
-    """Value of the column that ``name`` names in this row."""
+    """Value of the load column that ``name`` names in this row."""
     numeric = [c for c, t in df.dtypes if t == "double"]
     return reduce(
         lambda acc, c: acc.when(F.col(name) == c, F.col(c)),
@@ -70,9 +70,10 @@ def quantile_bins(
         f"_e{q}_{i}": (value, i / q) for q in range(1, cfg.n_bins + 1) for i in range(q + 1)
     }
     edges = exact_percentiles(df, [key], wanted, cfg, hot)
-    for q in range(1, cfg.n_bins + 1):
-        points = F.array(*[f"_e{q}_{i}" for i in range(q + 1)])
-        edges = edges.withColumn(f"_edges{q}", F.array_distinct(points))
+    edges = edges.withColumns({
+        f"_edges{q}": F.array_distinct(F.array(*[f"_e{q}_{i}" for i in range(q + 1)]))
+        for q in range(1, cfg.n_bins + 1)
+    })
     labelled = df.where(F.col(value).isNotNull()).join(
         edges.select(key, *[f"_edges{q}" for q in range(1, cfg.n_bins + 1)]), key
     )

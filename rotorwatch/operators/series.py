@@ -98,16 +98,15 @@ def _with_fill(sliced: DataFrame, keys, cols, order, extra_aggs=(), extra_carrie
     machine's first non-null value where there is none yet."""
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
     so_far = in_slice.rowsBetween(Window.unboundedPreceding, 0)
-    rows = sliced.withColumn("_rn", F.row_number().over(in_slice))
-    for c in cols:
-        rows = rows.withColumn(f"_near_{c}", F.last(c, ignorenulls=True).over(so_far))
+    rows = sliced.withColumns({
+        "_rn": F.row_number().over(in_slice),
+        **{f"_near_{c}": F.last(c, ignorenulls=True).over(so_far) for c in cols},
+    })
     aggs, carried = _fill_parts(cols, order)
     out = _from_slices(
         sliced, rows, keys, [*aggs, *extra_aggs], lambda w: [*carried(w), *extra_carried(w)]
     )
-    for c in cols:
-        out = out.withColumn(f"_fill_{c}", F.coalesce(f"_near_{c}", f"_fill_{c}"))
-    return out
+    return out.withColumns({f"_fill_{c}": F.coalesce(f"_near_{c}", f"_fill_{c}") for c in cols}) if cols else out
 
 
 def fill_gaps(
@@ -156,15 +155,15 @@ def rolling_median(
     # A row is copied into the neighbouring block when a row there can reach it.
     block = lambda p: F.floor(p / F.lit(cfg.block_rows))
     pos = F.col("_pos")
-    spread = numbered.withColumn("_home", block(pos)).withColumn(
-        "_block",
-        F.explode(F.sequence(block(F.greatest(pos - after, F.lit(0))), block(pos + before))),
-    )
+    spread = numbered.withColumns({
+        "_home": block(pos),
+        "_block": F.explode(F.sequence(block(F.greatest(pos - after, F.lit(0))), block(pos + before))),
+    })
     frame = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(-before, after)
-    for c in cols:
-        mid = _middle(F.collect_list(c).over(frame))
-        spread = spread.withColumn(f"_mid_{c}", mid)
-    out = spread.where(F.col("_block") == F.col("_home"))
+    reach = spread.withColumns({f"_near_{c}": F.collect_list(c).over(frame) for c in cols})
+    out = reach.where(F.col("_block") == F.col("_home")).withColumns(
+        {f"_mid_{c}": _middle(F.col(f"_near_{c}")) for c in cols}
+    )
     keep = [c for c in df.columns if suffix or c not in cols]
     value = (lambda c: F.coalesce(f"_mid_{c}", f"_fill_{c}")) if fill else (lambda c: F.col(f"_mid_{c}"))
     return out.select(*keep, *[value(c).alias(c + suffix) for c in cols])
