@@ -28,7 +28,7 @@ def duck():
 
 def folder(name):
     """SQL has no pseudo-inverse, so queries that invert a covariance need tables
-    large enough for it to be regular. test_model.py covers the singular case."""
+    large enough for it to be regular. test_scoring_model.py covers the singular case."""
     return LARGER if "inverses AS" in SQL.get(name, "") else SMALL
 
 
