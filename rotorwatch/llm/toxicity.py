@@ -191,16 +191,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = ["log_ratio", "score", "predicted"]
-    kept = [c for c in docs.columns if c not in names]
-    rows = docs.select(*kept, text(text_col).alias("_ll_text"))
+    rows = docs.select(*[c for c in docs.columns if c not in names])
 
     def run(batches):
         m = held.value
-        for batch, r in _ratios(batches, m.word, m.pair, "_ll_text"):
+        for batch, r in _ratios(batches, m.word, m.pair, text_col):
             p = 1 / (1 + np.exp(-np.clip(m.slope * _stretched(r, m.scale) + m.shift, -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(r), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, *names])
+                [*batch.columns, pa.array(r), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
+                [*batch.schema.names, *names])
 
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]),
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields),
               "log_ratio double", "score double", "predicted int"]
     return rows.mapInArrow(run, ", ".join(fields))
