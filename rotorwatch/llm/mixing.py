@@ -59,7 +59,7 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> dict[str, list[tu
 
 def mix(
     docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_rows: int = 64,
-    slice_rows: int = 50_000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: the row key (``_ll_*``), id, source, ``block`` (of its source),
     ``slot`` (of the block in the mix), ``release`` and ``deadline`` (slots), ``position`` (sort key of
@@ -67,7 +67,7 @@ def mix(
 
     Sources that ``weights`` does not name, null among them, together are one source of
     ``rest_weight``; so what reaches the driver is one count per weight. Rows of a source are
-    numbered in slices by hash, each small, however large the source. Repeated rows keep
+    numbered in slices by hash, about the root of their number each. Repeated rows keep
     their number. An empty table gives an empty result; null ids and texts are placed like others.
     """
     if min([rest_weight, *weights.values()]) < 1:
@@ -82,7 +82,7 @@ def mix(
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, {**weights, REST: rest_weight})
     # Bounded: a row per weight, and in it at most as many phases and slots as weights make.
     table = docs.sparkSession.createDataFrame(
-        [(s, -(-counts[s] // slice_rows), [tuple(p) for p in plan[s]]) for s in counts],
+        [(s, math.isqrt(counts[s]) + 1, [tuple(p) for p in plan[s]]) for s in counts],
         T._parse_datatype_string(
             "_ll_queue string, slices long, phases array<struct<first:long,at:long,total:long,weight:long,slots:array<int>>>"
         ),
