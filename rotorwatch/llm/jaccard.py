@@ -246,7 +246,7 @@ def _verify(n, trees, depth, threshold):
 
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, words_per_gram: int = 5, trees: int = 16, most_depth: int = 8,
-    recall: float = 0.9995, chunk: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+    recall: float = 0.9995, chunk: int = 512, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: row key (``_ll_*``), id, ``class_id`` (smallest id that can be reached over
     links), ``n_links`` (other documents with a similarity of at least ``threshold``), ``first`` (true
