@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotorwatch.llm.rows import ROW, keyed, text
+from rotorwatch.llm.rows import text
 from rotorwatch.llm.text import pieces, window_hashes, words
 
 LAST = np.iinfo(np.int64).max
@@ -54,11 +54,11 @@ def super_kmers(w, n: int, m: int):
 def _lots(n, m, buckets):
     """Rows ``(bucket, kind, payload)``: packed strings, or windows known to be repeated."""
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             ids = batch.column("_ll_id")
             number = np.where(ids.is_null().to_numpy(zero_copy_only=False), LAST, ids.fill_null(0).to_numpy())
-            check, size = batch.column("_ll_hash").to_numpy(), batch.column("_ll_size").to_numpy()
+            check = batch.column("_ll_check").to_numpy()
             for lo, _, data, bounds in pieces(batch, "_ll_text", 1 << 22):
                 w = words(data, bounds)
                 start, windows, low = super_kmers(w, n, m)
@@ -82,13 +82,13 @@ def _lots(n, m, buckets):
                 if len(again):
                     out_b.append(int(bucket[again[0]]))
                     out_k.append(1)
-                    out_p.append(_pack(squeeze, number, check, size, lo + doc[again], place[again], windows[again], None))
+                    out_p.append(_pack(squeeze, row[again], check[lo + doc[again]], place[again], windows[again], None))
                 go = np.flatnonzero(travels)
                 go = go[np.argsort(bucket[go], kind="stable")]
                 for part in np.split(go, np.flatnonzero(np.diff(bucket[go])) + 1) if len(go) else []:
                     out_b.append(int(bucket[part[0]]))
                     out_k.append(0)
-                    out_p.append(_pack(squeeze, number, check, size, lo + doc[part], place[part], windows[part],
+                    out_p.append(_pack(squeeze, row[part], check[lo + doc[part]], place[part], windows[part],
                                        b"\n".join([texts[k] for k in part.tolist()])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out_b, pa.int64()), pa.array(out_k, pa.int32()), pa.array(out_p, pa.binary())],
@@ -96,36 +96,23 @@ def _lots(n, m, buckets):
     return run
 
 
-def _pack(squeeze, number, check, size, row, place, windows, strings):
-    rows, of = np.unique(row, return_inverse=True)
-    return squeeze.compress(pickle.dumps((
-        number[rows], check[rows], size[rows], of.astype(np.int32), place.astype(np.int64),
-        windows.astype(np.int32), strings)))
+def _pack(squeeze, number, check, place, windows, strings):
+    return squeeze.compress(pickle.dumps((number, check, place.astype(np.int64), windows.astype(np.int32), strings)))
 
 
-def _rows(parts):
-    """Concatenated payloads."""
-    number, check, size, of, place, windows, strings = zip(*parts, strict=True)
-    base = np.cumsum([0, *(len(x) for x in number[:-1])])
-    return (np.concatenate(number), np.concatenate(check), np.concatenate(size),
-            np.concatenate([o + b for o, b in zip(of, base, strict=True)]), np.concatenate(place),
-            np.concatenate(windows).astype(np.int64), [s for s in strings if s is not None])
-
-
-def _repeated(number, of, place, windows, strings, n):
+def _repeated(number, place, windows, strings, n):
     """Of the windows in a bucket, those whose words also start in a document of a smaller id:
-    ``(row, place)``."""
+    ``(number of the string, first word)``."""
     tokens = b"\n".join(strings).split()
     code_of: dict[bytes, int] = {}
     code = np.fromiter((code_of.setdefault(t, len(code_of)) for t in tokens), np.int64, len(tokens))
     length = windows + n - 1
     begin = np.cumsum(length) - length
-    at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     own = np.repeat(np.arange(len(windows)), windows)
-    where = place[own] + at - begin[own]
-    row = of[own]
+    at = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    where, ids = place[own] + at - begin[own], number[own]
     h = window_hashes(code.astype(np.uint64) + np.uint64(1), n)[at]
-    order = np.lexsort((number[row], h))
+    order = np.lexsort((ids, h))
     hs = h[order]
     # Neighbours of equal hash are compared word by word; should words differ, sort by words.
     same = np.zeros(len(order), bool)
@@ -135,37 +122,37 @@ def _repeated(number, of, place, windows, strings, n):
     for k in range(n):
         equal &= code[at[order[pair]] + k] == code[at[order[pair - 1]] + k]
     if not equal.all():
-        order = np.lexsort((number[row], *[code[at + k] for k in range(n)]))
+        order = np.lexsort((ids, *[code[at + k] for k in range(n)]))
         same = np.ones(len(order), bool)
         same[:1] = False
         for k in range(n):
             c = code[at[order] + k]
             same[1:] &= c[1:] == c[:-1]
     group = np.cumsum(~same) - 1
-    least = number[row[order]][np.flatnonzero(~same)][group]
-    hit = order[number[row[order]] > least]
-    return row[hit], where[hit]
+    least = ids[order][np.flatnonzero(~same)][group]
+    hit = order[ids[order] > least]
+    return own[hit], where[hit]
 
 
 def _buckets(n):
-    """Repeated stretches of each row: ``(id, hash, size, stretches)``; stretches are pairs of first
-    word and first word after, as bytes."""
-    def emit(number, check, size, row, a, b):
-        order = np.lexsort((a, row))
-        row, a, b = row[order], a[order], b[order]
-        cuts = np.flatnonzero(np.diff(row)) + 1
-        at, to = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(row)]])
-        who = row[at]
+    """Repeated stretches of each row: ``(id, check, stretches)``; stretches are pairs of first word
+    and first word after, as bytes."""
+    def emit(number, check, a, b):
+        order = np.lexsort((a, check, number))
+        number, check, a, b = number[order], check[order], a[order], b[order]
+        cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(check) != 0)) + 1
+        at, to = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(number)]])
         yield pa.RecordBatch.from_arrays([
-            pa.array(number[who], mask=number[who] == LAST), pa.array(check[who]), pa.array(size[who].astype(np.int32)),
+            pa.array(number[at], mask=number[at] == LAST), pa.array(check[at]),
             pa.array([merged(a[x:y], b[x:y]).tobytes() for x, y in zip(at.tolist(), to.tolist(), strict=True)], pa.binary()),
-        ], ["_ll_id", "_ll_hash", "_ll_size", "_ll_gone"])
+        ], ["_ll_id", "_ll_check", "_ll_gone"])
 
     def flush(parts):
-        number, check, size, of, place, windows, strings = _rows(parts)
-        row, where = _repeated(number, of, place, windows, strings, n)
-        if len(row):
-            yield from emit(number, check, size, row, where, where + n)
+        number, check, place, windows, strings = zip(*parts, strict=True)
+        number, check, place = (np.concatenate(x) for x in (number, check, place))
+        own, where = _repeated(number, place, np.concatenate(windows).astype(np.int64), strings, n)
+        if len(own):
+            yield from emit(number[own], check[own], where, where + n)
 
     def run(batches):
         expand = zstandard.ZstdDecompressor()
@@ -174,8 +161,8 @@ def _buckets(n):
             for bucket, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 got = pickle.loads(expand.decompress(payload))
                 if kind:
-                    number, check, size, of, place, windows, _ = got
-                    yield from emit(number, check, size, of, place, place + windows + n - 1)
+                    number, check, place, windows, _ = got
+                    yield from emit(number, check, place, place + windows + n - 1)
                     continue
                 if bucket != now and parts:
                     yield from flush(parts)
@@ -197,7 +184,7 @@ def merged(a, b):
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 13, minimiser_words: int = 4, buckets: int | None = None,
+    docs: DataFrame, window: int = 13, minimiser_words: int = 3, buckets: int | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one
@@ -205,21 +192,24 @@ def remove_repeats(
 
     A word goes if a window over it also starts in a document of a smaller id; windows are
     judged on the input. Null text is empty. A null id is larger than all others, and none of
-    two nulls is the smaller. Repeated rows are equal in id, so neither removes from the other,
+    two nulls is the smaller. Rows that share an id are told apart by 32 bits of a hash of their
+    text. Repeated rows are equal in id, so neither removes from the other,
     and both lose the same words. Texts shorter than a window stay. An empty table gives an
     empty result. Only the two named columns are read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 8 * parts
-    rows = keyed(docs, id_col, text_col).select(*ROW, text(text_col).alias("_ll_text"))
-    rows = rows.withColumn("_ll_id", F.col("_ll_id").cast("long"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("_ll_id"), F.pmod(F.xxhash64(text(text_col)), F.lit(1 << 31)).cast("int").alias("_ll_check"),
+        text(text_col).alias("_ll_text"),
+    )
     lots = rows.mapInArrow(_lots(window, minimiser_words, buckets), "bucket long, kind int, payload binary")
     dealt = lots.repartition(parts, "bucket").sortWithinPartitions("kind", "bucket")
-    gone = dealt.mapInArrow(_buckets(window), "_ll_id long, _ll_hash long, _ll_size int, _ll_gone binary")
-    gone = gone.groupBy(*ROW).agg(F.collect_list("_ll_gone").alias("_ll_gone"))
-    gone = gone.withColumnsRenamed({c: f"{c}_g" for c in ROW})
-    on = [rows[c].eqNullSafe(gone[f"{c}_g"]) for c in ROW]
+    gone = dealt.mapInArrow(_buckets(window), "_ll_id long, _ll_check int, _ll_gone binary")
+    gone = gone.groupBy("_ll_id", "_ll_check").agg(F.collect_list("_ll_gone").alias("_ll_gone"))
+    gone = gone.withColumnsRenamed({"_ll_id": "_ll_id_g", "_ll_check": "_ll_check_g"})
+    on = [rows[c].eqNullSafe(gone[f"{c}_g"]) for c in ("_ll_id", "_ll_check")]
     both = rows.join(gone, on, "left").select("_ll_id", "_ll_text", "_ll_gone")
 
     def run(batches):
