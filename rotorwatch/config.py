@@ -46,8 +46,6 @@ class Settings:
     # --- execution knobs ----------------------------------------------------
     chunk_seconds: int = 3600       # time slice of one machine handled by one task
     block_rows: int = 200_000       # rows of one machine in one rolling-window task
-    hot_group_rows: int = 2_000_000  # above this a group is split by value range
-    split_cuts: int = 256           # value ranges a hot group is split into
 
 
 DEFAULTS = Settings()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rotorwatch.config import DEFAULTS, Settings
 from rotorwatch.functions.times import from_micros, micros
 from rotorwatch.operators.mapping import one_per_device
-from rotorwatch.operators.quantiles import exact_percentiles, is_hot, split_percentiles
+from rotorwatch.operators.quantiles import window_percentiles
 
 _DAY = 86_400_000_000
 CANDIDATE_COLUMNS = (
@@ -43,11 +43,15 @@ def _with_cells(df: DataFrame, key: str, cfg: Settings) -> DataFrame:
     return df.join(span, key).withColumn("_cell", cell.cast("long")).withColumn("_last", last.cast("long"))
 
 
+def _reach(cfg: Settings) -> tuple[Column, Column]:
+    """First and last window that a cell belongs to."""
+    reach = cfg.window_days // cfg.step_days - 1
+    return F.greatest(F.lit(0).cast("long"), F.col("_cell") - reach), F.least(F.col("_last"), F.col("_cell"))
+
+
 def _windows_of(df: DataFrame, cfg: Settings) -> DataFrame:
     """Copy each cell into its windows."""
-    reach = cfg.window_days // cfg.step_days - 1
-    low = F.greatest(F.lit(0).cast("long"), F.col("_cell") - reach)
-    high = F.least(F.col("_last"), F.col("_cell"))
+    low, high = _reach(cfg)
     return df.withColumn("window_no", F.explode(F.when(low <= high, F.sequence(low, high))))
 
 
@@ -112,13 +116,10 @@ def window_stability(df: DataFrame, key="device_id", cfg: Settings = DEFAULTS) -
     cells = _with_cells(narrow, key, cfg)
     group = [key, "window_no"]
     wanted = {"_acc": ("accOA", 0.5), "_vrms": ("Total_vRMS", 0.5)}
-    if is_hot(narrow, [key], cfg):
-        medians = split_percentiles(
-            cells, group, wanted, cfg, base=[key], cell=[key, "_cell", "_last"],
-            expand=lambda d: _windows_of(d, cfg),
-        )
-    else:
-        medians = exact_percentiles(_windows_of(cells, cfg), group, wanted, cfg, hot=False)
+    low, high = _reach(cfg)
+    medians = window_percentiles(
+        cells, key, wanted, ["_cell", "_last"], lambda d: _windows_of(d, cfg), F.col("window_no").between(low, high)
+    )
     stats = _with_dates(_window_moments(cells, key, cfg).join(medians, group), cfg)
     few = lambda c, v: F.when(F.col(f"n_{c}") >= 2, v)
     return (

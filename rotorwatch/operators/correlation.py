@@ -34,8 +34,8 @@ def correlation_matrix(df: DataFrame, xs, ys, key="device_id", cfg: Settings = D
     """
     pair = [key, "variable_type", "vibration_feature"]
     long = _pairs(df, xs, ys, key)
-    rank_x = average_ranks(long, pair, "x", "rx", cfg)
-    rank_y = average_ranks(long, pair, "y", "ry", cfg)
+    rank_x = average_ranks(long, pair, "x", "rx")
+    rank_y = average_ranks(long, pair, "y", "ry")
     ranked = long.join(rank_x, [*pair, "x"]).join(rank_y, [*pair, "y"])
     out = ranked.groupBy(*pair).agg(
         F.count("*").alias("n_samples"),

@@ -70,7 +70,7 @@ def bin_drift(flagged: DataFrame, key="device_id", current="current_A", cfg: Set
     med = exact_percentiles(rows, [key, "load_bin"], {
         "accOA_baseline": ("_a0", 0.5), "accOA_recent": ("_a1", 0.5),
         "current_baseline": ("_c0", 0.5), "current_recent": ("_c1", 0.5),
-    }, cfg)
+    })
     ratio = F.when(F.col("accOA_baseline") > 0, F.col("accOA_recent") / F.col("accOA_baseline"))
     return (
         med.where(F.col("accOA_baseline").isNotNull() & F.col("accOA_recent").isNotNull())

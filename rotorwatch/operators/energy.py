@@ -99,7 +99,7 @@ def energy_before_after(
         *[F.when(cond, F.col(c)).alias(f"_{n}_{s}") for n, c in cols.items() for s, cond in sides.items()],
     )
     out = exact_percentiles(
-        rows, ["device_id"], {f"{n}_{s}": (f"_{n}_{s}", 0.5) for n in cols for s in sides}, cfg,
+        rows, ["device_id"], {f"{n}_{s}": (f"_{n}_{s}", 0.5) for n in cols for s in sides},
         extra=[
             F.count_if("_pre").alias("n_pre"), F.count_if(~F.col("_pre")).alias("n_post"),
             F.coalesce(F.sum(F.when(~F.col("_pre"), F.col("flow_sum"))), F.lit(0.0)).alias("_flow"),

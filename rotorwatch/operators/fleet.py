@@ -25,7 +25,7 @@ def device_health_stats(df: DataFrame, score="HealthScore", key="device_id", cfg
     """Row counts and score statistics of every machine with a valid score."""
     rows = df.select(key, "datetime", _valid(score).alias("_s"))
     at = F.when(F.col("_s").isNotNull(), F.col("datetime"))
-    out = exact_percentiles(rows, [key], {"_median": ("_s", 0.5)}, cfg, extra=[
+    out = exact_percentiles(rows, [key], {"_median": ("_s", 0.5)}, extra=[
         F.count("*").alias("n_total"), F.count("_s").alias("n_valid"),
         F.avg("_s").alias("_mean"), F.stddev_samp("_s").alias("_std"),
         F.min("_s").alias("_min"), F.max("_s").alias("_max"),

@@ -79,7 +79,7 @@ def effect_binning(rows: DataFrame, key="device_id", n_bins: int = 4, cfg: Setti
     """
     wanted = {f"_e{i}": ("group_value", i / n_bins) for i in range(n_bins + 1)}
     step = F.bround(F.col("group_value") / _HZ_STEP) * _HZ_STEP
-    stats = exact_percentiles(rows, [key], wanted, cfg, extra=[
+    stats = exact_percentiles(rows, [key], wanted, extra=[
         F.count("group_value").alias("_n"),
         F.min(step).alias("_s0"), F.max(step).alias("_s1"),
     ])
@@ -123,7 +123,7 @@ def maintenance_effect(
           for c in [*cols, *extra] for s in ("before", "after")],
     )
     wanted = {f"_{c}_{s}": (f"{c}_{s}", 0.5) for c in [*cols, *extra] for s in ("before", "after")}
-    med = exact_percentiles(sided, [key, "effect_bin", "bin_left", "bin_right"], wanted, cfg, extra=[
+    med = exact_percentiles(sided, [key, "effect_bin", "bin_left", "bin_right"], wanted, extra=[
         F.count_if(before).alias("n_before"), F.count_if(~before).alias("n_after"),
     ]).where((F.col("n_before") > 0) & (F.col("n_after") > 0))
     out = [F.col(c) for c in (key, "effect_bin", "bin_left", "bin_right", "n_before", "n_after")]

@@ -17,7 +17,7 @@ from rotorwatch.functions.scoring import (
     name_has_any,
     score_from_distance,
 )
-from rotorwatch.operators.quantiles import exact_percentiles, is_hot
+from rotorwatch.operators.quantiles import exact_percentiles
 from rotorwatch.operators.series import TIME_ORDER, rolling_median
 from rotorwatch.session import materialize
 
@@ -59,7 +59,7 @@ def with_bin_value(df: DataFrame, choice: DataFrame, key="device_id") -> DataFra
 
 
 def quantile_bins(
-    df: DataFrame, value="bin_value", key="device_id", cfg: Settings = DEFAULTS, hot: bool | None = None
+    df: DataFrame, value="bin_value", key="device_id", cfg: Settings = DEFAULTS
 ) -> DataFrame:
     """Load bin edges per machine.
 
@@ -69,7 +69,7 @@ def quantile_bins(
     wanted = {
         f"_e{q}_{i}": (value, i / q) for q in range(1, cfg.n_bins + 1) for i in range(q + 1)
     }
-    edges = exact_percentiles(df, [key], wanted, cfg, hot)
+    edges = exact_percentiles(df, [key], wanted)
     edges = edges.withColumns({
         f"_edges{q}": F.array_distinct(F.array(*[f"_e{q}_{i}" for i in range(q + 1)]))
         for q in range(1, cfg.n_bins + 1)
@@ -141,10 +141,9 @@ def fit_bin_moments(
 
 def calibrate_lambda(
     distances: DataFrame, keys=("device_id", "bin_id"), distance="distance", cfg: Settings = DEFAULTS,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Decay rate that puts the 95th percentile distance at the anchor score."""
-    p95 = exact_percentiles(distances, list(keys), {"p95": (distance, 0.95)}, cfg, hot)
+    p95 = exact_percentiles(distances, list(keys), {"p95": (distance, 0.95)})
     anchor = -math.log(cfg.score_at_p95 / 100.0)
     return p95.select(
         *keys, "p95",
@@ -154,11 +153,10 @@ def calibrate_lambda(
 
 def label_baseline(
     df: DataFrame, candidates: list[str] | None = None, key="device_id", cfg: Settings = DEFAULTS,
-    hot: bool | None = None,
 ) -> DataFrame:
     """Baseline rows with their load column, bin edges and bin number."""
     rows = with_bin_value(df, resolve_bin_column(df, candidates, key), key)
-    edges = quantile_bins(rows, key=key, cfg=cfg, hot=hot)
+    edges = quantile_bins(rows, key=key, cfg=cfg)
     return rows.join(edges, key, "left").withColumn("bin_id", load_bin("bin_value", "edges"))
 
 
@@ -168,9 +166,8 @@ def train_model(
 ) -> DataFrame:
     """Model table, one row per (machine, bin), from baseline rows."""
     features = list(features or [f for f in cfg.features if f in baseline.columns])
-    hot = is_hot(baseline, [key], cfg)
     labelled = materialize(  # read three times below
-        label_baseline(baseline, candidates, key, cfg, hot).select(
+        label_baseline(baseline, candidates, key, cfg).select(
             key, "bin_id", "bin_col", "edges", *features
         ),
         "labelled",
@@ -182,7 +179,7 @@ def train_model(
     dist = labelled.join(moments.select(*keys, "mean", "cov_inv"), keys).select(
         *keys, mahalanobis(features, "mean", "cov_inv").alias("distance")
     )
-    lam = calibrate_lambda(dist, keys, cfg=cfg, hot=hot)
+    lam = calibrate_lambda(dist, keys, cfg=cfg)
     quality = (
         dist.join(lam.select(*keys, "lambda"), keys)
         .groupBy(*keys).agg(F.avg(score_from_distance("distance", "lambda")).alias("avg_score"))

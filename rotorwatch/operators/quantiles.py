@@ -1,204 +1,131 @@
-"""Exact percentiles and average ranks that survive a very large group.
+"""Exact percentiles and average ranks, in one way for groups of any size.
 
-Spark's exact ``percentile`` keeps the distinct values of a group in the memory
-of one task. For groups above ``Settings.hot_group_rows`` the operators split
-the group's value range, count each part, and sort only the parts that hold the
-wanted positions. Results are exact either way.
+Distinct values are counted where the rows are, then dealt by range of (group, value), so
+that a large group spreads over many parts. A small table with the row count of every (group,
+part) tells how many values lie before a part, and only within a part are values sorted. NULL
+keys are groups like others; NULL and NaN values are skipped.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rotorwatch.config import DEFAULTS, Settings
 from rotorwatch.session import materialize
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Row count of the largest group: one aggregate, one number to the driver."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def join_groups(left: DataFrame, right: DataFrame, keys, how: str = "inner", on: Column | None = None) -> DataFrame:
+    """Join on keys of which NULLs count as equal; the right side's keys are dropped."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_right_{k}"]) for k in keys])
+    return left.join(right, same if on is None else same & on, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def is_hot(df: DataFrame, keys, cfg: Settings = DEFAULTS) -> bool:
-    """Whether a group is too large for one task. Groups nested in ``keys`` are
-    smaller, so one check covers them."""
-    return largest_group(df, keys) > cfg.hot_group_rows
+def _ranged(df: DataFrame, keys, cols, cell=()) -> DataFrame:
+    """Counts of distinct values per group (and cell) with ``_p``, the part of the value order
+    they lie in. Written once, because a part's borders are drawn from a sample."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols])
+    long = (
+        df.select(*keys, *cell, F.explode(pairs).alias("_x"))
+        .select(*keys, *cell, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    )
+    counted = long.groupBy(*keys, *cell, "_m", "_v").agg(F.count("*").alias("_c"))
+    return materialize(
+        counted.repartitionByRange(*keys, "_m", "_v").withColumn("_p", F.spark_partition_id()), "value-counts"
+    )
 
 
-def _part(v: Column, lo: Column, hi: Column, parts: int) -> Column:
-    """Number of the equal-width part of [lo, hi] that ``v`` lies in."""
-    span = F.nullif(hi - lo, F.lit(0.0))
-    at = F.floor((v - lo) / span * parts)
-    return F.least(F.greatest(F.coalesce(at, F.lit(0)), F.lit(0)), F.lit(parts - 1)).cast("long")
+def _up_to(order: Window) -> Window:
+    return order.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def exact_percentiles(
-    df: DataFrame, keys, wanted: dict, cfg: Settings = DEFAULTS, hot: bool | None = None, extra=()
-) -> DataFrame:
-    """One row per group with ``{name: (column, probability)}`` percentiles.
+def _with_skips(sizes: DataFrame, group) -> DataFrame:
+    """Per part, how many values of the group lie before it, and the group's total."""
+    return sizes.withColumns({
+        "_skip": F.sum("_n").over(_up_to(Window.partitionBy(*group).orderBy("_p"))) - F.col("_n"),
+        "_total": F.sum("_n").over(Window.partitionBy(*group)),
+    })
 
-    Linear interpolation between neighbours, NULLs skipped, as pandas does.
-    ``extra`` are further aggregates of the same groups. ``hot`` forces or forbids
-    the split; by default the group sizes decide.
-    """
-    keys = list(keys)
-    if hot is None:
-        hot = is_hot(df, keys, cfg)
-    if not hot:
-        return df.groupBy(*keys).agg(
-            *extra, *[F.percentile(c, p).alias(name) for name, (c, p) in wanted.items()]
-        )
-    # Groups whose values are all NULL still get their row.
-    groups = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
-    return groups.join(split_percentiles(df, keys, wanted, cfg), keys, "left")
 
+def _positions(wanted: dict):
+    """Of each percentile, the (lower and upper) places in the order of its column."""
+    for name, (c, p) in wanted.items():
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        yield name, c, at, F.floor(at), F.ceil(at)
 
-def split_percentiles(
-    df: DataFrame, keys, wanted: dict, cfg: Settings = DEFAULTS, base=None, cell=None,
-    expand=lambda d: d,
-) -> DataFrame:
-    """Percentiles by counting parts of the value range.
 
-    Every ``base`` group's range is cut into parts; counts per part tell which one
-    holds a wanted position, and only its rows are sorted. A part that is still
-    too large is cut again. Rows are counted where they are, so what is shuffled
-    is the size of the counts.
+def _pick(rows: DataFrame, keys, wanted: dict) -> DataFrame:
+    """Percentiles from rows with ``_m``, ``_v``, ``_c``, ``_upto`` and ``_total``."""
+    aggs, out = [], []
+    for i, (name, c, at, low, high) in enumerate(_positions(wanted)):
+        def holds(place, c=c):
+            return (F.col("_m") == c) & (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c"))
 
-    Groups may overlap: ``cell`` names columns that tell the groups of a row, and
-    ``expand`` turns cells into groups. Counts are taken per cell and expanded
-    afterwards, so rows are not copied.
-    """
-    keys = list(keys)
-    base, cell = list(base or keys), list(cell or keys)
-    cuts, levels = cfg.split_cuts, 5
-    cols = sorted({c for c, _ in wanted.values()})
-    pairs = F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols])
-    long = (
-        df.select(*cell, F.explode(pairs).alias("_x"))
-        .select(*cell, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
-        .where(F.col("_v").isNotNull())
-    )
+        aggs += [
+            F.max(F.when(holds(low), F.col("_v"))).alias(f"_low{i}"),
+            F.max(F.when(holds(high), F.col("_v"))).alias(f"_high{i}"),
+            F.max(F.when(F.col("_m") == c, at - low)).alias(f"_share{i}"),
+        ]
+        a, b, s = F.col(f"_low{i}"), F.col(f"_high{i}"), F.col(f"_share{i}")
+        out.append(F.when(a == b, a).otherwise(a * (F.lit(1.0) - s) + b * s).alias(name))
+    return rows.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
-    def cut(rows, ranges, on, parent):
-        number = parent * cuts + _part(F.col("_v"), F.col("_lo"), F.col("_hi"), cuts)
-        return rows.join(ranges, on).select(*cell, "_m", "_v", number.alias("_p"))
-
-    whole = long.groupBy(*base, "_m").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    rows = cut(long, whole, [*base, "_m"], F.lit(0).cast("long"))
-    targets = None
-    for level in range(levels):
-        counts = materialize(
-            rows.groupBy(*cell, "_m", "_p").agg(
-                F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-            ), "part-counts",
-        )
-        targets = materialize(_locate(expand(counts), keys, wanted, cuts, targets), "part-targets")
-        needed = (
-            counts.groupBy(*base, "_m", "_p")
-            .agg(F.sum("_n").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-            .join(targets.select(*base, "_m", "_p").distinct(), [*base, "_m", "_p"], "left_semi")
-        )
-        # Equal values are counted, not sorted, so they need no further cut.
-        largest = needed.where("_lo < _hi").agg(F.max("_n")).first()[0] or 0
-        if largest <= cfg.hot_group_rows or level == levels - 1:
-            break
-        ranges = needed.select(*base, "_m", F.col("_p").alias("_up"), "_lo", "_hi")
-        rows = cut(rows.withColumnRenamed("_p", "_up"), ranges, [*base, "_m", "_up"], F.col("_up"))
 
+def _placed(rows: DataFrame, keys) -> DataFrame:
+    """Rows with ``_upto``, how many values of the group come up to theirs, and ``_total``."""
     part = [*keys, "_m", "_p"]
-    picked = rows.join(needed.select(*base, "_m", "_p"), [*base, "_m", "_p"], "left_semi")
-    upto = F.sum("_c").over(
-        Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    values = (
-        expand(picked.groupBy(*cell, "_m", "_p", "_v").agg(F.count("*").alias("_c")))
-        .groupBy(*part, "_v").agg(F.sum("_c").alias("_c"))
-        .withColumn("_upto", upto)
-    )
-    local = F.col("_rank") - F.col("_skip")
-    hits = targets.join(values, part).where(
-        (local < F.col("_upto")) & (local >= F.col("_upto") - F.col("_c"))
-    )
-    share = 1.0 - F.abs(F.col("_at") - F.col("_rank"))
-    by_name = hits.groupBy(*keys, "_name").agg(
-        F.sum(share * F.col("_v")).alias("_q"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    ).withColumn("_q", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_q")))
-    return by_name.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in wanted]
-    )
+    sizes = rows.groupBy(*part).agg(F.sum("_c").alias("_n"))
+    before = _with_skips(sizes, [*keys, "_m"]).drop("_n")
+    inside = F.sum("_c").over(_up_to(Window.partitionBy(*part).orderBy("_v")))
+    return join_groups(rows.withColumn("_inside", inside), before, part).withColumn(
+        "_upto", F.col("_skip") + F.col("_inside"))
 
 
-def _locate(counts: DataFrame, keys, wanted: dict, cuts: int, targets: DataFrame | None) -> DataFrame:
-    """The part that holds each wanted position, and how many values lie before it.
-    The two neighbours of an interpolated position are looked up separately."""
-    group = [*keys, "_m"]
-    up = F.floor(F.col("_p") / cuts)
-    parts = counts.groupBy(*group, "_p").agg(F.sum("_n").alias("_n")).withColumn("_up", up)
-    order = Window.partitionBy(*group, "_up").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("_before", F.sum("_n").over(order) - F.col("_n"))
-    if targets is None:
-        specs = F.array(*[
-            F.struct(F.lit(n).alias("name"), F.lit(c).alias("m"), F.lit(float(p)).alias("p"))
-            for n, (c, p) in wanted.items()
-        ])
-        targets = (
-            parts.groupBy(*group).agg(F.sum("_n").alias("_total"))
-            .withColumn("_s", F.explode(F.filter(specs, lambda s: s["m"] == F.col("_m"))))
-            .withColumn("_at", F.col("_s.p") * (F.col("_total") - 1))
-            .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-            .select(*group, F.col("_s.name").alias("_name"), "_at", "_rank",
-                    F.lit(0).cast("long").alias("_up"), F.lit(0).cast("long").alias("_skip"))
-        )
-    else:
-        targets = targets.withColumnRenamed("_p", "_up")
-    local = F.col("_rank") - F.col("_skip")
-    return (
-        targets.join(parts, [*group, "_up"])
-        .where((local >= F.col("_before")) & (local < F.col("_before") + F.col("_n")))
-        .select(*group, "_name", "_at", "_rank", "_p", (F.col("_skip") + F.col("_before")).alias("_skip"))
-    )
+def exact_percentiles(df: DataFrame, keys, wanted: dict, extra=()) -> DataFrame:
+    """One row per group with ``{name: (column, probability)}`` percentiles.
 
+    Linear interpolation between neighbours, as pandas does. ``extra`` are further
+    aggregates of the same groups. Groups whose values are all NULL still get their row.
+    """
+    keys = list(keys)
+    found = _pick(_placed(_ranged(df, keys, sorted({c for c, _ in wanted.values()})), keys), keys, wanted)
+    groups = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
+    return join_groups(groups, found, keys, "left")
 
-def average_ranks(
-    df: DataFrame, keys, value: str, name: str, cfg: Settings = DEFAULTS, hot: bool | None = None
-) -> DataFrame:
+
+def window_percentiles(df: DataFrame, key: str, wanted: dict, cell, windows_of, covers: Column) -> DataFrame:
+    """Percentiles per (key, window_no) where windows are runs of cells.
+
+    ``windows_of`` copies a table with the columns ``cell`` into the windows of each cell, and
+    ``covers`` tells whether ``window_no`` has the cell of a row. Only counts are copied into
+    windows; of the values, only those of parts that hold a wanted place.
+    """
+    cell, group = list(cell), [key, "window_no"]
+    rows = _ranged(df, [key], sorted({c for c, _ in wanted.values()}), cell)
+    sizes = windows_of(rows.groupBy(key, *cell, "_m", "_p").agg(F.sum("_c").alias("_n")))
+    sizes = sizes.groupBy(*group, "_m", "_p").agg(F.sum("_n").alias("_n"))
+    parts = _with_skips(sizes, [*group, "_m"])
+    hit = reduce(lambda a, b: a | b, [
+        (F.col("_m") == c) & (place >= F.col("_skip")) & (place < F.col("_skip") + F.col("_n"))
+        for _, c, _, low, high in _positions(wanted) for place in (low, high)
+    ])
+    needed = parts.where(hit).drop("_n")
+    near = join_groups(rows, needed, [key, "_m", "_p"], on=covers)
+    part = [*group, "_m", "_p"]
+    values = near.groupBy(*part, "_skip", "_total", "_v").agg(F.sum("_c").alias("_c"))
+    inside = F.sum("_c").over(_up_to(Window.partitionBy(*part).orderBy("_v")))
+    return _pick(values.withColumn("_upto", F.col("_skip") + inside), group, wanted)
+
+
+def average_ranks(df: DataFrame, keys, value: str, name: str) -> DataFrame:
     """One row per (group, distinct value) with the average rank of its ties.
 
     Ties are counted before anything is sorted, so a value that fills a third of
     a group costs one row here.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    if hot is None:
-        hot = is_hot(counted, keys, cfg)
-    counted = _value_parts(counted, keys, value, cfg) if hot else counted.withColumn("_p", F.lit(0))
-    in_part = Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = counted.withColumn("_upto", F.sum("_c").over(in_part))
-    if hot:
-        before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-        skips = counted.groupBy(*keys, "_p").agg(F.sum("_c").alias("_n")).select(
-            *keys, "_p", (F.sum("_n").over(before) - F.col("_n")).alias("_skip")
-        )
-        rows = rows.join(skips, [*keys, "_p"]).withColumn("_upto", F.col("_skip") + F.col("_upto"))
-    return rows.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)).alias(name))
-
-
-def _value_parts(counted: DataFrame, keys, value: str, cfg: Settings) -> DataFrame:
-    """Number the rows' value range so that no part of a group is too large.
-    ``_p`` never falls as the value grows."""
-    rows = counted.withColumn("_p", F.lit(0).cast("long"))
-    for _ in range(5):
-        sizes = rows.groupBy(*keys, "_p").agg(
-            F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-        ).where(F.col("_n") > cfg.hot_group_rows)
-        if sizes.isEmpty():
-            break
-        finer = F.coalesce(_part(F.col(value), F.col("_lo"), F.col("_hi"), cfg.split_cuts), F.lit(0))
-        ranges = sizes.select(*keys, "_p", "_lo", "_hi")
-        rows = rows.join(ranges, [*keys, "_p"], "left").select(
-            *counted.columns,
-            (F.col("_p") * cfg.split_cuts + F.when(F.col("_lo").isNotNull(), finer).otherwise(F.lit(0))).alias("_p"),
-        )
-    return rows
+    rank = F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)
+    return _placed(_ranged(df, keys, [value]), keys).select(*keys, F.col("_v").alias(value), rank.alias(name))

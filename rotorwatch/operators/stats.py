@@ -22,7 +22,7 @@ def to_long(df: DataFrame, ids, cols, name="metric", value="value") -> DataFrame
 def describe_stats(df: DataFrame, cols, key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:
     """count, mean, std, min, median and max of each column, 4 decimals."""
     stats = exact_percentiles(
-        to_long(df, [key], cols), [key, "metric"], {"median": ("value", 0.5)}, cfg,
+        to_long(df, [key], cols), [key, "metric"], {"median": ("value", 0.5)},
         extra=[
             F.count("value").alias("count"), F.avg("value").alias("mean"),
             F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
@@ -45,7 +45,7 @@ def before_after_compare(
         *keys, "metric", *[F.when(F.col(period) == s, F.col("value")).alias(s) for s in sides]
     )
     stats = exact_percentiles(
-        long, [*keys, "metric"], {f"{s}_median": (s, 0.5) for s in sides}, cfg,
+        long, [*keys, "metric"], {f"{s}_median": (s, 0.5) for s in sides},
         extra=[
             x for s in sides for x in (
                 F.count(s).alias(f"{s}_n"), F.avg(s).alias(f"{s}_mean"), F.stddev_samp(s).alias(f"{s}_std"),

@@ -49,8 +49,8 @@ def test_scoring(plant):
     assert {d for d, b in bins if b > 0} == {"P1_M1", "P1_M2"}  # P2 has no load column
     summary = {r.machine_id: r for r in run.summary.collect()}
     assert set(summary) == {"Unit 1", "P2"} and summary["P2"].latest_score_M2 is None
-    # Hot-group paths and tiny slices give the same scores.
-    _, split = scores(plant, Settings(hot_group_rows=50, split_cuts=8, block_rows=64, chunk_seconds=7200))
+    # Tiny slices give the same scores.
+    _, split = scores(plant, Settings(block_rows=64, chunk_seconds=7200))
     np.testing.assert_allclose(split.health_score, out.health_score, rtol=1e-9)
     np.testing.assert_allclose(split.health_score_smooth, out.health_score_smooth, rtol=1e-9)
 

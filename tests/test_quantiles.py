@@ -1,65 +1,59 @@
 import numpy as np
 import pandas as pd
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from rotorwatch.config import Settings
 from rotorwatch.operators.quantiles import average_ranks, exact_percentiles
 
-SPLIT = Settings(split_cuts=8, hot_group_rows=10)
 WANTED = {"lo": ("x", 0.0), "third": ("x", 1 / 3), "mid": ("x", 0.5), "p95": ("x", 0.95), "hi": ("x", 1.0), "ymid": ("y", 0.5)}
 
 
-def compare(make, p, hot):
-    got = exact_percentiles(make(p), ["k"], WANTED, SPLIT, hot).toPandas().set_index("k").sort_index()
+def compare(make, p):
+    got = exact_percentiles(make(p), ["k"], WANTED).toPandas().set_index("k").sort_index()
     for name, (c, q) in WANTED.items():
         np.testing.assert_allclose(got[name].astype(float), p.groupby("k")[c].quantile(q).sort_index(), rtol=1e-12, equal_nan=True)
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_percentiles_equal_pandas(make, hot):
+def test_percentiles_equal_pandas(make):
     rng = np.random.default_rng(3)
     n = 900
     p = pd.DataFrame({"k": rng.choice(list("abc"), n, p=[0.9, 0.09, 0.01]), "x": rng.normal(size=n), "y": rng.integers(0, 4, n) * 1.0})
     p.loc[rng.random(n) < 0.1, "x"] = np.nan
-    compare(make, p, hot)
+    compare(make, p)
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_null_group_and_extra_aggregates(make, hot):
+def test_null_group_and_extra_aggregates(make):
     from pyspark.sql import functions as F
 
     p = pd.DataFrame({"k": ["a", "a", "b"], "x": [1.0, 2.0, np.nan], "y": [1.0, 1.0, np.nan]})
-    got = exact_percentiles(make(p), ["k"], {"mid": ("x", 0.5)}, SPLIT, hot, extra=[F.count("*").alias("n")])
+    got = exact_percentiles(make(p), ["k"], {"mid": ("x", 0.5)}, extra=[F.count("*").alias("n")])
     assert sorted(tuple(r) for r in got.select("k", "n", "mid").collect()) == [("a", 2, 1.5), ("b", 1, None)]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sampled_from([0.0, 1.0, 1.0, 2.5, -3.0, 1e9, 1e-9]), min_size=1, max_size=60))
 def test_split_percentiles_with_heavy_ties(make, values):
-    compare(make, pd.DataFrame({"k": "a", "x": values, "y": values}), True)
+    compare(make, pd.DataFrame({"k": "a", "x": values, "y": values}))
 
 
-@pytest.mark.parametrize("hot", [True, False])
-def test_average_ranks_equal_pandas(make, hot):
+def test_average_ranks_equal_pandas(make):
     rng = np.random.default_rng(5)
     p = pd.DataFrame({"k": rng.choice(list("ab"), 500), "x": rng.integers(0, 40, 500) / 4})
     p.loc[:30, "x"] = np.nan
-    got = average_ranks(make(p), ["k"], "x", "r", SPLIT, hot).toPandas().sort_values(["k", "x"])
+    got = average_ranks(make(p), ["k"], "x", "r").toPandas().sort_values(["k", "x"])
     want = p.assign(r=p.groupby("k")["x"].rank()).dropna().drop_duplicates(["k", "x"]).sort_values(["k", "x"])
     np.testing.assert_allclose(got["r"].astype(float), want["r"])
 
 
-def test_group_size_decides(make, monkeypatch):
-    from rotorwatch.operators import quantiles
-
-    used = []
-    real = quantiles.split_percentiles
-    monkeypatch.setattr(quantiles, "split_percentiles", lambda *a: used.append(1) or real(*a))
-    p = pd.DataFrame({"k": "a", "x": np.arange(11.0), "y": 0.0})
-    exact_percentiles(make(p), ["k"], WANTED, SPLIT)
-    assert used
-    used.clear()
-    exact_percentiles(make(p.head(10)), ["k"], WANTED, SPLIT)
-    assert not used
+def test_null_keys_nan_infinities_and_skew(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(None, v) for v in (4.0, 4.0, 1.0, nan, None)] + [("a", v) for v in (inf, -inf, 2.0)]
+    rows += [("b", 7.0)] * 3000 + [("b", float(k)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: r for r in exact_percentiles(df, ["k"], {"mid": ("x", 0.5), "hi": ("x", 1.0)}).collect()}
+    assert (got[None].mid, got[None].hi) == (4.0, 4.0)
+    assert (got["a"].mid, got["a"].hi) == (2.0, inf)
+    assert (got["b"].mid, got["b"].hi) == (7.0, 999.0)
+    ranks = {(r.k, r.x): r.r for r in average_ranks(df, ["k"], "x", "r").collect()}
+    assert ranks[None, 1.0] == 1.0 and ranks[None, 4.0] == 2.5
+    assert ranks["a", inf] == 3.0 and ranks["b", 7.0] == 7 + 3002 / 2
