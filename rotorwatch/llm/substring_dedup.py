@@ -200,8 +200,11 @@ def remove_repeats(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 8 * parts
+    # Rows that share an id are told apart by a hash; where none do, the id is enough.
+    alone = docs.groupBy(id_col).count().where("count > 1").isEmpty()
+    check = F.lit(0) if alone else F.pmod(F.xxhash64(text(text_col)), F.lit(1 << 31)).cast("int")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("_ll_id"), F.pmod(F.xxhash64(text(text_col)), F.lit(1 << 31)).cast("int").alias("_ll_check"),
+        F.col(id_col).cast("long").alias("_ll_id"), check.alias("_ll_check"),
         text(text_col).alias("_ll_text"),
     )
     lots = rows.mapInArrow(_lots(window, minimiser_words, buckets), "bucket long, kind int, payload binary")

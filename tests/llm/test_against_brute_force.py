@@ -1,0 +1,215 @@
+"""Each operator against a plain, slow version on a small corpus."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rotorwatch.llm import (
+    exact_dedup, jaccard, maxent_lm, mixing, packing, quality_rules, secrets, substring_dedup,
+)
+from rotorwatch.llm.packing import Bins
+from rotorwatch.llm.rows import remainder, tokenizer_file
+
+WORD = re.compile(rb"[^ \t-\r]+")
+
+
+def words(t):
+    return WORD.findall(t.encode())
+
+
+def test_packing(corpus):
+    tokenizers = pytest.importorskip("tokenizers")
+    tok = tokenizers.Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    texts, docs = corpus
+    rows, by_doc, bins = packing.pack(docs, length=128).collect(), defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = 0
+    for k, t in texts.items():
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        total += len(ids)
+        got = sorted(by_doc[k], key=lambda r: r["piece"])
+        assert [r["piece"] for r in got] == list(range(len(got)))
+        assert b"".join(r["ids"] for r in got) == np.array(ids, "<u4").tobytes()
+        assert [r["start"] for r in got] == list(np.cumsum([0, *(r["length"] for r in got)])[:-1])
+        assert all(r["length"] == 128 for r in got[1:]) and got[0]["length"] <= 128
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == list(np.cumsum([0, *(n for _, n in b)])[:-1]) and sum(b[-1]) <= 128
+    assert len(bins) <= 1.08 * total / 128 + docs.rdd.getNumPartitions()
+
+
+def test_bins_take_the_fullest_that_fits_and_close_the_fullest():
+    b = Bins(10, 2)
+    assert [b.place(n) for n in (4, 7)] == [(0, 0), (1, 0)]
+    assert b.place(3) == (1, 7)          # fits both; bin 1 has less room
+    assert b.place(8) == (2, 0)          # a second open bin
+    assert b.place(7) == (3, 0)          # bin 2, the fullest, was closed
+    assert b.place(2) == (3, 7) and b.place(6) == (0, 4)
+
+
+def test_secrets(corpus):
+    texts, docs = corpus
+    kinds = [("assign", re.compile(secrets.ASSIGN, re.I | re.A), lambda m: len(m[2]) >= 6),
+             ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+             ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
+    n = Counter()
+    for r in secrets.scan(docs).collect():
+        t = texts[r["doc_id"]]
+        want = sorted((m.start(), i, k, m.end()) for i, (k, p, ok) in enumerate(kinds) for m in p.finditer(t) if ok(m))
+        s = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(s.encode()).hexdigest() and set(s.split(",")) <= set(r["spans"].split(","))
+        c = Counter(k for _, _, k, _ in want)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [c["assign"], c["access"], c["hex"]]
+        n += c
+    assert min(n.values()) > 0 and len(n) == 3
+
+
+def test_checksums():
+    body = "a1B2c3D4e5" * 3
+    good = f"x ghp_{body}{secrets.checksum(body)} npm_{body}{secrets.checksum(body)}"
+    assert [k for k, *_ in secrets.spans(good)] == ["github", "npm"]
+    assert secrets.spans(good.replace("a1B2", "a1B3")) == []
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    assert secrets.spans("İ" + jwt) == [("jwt", 1, 1 + len(jwt))] and secrets.spans("eyJhbGc.eyJzdWI.x") == []
+    key = "-----BEGIN RSA PRIVATE KEY-----\nAbC=\n-----END RSA PRIVATE KEY-----"
+    assert secrets.spans(key) == [("pem", 0, len(key))]
+
+
+def test_mix_keeps_shares_within_a_block(spark, corpus):
+    _, docs = corpus
+    weights = {"s0": 5, "s3": 2, "s2": 1}
+    rows = sorted(mixing.mix(docs, weights, rest_weight=1, block_rows=3).collect(), key=lambda r: r["position"])
+    assert sorted(r["doc_id"] for r in rows) == list(range(docs.count()))
+    assert len({r["position"] for r in rows}) == len(rows)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    slots = {r["slot"]: (r["source"] if r["source"] in weights else "rest") for r in rows}
+    assert sorted(slots) == list(range(len(slots)))  # no slot is idle
+    left, parts = Counter(slots.values()), {**weights, "rest": 1}
+    while left:  # within each phase, less than one block from the target at any time
+        done, n, total = Counter(), 0, sum(parts[s] for s in left)
+        start = sum(Counter(slots.values()).values()) - sum(left.values())
+        for t in range(start, len(slots)):
+            done[slots[t]] += 1
+            n += 1
+            assert all(abs(done[s] - n * parts[s] / total) < 1 for s in left)
+            if done[slots[t]] == left[slots[t]]:
+                break
+        left = +(left - done)
+
+
+def test_rules(corpus):
+    texts, docs = corpus
+    kept = {}
+    for r in quality_rules.clean(docs).collect():
+        t = texts[r["doc_id"]]
+        w = re.findall(r"[^ \t-\r]+", t)
+        grams = [tuple(w[k:k + 8]) for k in range(len(w) - 7)]
+        count = Counter(grams)
+        repeated = {j for k, g in enumerate(grams) if count[g] > 1 for j in range(k, k + 8)}
+        lines = [x for x in t.split("\n") if re.search(r"[^ \t-\r]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated))
+        assert want == tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+        assert r["base_failed"] == (len(w) < 20 or 100 * len(repeated) > 30 * len(w))
+        kept[r["doc_id"]] = r["kept"]
+    bad = {k for k, t in texts.items() if " | " in t or "wow!!" in t}
+    assert len(bad) == 2 and not any(kept[k] for k in bad) and sum(kept.values()) > 100
+
+
+def sets(texts):
+    out = {}
+    for k, t in texts.items():
+        w = words(t)
+        out[k] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    return out
+
+
+@pytest.mark.parametrize("chunk", [2, 512])
+def test_near_duplicates(corpus, chunk):
+    texts, docs = corpus
+    s = sets(texts)
+    links = {k: {j for j in s if j != k and s[j] and len(s[k] & s[j]) >= 0.8 * len(s[k] | s[j]) - 1e-9} for k in s if s[k]}
+    label = {k: k for k in s}
+    for _ in s:
+        for k, js in links.items():
+            label[k] = min([label[k], *(label[j] for j in js)])
+    got = {r["doc_id"]: r for r in jaccard.near_duplicates(docs, chunk=chunk).collect()}
+    assert {k: r["n_links"] for k, r in got.items()} == {k: len(links.get(k, ())) for k in s}
+    assert {k: r["class_id"] for k, r in got.items()} == label
+    assert all(r["first"] == (label[k] == k) for k, r in got.items())
+    assert sum(map(len, links.values())) > 40
+
+
+def test_prefix_depth_keeps_the_recall():
+    d = jaccard.prefix_depth(16, 8, 0.8, 0.9995)
+    assert 1 - (1 - 0.8**d) ** 16 >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** 16
+
+
+def test_exact_groups(corpus):
+    texts, docs = corpus
+    by_text = defaultdict(list)
+    for k, t in texts.items():
+        by_text[t].append(k)
+    for r in exact_dedup.exact_groups(docs, block_bytes=64).collect():
+        t = texts[r["doc_id"]]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(by_text[t]), len(by_text[t]), r["doc_id"] == max(by_text[t]))
+        assert r["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("buckets", [1, None])
+def test_substrings(corpus, buckets):
+    texts, docs = corpus
+    w, first = {k: words(t) for k, t in texts.items()}, {}
+    for k in sorted(w):
+        for i in range(len(w[k]) - 12):
+            first.setdefault(tuple(w[k][i:i + 13]), k)
+    removed = 0
+    for r in substring_dedup.remove_repeats(docs, buckets=buckets).collect():
+        x = w[r["doc_id"]]
+        gone = {j for i in range(len(x) - 12) if first[tuple(x[i:i + 13])] < r["doc_id"] for j in range(i, i + 13)}
+        assert (r["n_words"], r["n_removed"]) == (len(x), len(gone))
+        assert r["kept_text"] == b" ".join(y for j, y in enumerate(x) if j not in gone).decode()
+        assert sum(b - a for a, b in r["removed"]) == len(gone)
+        removed += len(gone)
+    assert removed > 1000
+
+
+@pytest.mark.parametrize("known", [4, 1 << 17])
+def test_language_model(corpus, known):
+    texts, docs = corpus
+    tokens = {k: [x.lower() for x in words(t)] + ["end"] for k, t in texts.items()}
+    count = Counter(x for k, t in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2 for x in t)
+    total, distinct = sum(count.values()), len(count)
+    model, counts = maxent_lm.fit(docs, remainder(7) != 2, known=known)
+    ours = base = 0.0
+    for r in maxent_lm.score(docs, model, counts).collect():
+        t = tokens[r["doc_id"]]
+        want = sum(math.log10((count[x] + 1) / (total + distinct + 1)) for x in t)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(count[x] > 0 for x in t), total)
+        assert r["base_score"] == pytest.approx(want, rel=1e-9)
+        if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2:
+            ours, base = ours + r["score"], base + r["base_score"]
+    assert known == 4 or ours > base
+
+
+def test_next_word_probabilities_add_up(corpus):
+    """Over all frequent words and the rare ones together, after any two words."""
+    _, docs = corpus
+    model, _ = maxent_lm.fit(docs, F.lit(True))
+    two = np.array([3, 9])
+    log = []
+    for s in range(maxent_lm.SYMBOLS):
+        sym, keys = maxent_lm._features(np.array([*two, s]), np.array([0, 3]))
+        k = [x[2:] for x in keys]
+        g = sym[2:] // maxent_lm.WITHIN
+        z, _, n = maxent_lm._softmax(model.class_bias, model.class_w, maxent_lm._class_rows(k))
+        v, _, m = maxent_lm._softmax(model.word_bias[g], model.word_w, maxent_lm._word_rows(k, g))
+        log.append(z[0, g[0]] - np.log(n[0]) + v[0, s % maxent_lm.WITHIN] - np.log(m[0]))
+    assert np.exp(np.float64(log)).sum() == pytest.approx(1, abs=1e-4)
