@@ -16,6 +16,7 @@ others are joined by word.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -36,7 +37,7 @@ END = b"\n"
 CLASS_ROWS, WORD_ROWS, BLOCK_ROWS = 1 << 14, 1 << 16, 1 << 8
 OWN_ROWS = WORD_ROWS // CLASSES
 KINDS = 3
-LOT = 1 << 20  # tokens worked on at once
+LOT = 1 << 18  # tokens worked on at once
 STEP = 1 << 15
 
 
@@ -53,9 +54,10 @@ class Model:
     word_w: np.ndarray      # WORD_ROWS x WITHIN
 
 
-def _tokens(column) -> list[list[bytes]]:
+def _tokens(column) -> Iterator[list[bytes]]:
     """Words of each text, A-Z in lower case, with the end."""
-    return [[*s.lower().split(), END] for s in column.cast(pa.binary()).to_pylist()]
+    for s in column.cast(pa.binary()).to_pylist():
+        yield [*s.lower().split(), END]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -74,16 +76,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _lots(docs, index):
-    """Some documents at a time: ranks of their tokens (-1: not frequent) and where each begins."""
+    """Some documents at a time: the first's number, their tokens, the tokens' ranks (-1: not
+    frequent) and where each document begins."""
+    def made():
+        first = np.cumsum([0, *map(len, lot)])
+        return lo, lot, np.fromiter((index.get(w, -1) for t in lot for w in t), np.int64, size), first
+
     lot, size, lo = [], 0, 0
-    for k, t in enumerate(docs):
+    for t in docs:
         lot.append(t)
         size += len(t)
-        if size >= LOT or k == len(docs) - 1:
-            first = np.cumsum([0, *map(len, lot)])
-            rank = np.fromiter((index.get(w, -1) for t in lot for w in t), np.int64, size)
-            yield lo, rank, first
-            lot, size, lo = [], 0, k + 1
+        if size >= LOT:
+            yield made()
+            lot, size, lo = [], 0, lo + len(lot)
+    if lot:
+        yield made()
 
 
 def _features(rank, first):
@@ -157,7 +164,7 @@ def _observed(held):
         model = held.value
         tables = [np.zeros(CLASS_ROWS * CLASSES, np.float32), np.zeros(WORD_ROWS * WITHIN, np.float32)]
         for batch in batches:
-            for _, rank, first in _lots(_tokens(batch.column("_ll_text")), model.index):
+            for _, _, rank, first in _lots(_tokens(batch.column("_ll_text")), model.index):
                 sym, keys = _features(rank, first)
                 group, place = sym // WITHIN, sym % WITHIN
                 for table, rows, outcome, width in (
@@ -187,7 +194,7 @@ def _gradient(held):
                 grad[s[at]] += np.add.reduceat(g[order], at, axis=0)
 
         for batch in batches:
-            for _, rank, first in _lots(_tokens(batch.column("_ll_text")), m.index):
+            for _, _, rank, first in _lots(_tokens(batch.column("_ll_text")), m.index):
                 sym, keys = _features(rank, first)
                 for lo in range(0, len(sym), STEP):
                     s, k = sym[lo:lo + STEP], [x[lo:lo + STEP] for x in keys]
@@ -266,8 +273,7 @@ def _scored(held):
         log10 = np.log(10.0)
         rest = -m.rare_log
         for batch in batches:
-            docs = _tokens(batch.column("_ll_text"))
-            for lo, rank, first in _lots(docs, m.index):
+            for lo, lot, rank, first in _lots(_tokens(batch.column("_ll_text")), m.index):
                 sym, keys = _features(rank, first)
                 each = np.empty(len(sym))
                 for at in range(0, len(sym), STEP):
@@ -284,7 +290,7 @@ def _scored(held):
                 values = [np.diff(first), *(_total(x, first) for x in (rank >= 0, count, each))]
                 rare = []
                 for d in range(n):
-                    t = docs[lo + d]
+                    t = lot[d]
                     rare.append(list(Counter(t[j] for j in np.flatnonzero(rank[first[d]:first[d + 1]] < 0)).items()))
                 part = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays([
