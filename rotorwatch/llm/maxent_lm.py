@@ -39,6 +39,7 @@ OWN_ROWS = WORD_ROWS // CLASSES
 KINDS = 3
 LOT = 1 << 18  # tokens worked on at once
 STEP = 1 << 15
+TOGETHER = 4  # splits that one task adds up to a gradient
 
 
 @dataclass(frozen=True)
@@ -258,6 +259,8 @@ def fit(
     )
     for k in range(rounds):
         part = train.where(F.pmod(F.xxhash64("_ll_id", F.lit("part")), F.lit(share)) == k).select("_ll_text")
+        # A task returns a gradient of full size, so few tasks take several splits each.
+        part = part.coalesce(-(-part.rdd.getNumPartitions() // TOGETHER))
         grads = _added(part.mapInArrow(_gradient(sc.broadcast(model)), _PARTS))
         stepped = []
         for w, g, o in zip((model.class_w, model.word_w), grads, seen, strict=True):
