@@ -38,7 +38,7 @@ CLASS_ROWS, WORD_ROWS, BLOCK_ROWS = 1 << 14, 1 << 16, 1 << 8
 OWN_ROWS = WORD_ROWS // CLASSES
 KINDS = 3
 LOT = 1 << 18  # tokens worked on at once
-STEP = 1 << 15
+STEP = 1 << 13
 TOGETHER = 4  # splits that one task adds up to a gradient
 
 
@@ -57,8 +57,11 @@ class Model:
 
 def _tokens(column) -> Iterator[list[bytes]]:
     """Words of each text, A-Z in lower case, with the end."""
-    for s in column.cast(pa.binary()).to_pylist():
-        yield [*s.lower().split(), END]
+    texts = column.cast(pa.binary())
+    for lo in range(0, len(texts), 256):
+        for s in texts.slice(lo, 256).to_pylist():
+            yield [*s.lower().split(), END]
+    pa.default_memory_pool().release_unused()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -117,13 +120,17 @@ def _word_rows(keys, group):
     return [group * OWN_ROWS + (k >> np.uint64(44)).astype(np.int64) % OWN_ROWS for k in keys]
 
 
-def _softmax(bias, weights, rows):
-    z = bias + weights[rows[0]]
+def _softmax(bias, weights, rows, outcome, group=None):
+    """Log-probability of each token's outcome; all outcomes' exponentials and their sum."""
+    z = np.take(weights, rows[0], axis=0)
     for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(1, keepdims=True)
-    e = np.exp(z)
-    return z, e, e.sum(1)
+        z += np.take(weights, r, axis=0)
+    z += bias if group is None else bias[group]
+    own, top = z[np.arange(len(z)), outcome], z.max(1)
+    z -= top[:, None]
+    np.exp(z, out=z)
+    total = z.sum(1)
+    return own - top - np.log(total), z, total
 
 
 def _blocks(tables):
@@ -171,8 +178,8 @@ def _observed(held):
                 for table, rows, outcome, width in (
                     (tables[0], _class_rows(keys), group, CLASSES), (tables[1], _word_rows(keys, group), place, WITHIN)
                 ):
-                    at, n = np.unique(np.concatenate([r * width + outcome for r in rows]), return_counts=True)
-                    table[at] += n
+                    for r in rows:
+                        np.add.at(table, r * width + outcome, np.float32(1))
         blocks = list(_blocks([t.reshape(-1, WITHIN) for t in tables]))
         if blocks:
             yield _as_batch(blocks)
@@ -200,10 +207,10 @@ def _gradient(held):
                 for lo in range(0, len(sym), STEP):
                     s, k = sym[lo:lo + STEP], [x[lo:lo + STEP] for x in keys]
                     group, rows = s // WITHIN, _class_rows(k)
-                    _, e, total = _softmax(m.class_bias, m.class_w, rows)
+                    _, e, total = _softmax(m.class_bias, m.class_w, rows, group)
                     add(grads[0], rows, e, total, group)
                     rows = _word_rows(k, group)
-                    _, e, total = _softmax(m.word_bias[group], m.word_w, rows)
+                    _, e, total = _softmax(m.word_bias, m.word_w, rows, s % WITHIN, group)
                     add(grads[1], rows, e, total, s % WITHIN)
         blocks = list(_blocks(grads))
         if blocks:
@@ -281,11 +288,10 @@ def _scored(held):
                 each = np.empty(len(sym))
                 for at in range(0, len(sym), STEP):
                     s, k = sym[at:at + STEP], [x[at:at + STEP] for x in keys]
-                    group, here = s // WITHIN, np.arange(len(s))
-                    z, _, total = _softmax(m.class_bias, m.class_w, _class_rows(k))
-                    log = z[here, group] - np.log(total)
-                    z, _, total = _softmax(m.word_bias[group], m.word_w, _word_rows(k, group))
-                    each[at:at + STEP] = (log + z[here, s % WITHIN] - np.log(total)) / log10
+                    group = s // WITHIN
+                    log = _softmax(m.class_bias, m.class_w, _class_rows(k), group)[0]
+                    log = log + _softmax(m.word_bias, m.word_w, _word_rows(k, group), s % WITHIN, group)[0]
+                    each[at:at + STEP] = log / log10
                 count = np.where(rank >= 0, m.log_count[np.maximum(rank, 0)] if len(m.log_count) else 0.0, 0.0)
                 each += np.where(sym == RARE, count + rest, 0)
                 n = len(first) - 1

@@ -207,9 +207,8 @@ def test_next_word_probabilities_add_up(corpus):
     log = []
     for s in range(maxent_lm.SYMBOLS):
         sym, keys = maxent_lm._features(np.array([*two, s]), np.array([0, 3]))
-        k = [x[2:] for x in keys]
+        k, own = [x[2:] for x in keys], sym[2:] % maxent_lm.WITHIN
         g = sym[2:] // maxent_lm.WITHIN
-        z, _, n = maxent_lm._softmax(model.class_bias, model.class_w, maxent_lm._class_rows(k))
-        v, _, m = maxent_lm._softmax(model.word_bias[g], model.word_w, maxent_lm._word_rows(k, g))
-        log.append(z[0, g[0]] - np.log(n[0]) + v[0, s % maxent_lm.WITHIN] - np.log(m[0]))
+        a = maxent_lm._softmax(model.class_bias, model.class_w, maxent_lm._class_rows(k), g)[0]
+        log.append((a + maxent_lm._softmax(model.word_bias, model.word_w, maxent_lm._word_rows(k, g), own, g)[0])[0])
     assert np.exp(np.float64(log)).sum() == pytest.approx(1, abs=1e-4)
