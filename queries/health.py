@@ -290,6 +290,19 @@ def latest(spark, sf):
     return df.withColumn("latest_score", F.round("latest_score", 4))
 
 
+@query("scoring_status", """
+SELECT v.device_id, CASE WHEN NOT c.yes THEN 'no_clean_rows' WHEN NOT b.yes THEN 'no_baseline' WHEN NOT m.yes THEN 'not_trained'
+ WHEN NOT s.yes THEN 'not_scored' ELSE 'scored' END AS status
+FROM (SELECT DISTINCT device_id FROM vib) v,
+ LATERAL (SELECT count(*) > 0 AS yes FROM merged x WHERE x.device_id = v.device_id) c,
+ LATERAL (SELECT count(*) > 0 AS yes FROM base_rows x WHERE x.device_id = v.device_id) b,
+ LATERAL (SELECT count(*) > 0 AS yes FROM models x WHERE x.device_id = v.device_id) m,
+ LATERAL (SELECT count(health_score) > 0 AS yes FROM scored x WHERE x.device_id = v.device_id) s""")
+def status(spark, sf):
+    run = scoring(spark, sf)
+    return fleet.scoring_status(i.vib(spark, sf), run.rows, run.baseline, run.model, run.scored)
+
+
 @query("semi_join_baseline", "SELECT row_id FROM flagged WHERE is_baseline")
 def in_baseline(spark, sf):
     run = scoring(spark, sf)

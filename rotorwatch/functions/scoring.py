@@ -14,12 +14,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def no_nan(x) -> Column:
-    """NaN becomes NULL, so that comparisons drop it."""
-    c = _c(x)
-    return F.when(~F.isnan(c), c)
-
-
 def total_vrms(x="velRMS_x", y="velRMS_y", z="velRMS_z") -> Column:
     return F.sqrt(_c(x) * _c(x) + _c(y) * _c(y) + _c(z) * _c(z))
 

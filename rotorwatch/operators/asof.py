@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ def asof_nearest(
     The distance limit is inclusive; of two equally near rows the earlier wins;
     left rows without a match keep NULLs. All payload columns come from one right
     row, its NULLs included. Of right rows with one timestamp the last counts when
-    looking back and the first when looking ahead (``right_order`` says which).
+    looking back and the first when looking ahead (``right_order`` says which). A NULL
+    key or time matches nothing.
 
     Both sides are cut into (key, time slice), and a right row is copied into the
     slices its tolerance reaches, so a busy key spreads over many tasks.
@@ -30,8 +33,9 @@ def asof_nearest(
 
     body = F.struct(*[F.col(c) for c in payload])
     rank = F.col(right_order) if right_order else body
+    known = [F.col(c).isNotNull() for c in (*keys, ts)]
     marks = (
-        right.where(F.col(ts).isNotNull())
+        right.where(reduce(lambda a, b: a & b, known))
         .groupBy(*keys, ts)
         .agg(F.max_by(body, rank).alias("_late"), F.min_by(body, rank).alias("_early"))
         .withColumn("_u", micros(ts))

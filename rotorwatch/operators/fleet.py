@@ -9,7 +9,7 @@ from rotorwatch.config import DEFAULTS, Settings
 from rotorwatch.functions.scoring import alert_level, trend_label
 from rotorwatch.functions.times import from_micros, micros
 from rotorwatch.operators.mapping import map_devices
-from rotorwatch.operators.quantiles import exact_percentiles
+from rotorwatch.operators.quantiles import exact_percentiles, join_groups
 
 
 def filter_valid_scores(df: DataFrame, score="HealthScore") -> DataFrame:
@@ -134,6 +134,19 @@ def device_records(scored: DataFrame, baseline: DataFrame, device_dim: DataFrame
     return map_devices(latest.join(base, "device_id"), device_dim).drop("tagname")
 
 
+def scoring_status(points: DataFrame, cleaned: DataFrame, baseline: DataFrame, model: DataFrame, scored: DataFrame,
+                   key="device_id") -> DataFrame:
+    """One row per measuring point: ``scored``, or the first step that gave nothing for it."""
+    out = points.select(key).distinct()
+    steps = (("no_clean_rows", cleaned), ("no_baseline", baseline), ("not_trained", model),
+             ("not_scored", scored.where(F.col("health_score").isNotNull())))
+    status = F.lit(None).cast("string")
+    for name, rows in steps:
+        out = join_groups(out, rows.select(key).distinct().withColumn(name, F.lit(True)), [key], "left")
+        status = F.coalesce(status, F.when(F.col(name).isNull(), F.lit(name)))
+    return out.select(key, F.coalesce(status, F.lit("scored")).alias("status"))
+
+
 def device_summary(records: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """One row per machine: both positions, the lower score, its alert, the
     baseline dates of M1 (else M2) and the summed row count."""

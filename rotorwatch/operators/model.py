@@ -116,7 +116,7 @@ def fit_bin_moments(
     the ``carry`` columns, which are constant within a machine.
 
     The mean uses every value; the covariance only rows with all features. Bins
-    with fewer than two such rows are left out.
+    with fewer than two such rows, or with a covariance that is not finite, are left out.
     """
     features = list(features or cfg.features)
     n = len(features)
@@ -131,7 +131,7 @@ def fit_bin_moments(
             F.array(*[F.avg(f) for f in features]).alias("mean"),
             F.array(*[F.covar_samp(masked[a], masked[b]) for a in features for b in features]).alias("cov"),
         )
-        .where(F.col("n_complete") >= 2)
+        .where((F.col("n_complete") >= 2) & F.forall("cov", lambda x: F.abs(x) < float("inf")))
     )
     # One row per bin reaches Python.
     types = dict(moments.dtypes)

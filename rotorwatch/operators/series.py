@@ -2,7 +2,8 @@
 
 A window over a whole machine would put all its rows into one task. The
 operators here cut a machine into slices first, and pass what crosses a slice
-border through a small table with one row per (machine, slice).
+border through a small table with one row per (machine, slice). Rows without a
+time stand before all others of their machine; a NULL machine is one like others.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rotorwatch.config import DEFAULTS, Settings
 from rotorwatch.functions.times import time_chunk
+from rotorwatch.operators.quantiles import join_groups
 
 TIME_ORDER = ("datetime", "row_id")
 
@@ -28,7 +30,7 @@ def _from_slices(df: DataFrame, rows: DataFrame, keys, aggs, carried) -> DataFra
     """Join rows with what the earlier slices of their machine hand over."""
     per_slice = df.groupBy(*keys, "_slice").agg(*aggs)
     before = Window.partitionBy(*keys).orderBy("_slice")
-    return rows.join(per_slice.select(*keys, "_slice", *carried(before)), [*keys, "_slice"], "left")
+    return join_groups(rows, per_slice.select(*keys, "_slice", *carried(before)), [*keys, "_slice"], "left")
 
 
 def with_position(

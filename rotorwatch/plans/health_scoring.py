@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from rotorwatch.config import DEFAULTS, Settings
 from rotorwatch.operators.baseline import baseline_slice, detect_baseline
 from rotorwatch.operators.clean import derive_features, filter_running, filter_spikes, smooth_features
-from rotorwatch.operators.fleet import device_records, device_summary
+from rotorwatch.operators.fleet import device_records, device_summary, scoring_status
 from rotorwatch.operators.mapping import asof_current, asof_scada_wide
 from rotorwatch.operators.model import predict_scores, score_rows, train_model
 from rotorwatch.operators.telemetry import pivot_scada
@@ -24,6 +24,7 @@ class Scoring(NamedTuple):
     scored: DataFrame      # rows with scores, alerts and smoothed scores (lazy)
     records: DataFrame     # one row per measuring point
     summary: DataFrame     # one row per machine
+    status: DataFrame      # one row per measuring point: scored, or the step that failed
 
 
 def aligned_rows(
@@ -60,4 +61,5 @@ def score_machines(
     model = materialize(train_model(baseline, cfg=cfg), "model")
     scored = predict_scores(rows, model, cfg=cfg)
     records = device_records(score_rows(rows, model, cfg=cfg), baseline, device_dim)
-    return Scoring(rows, candidates, baseline, model, scored, records, device_summary(records, cfg))
+    status = scoring_status(vib, rows, baseline, model, scored)
+    return Scoring(rows, candidates, baseline, model, scored, records, device_summary(records, cfg), status)

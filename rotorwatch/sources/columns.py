@@ -10,18 +10,15 @@ TIME_NAMES = ("datetime", "date", "time", "timestamp")
 TAG_NAMES = ("tagname", "tag_name", "tag", "tagid", "tag_id", "sensor", "sensorname", "sensor_id", "sensorid")
 VALUE_NAMES = ("value", "val", "measurement", "reading", "data", "current")
 DEVICE_NAMES = ("device_id", "device", "deviceid")
+DATE_NAMES, DATE_PARTS = ("日期", "保養日期"), ("date",)
+EVENT_PARTS = ("event", "name", "項目")
 SCORE_NAMES = ("healthscore", "health_score", "health score")
 
-# Timestamp layouts after slashes became dashes.
-LAYOUTS = (
-    "yyyy-M-d H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-    "yyyy-M-d'T'H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-    "yyyy-M-d H:m",
-    "yyyy-M-d",
-    "yyyy-M-d h:m:s a",
-    "M-d-yyyy H:m:s",
-    "M-d-yyyy H:m",
-    "M-d-yyyy",
+# Fixed value: a date (year first, month first or eight digits), a clock time, a half of
+# the day, a zone mark; slashes have become dashes.
+STAMP = (
+    r"^(?:(\d{4})-(\d{1,2})-(\d{1,2})|(\d{1,2})-(\d{1,2})-(\d{4})|(\d{4})(\d{2})(\d{2}))"
+    r"(?:[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d+))?)?(?: ?(AM|PM))?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?$"
 )
 YEARS = (2020, 2030)
 
@@ -30,10 +27,29 @@ FILE_PATTERN = r"(?i)(?:冰水_)?([A-Za-z0-9]+(?:_[A-Za-z0-9]+)*)_(M[12])_Analyt
 
 
 def parse_timestamp(text) -> Column:
-    """Timestamp without zone from text in any accepted layout, NULL otherwise."""
+    """Timestamp without zone from text in any accepted layout, NULL otherwise.
+
+    Fractions beyond microseconds are cut. A zone mark is dropped and the clock time
+    kept; the session's zone plays no part.
+    """
     c = F.col(text) if isinstance(text, str) else text
-    clean = F.trim(F.regexp_replace(F.regexp_replace(c.cast("string"), "/", "-"), r"\s+", " "))
-    return F.coalesce(*[F.try_to_timestamp(clean, F.lit(x)).cast("timestamp_ntz") for x in LAYOUTS])
+    clean = F.upper(F.trim(F.regexp_replace(F.regexp_replace(c.cast("string"), "/", "-"), r"\s+", " ")))
+
+    def part(*groups):
+        """The first of these groups that matched."""
+        return F.concat(*[F.regexp_extract(clean, STAMP, g) for g in groups])
+
+    def two(x):
+        return F.lpad(x, 2, "0")
+
+    hour, half = F.regexp_extract(clean, STAMP, 10), F.regexp_extract(clean, STAMP, 14)
+    number = hour.try_cast("int")
+    hour = F.when(half == "", hour).when(number.between(1, 12), (number % 12 + F.when(half == "PM", 12).otherwise(0)).cast("string"))
+    iso = F.concat(
+        part(1, 6, 7), F.lit("-"), two(part(2, 4, 8)), F.lit("-"), two(part(3, 5, 9)), F.lit(" "),
+        two(hour), F.lit(":"), two(part(11)), F.lit(":"), two(part(12)), F.lit("."), F.rpad(part(13), 6, "0"),
+    )
+    return F.when(clean.rlike(STAMP), iso.try_cast("timestamp_ntz"))
 
 
 def timestamp_audit(df: DataFrame, keys=(), ts="datetime") -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import csv
 import logging
+import re
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,14 @@ MEASURES = (
     "HealthScore", "Total_vRMS", "Crest_Factor",
 )
 
+VIBRATION_SCHEMA = (
+    "datetime timestamp_ntz, " + ", ".join(f"{m} double" for m in MEASURES)
+    + ", devicename string, position string, device_id string, row_id long"
+)
+DEVICE_SCHEMA = (
+    "tagname string, devicename string, machine_id string, model_group string, "
+    "train_start timestamp_ntz, train_end timestamp_ntz, row_no long"
+)
 LONG_SCHEMA = "datetime timestamp_ntz, tagname string, value double, row_id long"
 TAG_SCHEMA = "tagname string, variable_type string, device_id string, unit string, row_no long"
 LOG_SCHEMA = "device_id string, event_ts timestamp_ntz, event_name string"
@@ -47,10 +57,21 @@ class Layout(NamedTuple):
 
 
 def file_layouts(spark: SparkSession, path) -> list[Layout]:
-    """Files grouped by encoding and header. One row per file reaches the driver."""
+    """Files grouped by encoding and header; none where the path is absent. One row per
+    file reaches the driver."""
     paths = [path] if isinstance(path, str) else list(path)
+    try:
+        return _layouts(spark, paths)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log.error("no such input: %s", paths)
+        return []
+
+
+def _layouts(spark, paths) -> list[Layout]:
     lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(paths)
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").text(paths)
         .select("value", F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     )
@@ -64,11 +85,21 @@ def file_layouts(spark: SparkSession, path) -> list[Layout]:
     for row in found.orderBy("file").collect():
         enc = UTF8 if row["utf8"] else CP950 if row["cp950"] else LATIN1
         text = bytes(row["first"]).decode(enc[1], errors="replace")
-        header = tuple(h.strip() for h in next(csv.reader([text]), []))
+        header = _distinct(h.strip() for h in next(csv.reader([text]), []))
         groups.setdefault((enc, header), []).append(row["file"])
     return [Layout(e, h, f) for (e, h), f in groups.items()]
 
 
+def _distinct(names) -> tuple:
+    """Header names; one that occurs again, case aside, gets a number behind it."""
+    seen: dict = {}
+    out = []
+    for h in names:
+        n = seen[h.lower()] = seen.get(h.lower(), -1) + 1
+        out.append(f"{h}.{n}" if n else h)
+    return tuple(out)
+
+
 def _read_layout(spark: SparkSession, layout: Layout) -> DataFrame:
     if layout.encoding == CP950:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # cp950 is not in the default list
@@ -85,6 +116,7 @@ def _quoted(name: str):
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
+    """At least one frame, united by column name."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
@@ -92,8 +124,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_csv_multi_encoding(spark: SparkSession, path) -> DataFrame:
-    """All columns as text, files united by column name."""
-    return _union([_read_layout(spark, x) for x in file_layouts(spark, path)]).drop("_file")
+    """All columns as text, files united by column name; without files, no column."""
+    frames = [_read_layout(spark, x) for x in file_layouts(spark, path)]
+    return _union(frames).drop("_file") if frames else spark.createDataFrame([], T.StructType([]))
 
 
 def load_vibration(spark: SparkSession, folder) -> DataFrame:
@@ -119,7 +152,8 @@ def load_vibration(spark: SparkSession, folder) -> DataFrame:
             F.xxhash64("_file", *[_quoted(h) for h in layout.header]).alias("row_id"),
         ))
     if not frames:
-        raise ValueError(f"no vibration file with a time column in {folder}")
+        log.error("no vibration file with a time column in %s", folder)
+        return spark.createDataFrame([], VIBRATION_SCHEMA)
     return _union(frames).where(F.col("datetime").isNotNull() & F.col("device_id").isNotNull())
 
 
@@ -167,6 +201,8 @@ def _blank_to_null(name):
 
 def load_device_mapping(spark: SparkSession, path) -> DataFrame:
     df, names = _dimension(spark, path)
+    if not names:
+        return spark.createDataFrame([], DEVICE_SCHEMA)
     required = ["tagname", "devicename", "machine_id", "model_group"]
     missing = [c for c in required if c not in names]
     if missing:
@@ -182,15 +218,14 @@ def load_tag_mapping(spark: SparkSession, path) -> DataFrame:
     """Headers may differ in case, spaces and hyphens. Without the required
     columns the mapping is empty."""
     df, names = _dimension(spark, path)
-    norm = {}
-    for c in names:
-        norm.setdefault(c.strip().lower().replace(" ", "_").replace("-", "_"), c)
+    plain = {re.sub(r"[\s-]", "_", c): c for c in reversed(names)}
+    norm = {n: plain.get(C.first_header(plain, (n,))) for n in ("tagname", "variable_type", "device_id", "unit")}
     required = ("tagname", "variable_type", "device_id")
-    missing = [c for c in required if c not in norm]
+    missing = [c for c in required if not norm[c]]
     if missing:
         log.error("tag mapping lacks %s: %s", missing, names)
         return spark.createDataFrame([], TAG_SCHEMA)
-    unit = _quoted(norm["unit"]) if "unit" in norm else F.lit("")
+    unit = _quoted(norm["unit"]) if norm["unit"] else F.lit("")
     return df.select(
         *[F.trim(_quoted(norm[c])).alias(c) for c in required], unit.alias("unit"), "row_no"
     )
@@ -198,14 +233,9 @@ def load_tag_mapping(spark: SparkSession, path) -> DataFrame:
 
 def load_maintenance_log(spark: SparkSession, path) -> DataFrame:
     df, names = _dimension(spark, path)
-    lower = {c: c.strip().lower() for c in names}
-
-    def first(test):
-        return next((c for c in names if test(lower[c])), None)
-
-    dev = first(lambda c: c in C.DEVICE_NAMES)
-    date = first(lambda c: "date" in c or c in ("日期", "保養日期"))
-    name = first(lambda c: "event" in c or "name" in c or "項目" in c)
+    dev = C.first_header(names, C.DEVICE_NAMES)
+    date = C.first_header(names, C.DATE_NAMES, C.DATE_PARTS)
+    name = C.first_header([c for c in names if c != dev], (), C.EVENT_PARTS)
     if dev is None or date is None:
         log.warning("maintenance log lacks a device or date column: %s", names)
         return spark.createDataFrame([], LOG_SCHEMA)

@@ -58,3 +58,14 @@ def test_equals_merge_asof(make, tol, chunk):
     want = pd.merge_asof(l, r, on="datetime", by="k", direction="nearest", tolerance=pd.Timedelta(seconds=tol))
     got = asof_nearest(make(l), make(r), ["k"], ["v"], tol, right_order="o", cfg=Settings(chunk_seconds=chunk)).toPandas()
     np.testing.assert_allclose(got.sort_values("row_id")["v"].astype(float), want.sort_values("row_id")["v"], equal_nan=True)
+
+
+def test_null_keys_match_nothing(spark):
+    from rotorwatch.operators.asof import asof_nearest
+
+    left = spark.sql("SELECT * FROM VALUES (1, 'a', timestamp_ntz'2024-01-01 00:00:00'), (2, NULL, timestamp_ntz'2024-01-01 00:00:00'), "
+                     "(3, 'a', NULL) AS t(n, k, datetime)")
+    right = spark.sql("SELECT * FROM VALUES ('a', 1.0D, timestamp_ntz'2024-01-01 00:00:10'), (NULL, 5.0D, timestamp_ntz'2024-01-01 00:00:00'), "
+                      "('a', 7.0D, NULL) AS t(k, x, datetime)")
+    got = {r.n: r.x for r in asof_nearest(left, right, ["k"], ["x"]).collect()}
+    assert got == {1: 1.0, 2: None, 3: None}

@@ -66,3 +66,16 @@ def test_equal_timestamps_are_ordered_by_row_id(make):
     p = pd.DataFrame({"k": "a", "datetime": pd.Timestamp("2024-01-01"), "row_id": [3, 1, 2], "x": [3.0, 1.0, 2.0]})
     df = series.with_previous(make(p), ["k"], ["x"])
     assert [(r.row_id, r.prev_x) for r in df.orderBy("row_id").collect()] == [(1, None), (2, 1.0), (3, 2.0)]
+
+
+def test_no_row_is_lost_without_time_or_key(spark):
+    from rotorwatch.operators.series import fill_gaps, rolling_median, with_position, with_previous
+
+    rows = spark.sql("SELECT * FROM VALUES ('a', timestamp_ntz'2024-01-01 00:00:00', 1L, 1.0D), ('a', NULL, 2L, 2.0D), "
+                     "(NULL, timestamp_ntz'2024-01-01 00:00:00', 3L, 3.0D), (NULL, timestamp_ntz'2024-01-01 05:00:00', 4L, NULL) "
+                     "AS t(device_id, datetime, row_id, x)")
+    pos = {r.row_id: r.pos for r in with_position(rows, ["device_id"]).collect()}
+    assert pos == {2: 0, 1: 1, 3: 0, 4: 1}
+    assert {r.row_id: r.prev_x for r in with_previous(rows, ["device_id"], ["x"]).collect()} == {2: None, 1: 2.0, 3: None, 4: 3.0}
+    assert {r.row_id: r.x for r in fill_gaps(rows, ["device_id"], ["x"]).collect()} == {1: 1.0, 2: 2.0, 3: 3.0, 4: 3.0}
+    assert {r.row_id: r.x for r in rolling_median(rows, ["device_id"], ["x"], 3).collect()} == {1: 1.5, 2: 1.5, 3: 3.0, 4: 3.0}

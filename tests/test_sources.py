@@ -108,3 +108,43 @@ def test_partitioned_csv_round_trip(spark, make, frame, tmp_path):
     assert back.columns[0] == "devicename" and back.count() == 2
     with pytest.raises(Exception, match="(?i)already exists"):
         sinks.write_table(df, path, "csv", by="device_id")
+
+
+def test_timestamp_layouts(spark):
+    import datetime as dt
+
+    from rotorwatch.sources.columns import parse_timestamp
+
+    at = dt.datetime
+    want = {
+        "2024-01-02 03:04:05.1234567": at(2024, 1, 2, 3, 4, 5, 123456), "2024/1/2 3:4:5.5": at(2024, 1, 2, 3, 4, 5, 500000),
+        "2024-01-02T03:04:05Z": at(2024, 1, 2, 3, 4, 5), "2024-01-02 03:04:05.123456789+08:00": at(2024, 1, 2, 3, 4, 5, 123456),
+        "20240102": at(2024, 1, 2), "2024-01-02 10:00 PM": at(2024, 1, 2, 22), "1/2/2024 12:30:00 am": at(2024, 1, 2, 0, 30),
+        "2024-02-30": None, "13:00": None, "x": None, "2024-01-02 13:00 PM": None, "": None, "2024-1-2 3:4": at(2024, 1, 2, 3, 4),
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "t string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r.t: r.x for r in rows.select("t", parse_timestamp("t").alias("x")).collect()}
+        gap = spark.createDataFrame([("2024/03/10 02:30:00",)], "t string").select(parse_timestamp("t").cast("string")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == want and gap == "2024-03-10 02:30:00"
+
+
+def test_inputs_that_are_absent_empty_or_odd(spark, tmp_path):
+    from rotorwatch.sources import readers
+
+    absent, empty, odd = str(tmp_path / "no"), tmp_path / "empty", tmp_path / "odd"
+    empty.mkdir()
+    odd.mkdir()
+    for path in (absent, str(empty)):
+        assert readers.load_vibration(spark, path).count() == 0
+        assert readers.load_current(spark, path).count() == 0
+        assert readers.load_device_mapping(spark, path).columns[0] == "tagname"
+        assert readers.load_tag_mapping(spark, path).count() == 0
+        assert readers.load_maintenance_log(spark, path).count() == 0
+    (odd / "a.csv").write_text("datetime,tagname,value\n2024-01-01,t,1\n")
+    (odd / "b.CSV").write_text("datetime,tagname,value,Value\n2024-01-02,t,2,9\n")
+    assert sorted(r.value for r in readers.load_current(spark, str(odd)).collect()) == [1.0, 2.0]
