@@ -63,6 +63,29 @@ def vibration(spark, sf):
     return rounded(df.select("datetime", "devicename", "position", "device_id", *cols), *cols)
 
 
+@query("load_report", """
+SELECT CASE event_id % 5 WHEN 0 THEN 'slashes' WHEN 1 THEN 'zone' WHEN 2 THEN 'compact' WHEN 3 THEN 'broken' ELSE 'untimed' END AS part,
+ event_id % 5 <> 4 AS has_time, count(*) AS n_rows,
+ count(*) FILTER (WHERE event_id % 5 = 4 OR (event_id % 5 = 3 AND user_id % 2 = 0)) AS n_unparsed,
+ count(*) FILTER (WHERE event_id % 5 = 3 AND user_id % 2 <> 0) AS n_odd_year
+FROM events GROUP BY 1, 2""")
+def report(spark, sf):
+    path = scratch_path(spark, "report")
+    kind, stamp = F.col("event_id") % 5, "yyyy-MM-dd HH:mm:ss"
+    layouts = {
+        "slashes": F.date_format("ts", "yyyy/M/d HH:mm"), "zone": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'123Z'"),
+        "compact": F.date_format("ts", "yyyyMMdd"),
+        "broken": F.when(F.col("user_id") % 2 == 0, F.lit("soon")).otherwise(F.date_format("ts", "'1999'-MM-dd HH:mm")),
+        "untimed": F.date_format("ts", stamp),
+    }
+    for k, (name, text) in enumerate(layouts.items()):
+        header = "when" if name == "untimed" else "Date Time"
+        _csv(i.events(spark, sf).where(kind == k).select(text.alias(header), "value"), f"{path}/{name}")
+    part = F.element_at(F.split("file", "/"), -2)
+    return readers.load_report(spark, path).groupBy(part.alias("part"), F.col("time_column").isNotNull().alias("has_time")).agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_unparsed", "n_odd_year")])
+
+
 def _long(spark, sf, tag, value):
     path = scratch_path(spark, "long")
     rows = _text_time(i.telemetry(spark, sf))

@@ -147,7 +147,25 @@ def corr(spark, sf):
     return _correlations(spark, sf).select(*_CORR)
 
 
-@query("correlation_p_values")
+STEPS["pair_tails"] = """
+SELECT *, least(1e0, sqrt(low * low + (1 - low * low) * least(1e0, 60 / greatest(a - 1, 5e-1)))) AS high
+FROM (SELECT device_id, variable_type, vibration_feature, side, (n - 2) / 2e0 AS a, least(1e0, abs(rho)) AS low
+ FROM (SELECT device_id, variable_type, vibration_feature, count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman
+  FROM pair_ranks GROUP BY 1, 2, 3 HAVING count(*) >= 10 AND stddev_pop(x) >= 1e-10 AND stddev_pop(y) >= 1e-10)
+ UNPIVOT (rho FOR side IN (pearson, spearman)))"""
+STEPS["pair_p"] = """
+SELECT device_id, variable_type, vibration_feature, side, CASE WHEN p < 1e-300 THEN 0e0 ELSE least(1e0, p) END AS p
+FROM (SELECT device_id, variable_type, vibration_feature, side,
+  2 / sqrt(pi()) * exp(any_value(lgamma(a + 5e-1) - lgamma(a))) * any_value(high - low) / 4000 / 3
+  * sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+   * pow(greatest(0e0, 1 - pow(low + (high - low) * k / 4000, 2)), a - 1)) AS p
+ FROM pair_tails, range(4001) g(k) GROUP BY 1, 2, 3, 4)"""
+
+
+@query("correlation_p_values", f"""
+SELECT c.*, format('{{:.2e}}', a.p) AS pearson_p, format('{{:.2e}}', b.p) AS spearman_p
+FROM (SELECT * {_NO_HS}) c JOIN pair_p a USING (device_id, variable_type, vibration_feature)
+JOIN pair_p b USING (device_id, variable_type, vibration_feature) WHERE a.side = 'pearson' AND b.side = 'spearman'""")
 def corr_p(spark, sf):
     return _correlations(spark, sf).select(*_CORR, "pearson_p", "spearman_p")
 

@@ -24,41 +24,53 @@ def _valid(score) -> Column:
 def device_health_stats(df: DataFrame, score="HealthScore", key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:
     """Row counts and score statistics of every machine with a valid score."""
     rows = df.select(key, "datetime", _valid(score).alias("_s"))
+    return _health_stats(rows, key)
+
+
+def _health_stats(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Statistics of ``_s``; columns that begin with ``_`` come from the further aggregates."""
     at = F.when(F.col("_s").isNotNull(), F.col("datetime"))
     out = exact_percentiles(rows, [key], {"_median": ("_s", 0.5)}, extra=[
         F.count("*").alias("n_total"), F.count("_s").alias("n_valid"),
         F.avg("_s").alias("_mean"), F.stddev_samp("_s").alias("_std"),
         F.min("_s").alias("_min"), F.max("_s").alias("_max"),
-        F.min(at).alias("date_start"), F.max(at).alias("date_end"),
+        F.min(at).alias("date_start"), F.max(at).alias("date_end"), *more,
     ]).where(F.col("n_valid") > 0)
     excluded = F.col("n_total") - F.col("n_valid")
     return out.select(
         key, "n_total", "n_valid", excluded.alias("n_excluded"),
         F.round(excluded / F.col("n_total") * 100, 1).alias("excluded_pct"),
         *[F.round(f"_{c}", 2).alias(c) for c in ("mean", "median", "std", "min", "max")],
-        "date_start", "date_end",
+        "date_start", "date_end", *([] if not more else ["_mean", "_d0", "_d1", "_k", "_ds"]),
     )
 
 
-def health_trend(df: DataFrame, score="HealthScore", key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:
-    """Slope of the score per 30 days, the line's value at the first valid row,
-    and a label. Needs five valid rows over a span above zero."""
-    day = micros("datetime") / F.lit(86_400_000_000.0) - F.lit(18_262.0)  # days since 2020
-    fit = (
-        filter_valid_scores(df, score).select(key, day.alias("d"), F.col(score).alias("s"))
-        .groupBy(key)
-        .agg(
-            F.count("*").alias("n_valid"), F.min("d").alias("_d0"), F.max("d").alias("_d1"),
-            F.regr_slope("s", "d").alias("_k"), F.avg("s").alias("_ys"), F.avg("d").alias("_ds"),
-        )
-    )
+def _day() -> Column:
+    return micros("datetime") / F.lit(86_400_000_000.0) - F.lit(18_262.0)  # days since 2020
+
+
+def _line() -> list[Column]:
+    """Regression aggregates of ``_s`` over days, of rows with a score."""
+    d = F.when(F.col("_s").isNotNull(), _day())
+    return [F.min(d).alias("_d0"), F.max(d).alias("_d1"), F.regr_slope("_s", d).alias("_k"), F.avg(d).alias("_ds")]
+
+
+def _line_columns(cfg) -> list[Column]:
     enough = (F.col("n_valid") >= 5) & (F.col("_d1") > F.col("_d0"))
     month = F.when(enough, F.col("_k") * 30)
-    return fit.select(
-        key, "n_valid", F.round(month, 2).alias("slope_per_month"),
-        F.when(enough, F.col("_ys") - F.col("_k") * (F.col("_ds") - F.col("_d0"))).alias("intercept"),
+    return [
+        F.round(month, 2).alias("slope_per_month"),
+        F.when(enough, F.col("_mean") - F.col("_k") * (F.col("_ds") - F.col("_d0"))).alias("intercept"),
         trend_label(month, cfg).alias("trend_label"),
-    )
+    ]
+
+
+def health_trend(df: DataFrame, score="HealthScore", key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:
+    """Slope of the score per 30 days, the line's value at the first valid row,
+    and a label. Needs five valid rows over a span above zero."""
+    rows = filter_valid_scores(df, score).select(key, "datetime", F.col(score).alias("_s"))
+    fit = rows.groupBy(key).agg(F.count("_s").alias("n_valid"), F.avg("_s").alias("_mean"), *_line())
+    return fit.select(key, "n_valid", *_line_columns(cfg))
 
 
 def _valid_with_span(df, score, key):
@@ -67,26 +79,31 @@ def _valid_with_span(df, score, key):
     return rows.join(span, key)
 
 
-def half_period_change(df: DataFrame, score="HealthScore", key="device_id") -> DataFrame:
-    """Mean score before and after the middle of the machine's time range."""
+def _halves() -> tuple[list[Column], list[Column]]:
+    """Aggregates over rows with their machine's span, and the columns made from them."""
     middle = from_micros(micros("_t0") + F.floor((micros("_t1") - micros("_t0")) / 2))
     early = F.col("datetime") < middle
-    halves = _valid_with_span(df, score, key).groupBy(key).agg(
-        F.avg(F.when(early, F.col("_s"))).alias("_a"), F.avg(F.when(~early, F.col("_s"))).alias("_b")
-    )
     change = (F.col("_b") - F.col("_a")) / F.nullif(F.col("_a"), F.lit(0.0)) * 100
-    return halves.select(
-        key, F.round("_a", 2).alias("first_half_mean"), F.round("_b", 2).alias("second_half_mean"),
+    return [F.avg(F.when(early, F.col("_s"))).alias("_a"), F.avg(F.when(~early, F.col("_s"))).alias("_b")], [
+        F.round("_a", 2).alias("first_half_mean"), F.round("_b", 2).alias("second_half_mean"),
         F.round(change, 1).alias("half_change_pct"),
-    )
+    ]
+
+
+def _recent(days: int) -> list[Column]:
+    recent = F.when(F.col("datetime") >= F.timestamp_add("DAY", F.lit(-days), F.col("_t1")), F.col("_s"))
+    return [F.round(F.avg(recent), 2).alias("recent_mean"), F.count(recent).alias("recent_n")]
+
+
+def half_period_change(df: DataFrame, score="HealthScore", key="device_id") -> DataFrame:
+    """Mean score before and after the middle of the machine's time range."""
+    aggs, out = _halves()
+    return _valid_with_span(df, score, key).groupBy(key).agg(*aggs).select(key, *out)
 
 
 def recent_window_mean(df: DataFrame, days: int = 30, score="HealthScore", key="device_id") -> DataFrame:
     """Mean score of the machine's own last ``days`` days, both ends included."""
-    recent = F.col("datetime") >= F.timestamp_add("DAY", F.lit(-days), F.col("_t1"))
-    return _valid_with_span(df, score, key).where(recent).groupBy(key).agg(
-        F.round(F.avg("_s"), 2).alias("recent_mean"), F.count("*").alias("recent_n")
-    )
+    return _valid_with_span(df, score, key).groupBy(key).agg(*_recent(days))
 
 
 def daily_device_scores(df: DataFrame, score="HealthScore", key="device_id") -> DataFrame:
@@ -113,13 +130,18 @@ def fleet_ranking(stats: DataFrame) -> DataFrame:
 
 
 def health_summary(df: DataFrame, recent_days: int = 30, score="HealthScore", key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:
-    """All fleet columns of a machine in one row."""
-    return (
-        device_health_stats(df, score, key, cfg)
-        .join(health_trend(df, score, key, cfg).drop("n_valid"), key)
-        .join(half_period_change(df, score, key), key)
-        .join(recent_window_mean(df, recent_days, score, key), key)
-    )
+    """All fleet columns of a machine in one row.
+
+    One aggregate takes statistics and the trend, a second one, which needs each machine's
+    time span, the halves and the recent mean.
+    """
+    rows = df.select(key, "datetime", _valid(score).alias("_s"))
+    whole = _health_stats(rows, key, *_line())
+    halves, out = _halves()
+    parts = _valid_with_span(df, score, key).groupBy(key).agg(*halves, *_recent(recent_days))
+    stats = [c for c in whole.columns if not c.startswith("_")]
+    both = whole.join(parts, key)
+    return both.select(*stats, *_line_columns(cfg), *out, "recent_mean", "recent_n")
 
 
 def device_records(scored: DataFrame, baseline: DataFrame, device_dim: DataFrame) -> DataFrame:

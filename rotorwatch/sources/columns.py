@@ -52,13 +52,16 @@ def parse_timestamp(text) -> Column:
     return F.when(clean.rlike(STAMP), iso.try_cast("timestamp_ntz"))
 
 
+def timestamp_counts(ts="datetime") -> list[Column]:
+    """Aggregates: timestamps that failed to parse, and those of an unlikely year."""
+    odd = ~F.year(ts).between(*YEARS)
+    return [F.count_if(F.col(ts).isNull()).alias("n_unparsed"), F.count_if(odd).alias("n_odd_year")]
+
+
 def timestamp_audit(df: DataFrame, keys=(), ts="datetime") -> DataFrame:
     """How many timestamps failed to parse or lie in an unlikely year. Rows of
     unlikely years stay in the data."""
-    odd = ~F.year(ts).between(*YEARS)
-    return df.groupBy(*keys).agg(
-        F.count_if(F.col(ts).isNull()).alias("n_unparsed"), F.count_if(odd).alias("n_odd_year")
-    )
+    return df.groupBy(*keys).agg(*timestamp_counts(ts))
 
 
 def device_from_path(path) -> list[Column]:

@@ -157,6 +157,23 @@ def load_vibration(spark: SparkSession, folder) -> DataFrame:
     return _union(frames).where(F.col("datetime").isNotNull() & F.col("device_id").isNotNull())
 
 
+def load_report(spark: SparkSession, folder) -> DataFrame:
+    """One row per file: its time column (NULL: the loaders skip the file), rows, rows whose time
+    cannot be read and that the loaders leave out, and rows of an unlikely year."""
+    files, frames = [], []
+    for layout in file_layouts(spark, folder):
+        time = C.time_header(layout.header)
+        files += [(f, time) for f in layout.files]
+        stamp = C.parse_timestamp(_quoted(time)) if time else F.lit(None).cast("timestamp_ntz")
+        frames.append(_read_layout(spark, layout).select(F.col("_file").alias("file"), stamp.alias("datetime")))
+    if not frames:
+        return spark.createDataFrame([], "file string, time_column string, n_rows long, n_unparsed long, n_odd_year long")
+    known = spark.createDataFrame(files, "file string, time_column string")
+    rows = _union(frames)
+    counts = rows.groupBy("file").agg(F.count("*").alias("n_rows"), *C.timestamp_counts("datetime"))
+    return known.join(counts, "file", "left").fillna(0, ["n_rows", "n_unparsed", "n_odd_year"])
+
+
 def _load_long(spark, folder, loose: bool) -> DataFrame:
     """``loose`` also accepts headers that merely contain 'tag' or 'val'."""
     frames = []

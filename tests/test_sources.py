@@ -148,3 +148,13 @@ def test_inputs_that_are_absent_empty_or_odd(spark, tmp_path):
     (odd / "a.csv").write_text("datetime,tagname,value\n2024-01-01,t,1\n")
     (odd / "b.CSV").write_text("datetime,tagname,value,Value\n2024-01-02,t,2,9\n")
     assert sorted(r.value for r in readers.load_current(spark, str(odd)).collect()) == [1.0, 2.0]
+
+
+def test_load_report(spark, tmp_path):
+    d = tmp_path / "in"
+    write(d, "a.csv", "date,x\n2026/1/15,1\nsoon,2\n1999-01-01,3\n")
+    write(d, "b.CSV", "x,y\n1,2\n")
+    write(d, "c.csv", "date,z\n")
+    got = {r.file[-5:]: tuple(r)[1:] for r in readers.load_report(spark, str(d)).collect()}
+    assert got == {"a.csv": ("date", 3, 1, 1), "b.CSV": (None, 1, 1, 0), "c.csv": ("date", 0, 0, 0)}
+    assert readers.load_report(spark, str(tmp_path / "none")).count() == 0

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rotorwatch.operators import correlation, stats
 
@@ -71,17 +72,27 @@ def test_correlation_matrix(make, frame):
     assert got["load", "g"].spearman_r == round(q.load.rank().corr(q.g.rank()), 4)
 
 
-def test_p_values_match_closed_forms():
+@pytest.fixture
+def p_of(spark):
+    """p-values of lists of r and n, by column expressions."""
+    def run(r, n):
+        rows = spark.createDataFrame(list(zip(map(float, r), map(float, n))), "r double, n double").coalesce(1)
+        return np.array([x.p for x in rows.select(correlation.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()])
+
+    return run
+
+
+def test_p_values_match_closed_forms(p_of):
     r = np.array([0.3, 0.9, -0.5, 0.0, 1.0])
-    np.testing.assert_allclose(correlation.correlation_p(r, np.full(5, 4.0)), 1 - np.abs(r), atol=1e-12)
+    np.testing.assert_allclose(p_of(r, np.full(5, 4.0)), 1 - np.abs(r), atol=1e-12)
     t = r[:4] * np.sqrt(4 / (1 - r[:4] ** 2))
     want = [1 - abs(x) / math.sqrt(4 + x * x) * (1 + 2 / (4 + x * x)) for x in t]
-    np.testing.assert_allclose(correlation.correlation_p(r[:4], np.full(4, 6.0)), want, atol=1e-12)
+    np.testing.assert_allclose(p_of(r[:4], np.full(4, 6.0)), want, atol=1e-12)
     n = 4e6  # nearly normal
-    assert math.isclose(correlation.correlation_p(np.array([3 / math.sqrt(n)]), np.array([n]))[0], math.erfc(3 / math.sqrt(2)), rel_tol=1e-4)
+    assert math.isclose(p_of(np.array([3 / math.sqrt(n)]), np.array([n]))[0], math.erfc(3 / math.sqrt(2)), rel_tol=1e-4)
 
 
-def test_p_values_match_spark_regression(make, frame, spark):
+def test_p_values_match_spark_regression(make, frame, p_of):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
@@ -90,7 +101,7 @@ def test_p_values_match_spark_regression(make, frame, spark):
     p["y"] = p.x + 2 * p.noise
     vec = VectorAssembler(inputCols=["x"], outputCol="v").transform(make(p))
     want = LinearRegression(featuresCol="v", labelCol="y", solver="normal").fit(vec).summary.pValues[0]
-    got = correlation.correlation_p(np.array([p.x.corr(p.y)]), np.array([40.0]))[0]
+    got = p_of(np.array([p.x.corr(p.y)]), np.array([40.0]))[0]
     assert math.isclose(got, want, rel_tol=1e-6)
     text = correlation.with_p_values(correlation.correlation_matrix(make(p), ["x"], ["y"])).first()
     assert text.pearson_p == f"{want:.2e}"
