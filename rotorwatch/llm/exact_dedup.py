@@ -9,6 +9,9 @@ nothing can collide.
 Blocks are sorted by a 64-bit hash first and by content where hashes tie. Content crosses
 the network once, combined before the shuffle; after that only numbers travel. Column
 expressions and SQL operators alone.
+
+A block, pair or text may occur in a third of all rows. Those above one row in ``SHARE`` are
+fewer than ``SHARE`` by count, so they are broadcast, and their rows meet in no one task.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from rotorwatch.llm.rows import ROW, keyed, same_row, text
 from rotorwatch.session import materialize
 
 SHELVES = 1 << 16
+SHARE = 1000
 
 
 def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
@@ -33,6 +37,19 @@ def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
     return out.drop("_ll_shelf")
 
 
+def _looked_up(many: DataFrame, few: DataFrame, on: list[str], spread: list[str]) -> DataFrame:
+    """Inner join of ``many`` with ``few``, which has each key once and in ``_ll_rows`` its number of
+    rows. Rows of frequent keys are matched by broadcast and go on dealt by ``spread``."""
+    total = few.agg(F.sum("_ll_rows")).first()[0] or 0
+    value = F.struct(*[c for c in few.columns if c not in (*on, "_ll_rows")])
+    often = few.where(F.col("_ll_rows") * SHARE > total).select(*on, value.alias("_ll_often"))
+    seldom = few.select(*on, F.lit(-1).cast("long").alias("_ll_deal"), value.alias("_ll_seldom"))
+    deal = F.when(F.col("_ll_often").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(*spread), F.lit(SHELVES)))
+    out = many.join(F.broadcast(often), on, "left").withColumn("_ll_deal", deal.cast("long"))
+    out = out.join(seldom, [*on, "_ll_deal"], "left").withColumn("_ll_value", F.coalesce("_ll_often", "_ll_seldom"))
+    return out.where(F.col("_ll_value").isNotNull()).select(*many.columns, "_ll_value.*")
+
+
 def _blocks(docs, block_bytes, hash_bits):
     count = F.greatest(F.lit(1), F.ceil(F.col("_ll_size") / block_bytes)).cast("int")
     cut = F.transform(F.array(F.col("_ll_text").cast("binary")), lambda b: F.transform(
@@ -46,16 +63,20 @@ def _blocks(docs, block_bytes, hash_bits):
 def _first_names(blocks):
     """Numbers for all blocks: (key, n, pos, name)."""
     seen = materialize(
-        blocks.groupBy("_ll_h").agg((F.min("_ll_block") != F.max("_ll_block")).alias("_ll_tie")), "block-hashes"
+        blocks.groupBy("_ll_h").agg(
+            (F.min("_ll_block") != F.max("_ll_block")).alias("_ll_tie"), F.count("*").alias("_ll_rows")
+        ), "block-hashes"
     )
-    alone = _numbered(seen.where(~F.col("_ll_tie")).select("_ll_h"), "_ll_h")
+    alone = materialize(_numbered(seen.where(~F.col("_ll_tie")).select("_ll_h", "_ll_rows"), "_ll_h"), "block-names")
+    at = [*ROW, "_ll_pos"]
     cols = [*ROW, "_ll_n", "_ll_pos", "_ll_name"]
-    named = blocks.drop("_ll_block").join(alone, "_ll_h").select(*cols)
+    named = _looked_up(blocks.drop("_ll_block"), alone, ["_ll_h"], at).select(*cols)
     ties = seen.where("_ll_tie")
     if not ties.isEmpty():  # different blocks of one hash: numbered by content, below zero
         tied = blocks.join(ties.select("_ll_h"), "_ll_h", "left_semi")
-        names = _numbered(tied.select("_ll_h", "_ll_block").distinct(), "_ll_h", "_ll_block")
-        tied = tied.join(names, ["_ll_h", "_ll_block"]).withColumn("_ll_name", -F.col("_ll_name"))
+        names = tied.groupBy("_ll_h", "_ll_block").agg(F.count("*").alias("_ll_rows"))
+        names = materialize(_numbered(names, "_ll_h", "_ll_block"), "tied-names")
+        tied = _looked_up(tied, names, ["_ll_h", "_ll_block"], at).withColumn("_ll_name", -F.col("_ll_name"))
         named = named.unionByName(tied.select(*cols))
     return named
 
@@ -66,8 +87,9 @@ def _next_names(level):
     pairs = level.groupBy(*ROW, "_ll_n", F.shiftright("_ll_pos", 1).alias("_ll_pos")).agg(
         F.max(F.when(even, name)).alias("_ll_a"), F.coalesce(F.max(F.when(~even, name)), F.lit(0)).alias("_ll_b")
     )
-    names = _numbered(pairs.select("_ll_a", "_ll_b").distinct(), "_ll_a", "_ll_b")
-    return pairs.join(names, ["_ll_a", "_ll_b"]).select(
+    names = pairs.groupBy("_ll_a", "_ll_b").agg(F.count("*").alias("_ll_rows"))
+    names = materialize(_numbered(names, "_ll_a", "_ll_b"), "pair-names")
+    return _looked_up(pairs, names, ["_ll_a", "_ll_b"], [*ROW, "_ll_pos"]).select(
         *ROW, F.ceil(F.col("_ll_n") / 2).cast("int").alias("_ll_n"), "_ll_pos", "_ll_name"
     )
 
@@ -102,8 +124,10 @@ def exact_groups(docs: DataFrame, block_bytes: int = 2048, hash_bits: int = 64,
     rows = rows.groupBy(*ROW, "_ll_sha").agg(F.count("*").alias("times"))
     named = materialize(same_row(rows, identities(docs, block_bytes, hash_bits, id_col, text_col)), "identities")
     who = ["_ll_level", "_ll_name"]
-    groups = named.groupBy(*who).agg(F.max("_ll_id").alias("keep_id"), F.sum("times").alias("group_size"))
-    return named.join(groups, who).select(
+    groups = materialize(named.groupBy(*who).agg(
+        F.max("_ll_id").alias("keep_id"), F.sum("times").alias("group_size"), F.count("*").alias("_ll_rows")
+    ), "groups")
+    return _looked_up(named, groups, who, ROW).select(
         *ROW, F.col("_ll_id").alias(id_col), "keep_id", "group_size",
         F.col("_ll_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("_ll_sha")).alias("text_sha256"), "times",
