@@ -104,3 +104,12 @@ def test_ties_of_block_hashes_change_nothing(spark, bits):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_groups(docs, block_bytes=4, hash_bits=bits).collect()}
     assert got == {k: max(j for j, t in enumerate(texts) if t == s) for k, s in enumerate(texts)}
+
+
+@pytest.mark.parametrize("share", [1, 3, 10**6])  # no key is frequent, some are, all are
+def test_frequent_keys_change_nothing(spark, monkeypatch, share):
+    monkeypatch.setattr(exact_dedup, "SHARE", share)
+    texts = ["same text of many rows"] * 12 + [f"text {k} ends alike" for k in range(8)] + ["ab" * 20, "ab" * 21, "ab" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs, block_bytes=4).collect()}
+    assert got == {k: (max(j for j, t in enumerate(texts) if t == s), texts.count(s)) for k, s in enumerate(texts)}
