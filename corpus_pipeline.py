@@ -38,18 +38,25 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.keep_rows(docs, kept)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: files by range of position, sorted within."""
+def _in_mix(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_ll_position``, the place in the mix. It follows from the rows alone, so every
+    stage that works on the same documents finds the same places."""
     placed = mixing.mix(docs, WEIGHTS, REST_WEIGHT).groupBy(*ROW)  # rows that repeat stand together
     order = materialize(placed.agg(F.min("position").alias("_ll_position")), "mix")
+    return same_row(keyed(docs), order)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mix: files by range of position, sorted within."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mixed = same_row(keyed(docs), order)
+    mixed = _in_mix(docs)
     return mixed.repartitionByRange(parts, "_ll_position").sortWithinPartitions("_ll_position").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of at most 1024 tokens."""
-    return packing.pack(docs)
+    """Pieces of all documents, packed into sequences of at most 1024 tokens that are numbered in the
+    order of the mix. Splits of files have no order, so places in the mix are worked out again."""
+    return packing.pack(_in_mix(docs), order_col="_ll_position")
 
 
 STAGES = [

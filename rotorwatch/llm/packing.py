@@ -5,6 +5,10 @@ a bitset keyed by free space. A piece goes to the open bin that it fills best; w
 that fits it opens a bin, and if that is one too many the fullest bin is closed. Pieces come
 in lots (one Arrow batch), longest first within a lot; bins stay open across lots. A task
 needs no other task's bins, so there is no shuffle, and a lost task is redone alone.
+
+Where documents have an order to keep, a lot is a fixed number of consecutive positions, whole
+in one task, and its bins close with it. Sequences are numbered by lot, and within a lot by the
+first position that they hold, so the numbering follows the order, however tasks are cut.
 """
 
 from __future__ import annotations
@@ -104,6 +108,7 @@ class Bins:
 def pack(
     docs: DataFrame, length: int = 1024, open_bins: int = 16_384, end_id: int | None = 2,
     vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text",
+    order_col: str | None = None, lot_positions: int = 512,
 ) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids`` (little-endian unsigned
     32-bit integers), ``sequence_id`` and ``offset``.
@@ -112,38 +117,86 @@ def pack(
     into pieces of ``length``, of which the first may be shorter. Null text is empty: one
     piece with the end id alone. Repeated rows, and rows without an id, are packed as often as
     they occur. Without an end id, an empty document has no piece. An empty table gives an
-    empty result. Only the two named columns are read.
+    empty result. Only the named columns are read.
+
+    ``order_col`` names whole numbers from 0 that ``sequence_id`` has to follow: documents share a
+    sequence only if their numbers are in one lot of ``lot_positions``, and sequences come in the
+    order of the lots. Rows of one lot are one task's, so numbers should not repeat much.
     """
     path = vocabulary or tokenizer_file("byte_bpe_50k.tiktoken")
 
+    def pieces(batch, encode, end):
+        """``(row, piece, start, size, ids)`` of each piece of a batch."""
+        for row, s in enumerate(batch.column(1).to_pylist()):
+            ids = encode(s) + end
+            n, at, piece = len(ids) // 4, 0, 0
+            to = n % length or min(n, length)
+            while at < n:
+                yield row, piece, at, to - at, ids[4 * at:4 * to]
+                at, to, piece = to, to + length, piece + 1
+
+    def packed(ids_of, rows, placed):
+        row, piece, start, size, ids = zip(*rows) if rows else ((),) * 5
+        for k in range(0, len(rows), 4096):
+            cut = slice(k, k + 4096)
+            yield pa.RecordBatch.from_arrays([
+                ids_of.take(pa.array(row[cut], pa.int64())), pa.array(piece[cut], pa.int32()),
+                pa.array(start[cut], pa.int64()), pa.array(size[cut], pa.int64()),
+                pa.array(ids[cut], pa.binary()),
+                pa.array([b for b, _ in placed[cut]], pa.int64()),
+                pa.array([o for _, o in placed[cut]], pa.int64()),
+            ], ["_ll_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+
+    def setting():
+        return encoder(path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+
     def run(batches):
-        encode, bins = encoder(path), Bins(length, open_bins)
-        base = TaskContext.get().partitionId() << 40
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        encode, end = setting()
+        bins, base = Bins(length, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = []
-            ids_of = batch.column(0)
-            for row, s in enumerate(batch.column(1).to_pylist()):
-                ids = encode(s) + end
-                n, at, piece = len(ids) // 4, 0, 0
-                to = n % length or min(n, length)
-                while at < n:
-                    rows.append((row, piece, at, to - at, ids[4 * at:4 * to]))
-                    at, to, piece = to, to + length, piece + 1
+            rows = sorted(pieces(batch, encode, end), key=lambda r: -r[3])
+            yield from packed(batch.column(0), rows, [(base + b, o) for b, o in (bins.place(r[3]) for r in rows)])
+
+    def in_order(batches):
+        encode, end = setting()
+
+        def close(lot, ids_of, rows):
             rows.sort(key=lambda r: -r[3])
+            bins = Bins(length, open_bins)
             placed = [bins.place(r[3]) for r in rows]
-            row, piece, start, size, ids = zip(*rows) if rows else ((),) * 5
-            for k in range(0, len(rows), 4096):
-                cut = slice(k, k + 4096)
-                yield pa.RecordBatch.from_arrays([
-                    ids_of.take(pa.array(row[cut], pa.int64())), pa.array(piece[cut], pa.int32()),
-                    pa.array(start[cut], pa.int64()), pa.array(size[cut], pa.int64()),
-                    pa.array(ids[cut], pa.binary()),
-                    pa.array([base + b for b, _ in placed[cut]], pa.int64()),
-                    pa.array([o for _, o in placed[cut]], pa.int64()),
-                ], ["_ll_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+            first = [len(rows)] * bins.made  # rows are numbered in the order to keep
+            for r, (b, _) in zip(rows, placed, strict=True):
+                first[b] = min(first[b], r[0])
+            number = dict(zip(sorted(range(bins.made), key=lambda b: first[b]), range(bins.made), strict=True))
+            yield from packed(pa.concat_arrays(ids_of), rows, [((lot << 32) + number[b], o) for b, o in placed])
+
+        now, ids_of, rows, n = None, [], [], 0
+        for batch in batches:
+            lots = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(lots)) + 1).tolist(), len(lots)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if now is not None and lots[lo] != now:
+                    yield from close(now, ids_of, rows)
+                    ids_of, rows, n = [], [], 0
+                now, part = int(lots[lo]), batch.slice(lo, hi - lo)
+                rows += [(n + r[0], *r[1:]) for r in pieces(part, encode, end)]
+                ids_of.append(part.column(0))
+                n += hi - lo
+        if now is not None:
+            yield from close(now, ids_of, rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_ll_id {kind}, piece int, start long, length long, ids binary, sequence_id long, offset long"
-    packed = docs.select(F.col(id_col), text(text_col).alias("_ll_text")).mapInArrow(run, schema)
-    return packed.withColumnRenamed("_ll_id", id_col)
+    cols = [F.col(id_col).alias("_ll_id"), text(text_col).alias("_ll_text")]
+    if order_col is None:
+        out = docs.select(*cols).mapInArrow(run, schema)
+    else:
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lot = F.floor(F.col(order_col) / lot_positions).cast("long")
+        rows = docs.select(*cols, lot.alias("_ll_lot"), F.col(order_col).alias("_ll_position"))
+        # A lot is never cut by a range; rows of one position stand in the order of their ids and texts.
+        rows = rows.repartitionByRange(parts, "_ll_lot").sortWithinPartitions("_ll_position", "_ll_id", F.xxhash64("_ll_text"))
+        out = rows.mapInArrow(in_order, schema)
+    return out.withColumnRenamed("_ll_id", id_col)

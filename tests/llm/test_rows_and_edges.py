@@ -113,3 +113,23 @@ def test_frequent_keys_change_nothing(spark, monkeypatch, share):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs, block_bytes=4).collect()}
     assert got == {k: (max(j for j, t in enumerate(texts) if t == s), texts.count(s)) for k, s in enumerate(texts)}
+
+
+def test_sequences_follow_the_mix(spark, monkeypatch, tmp_path):
+    """Shares of the sources along ``sequence_id`` are those of the weights, for other weights too."""
+    docs = spark.createDataFrame(
+        [(k, f"text {k} " + "word " * (k % 90), "ab"[k % 2]) for k in range(4096)], "doc_id long, text string, source string")
+    docs.repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    for a, b in ((3, 1), (1, 3)):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"a": a, "b": b})
+        mixed = corpus_pipeline.mix_sources(spark, docs, "")
+        rows = corpus_pipeline.pack_sequences(spark, mixed, "").orderBy("sequence_id").collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(4096))
+        order = [source[r["doc_id"]] for r in rows]
+        for k in range(0, 2048, 512):  # until the favoured source ends
+            assert abs(order[k:k + 512].count("a") / 512 - a / (a + b)) < 0.13
+        again = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+        key = lambda r: (r["doc_id"], r["piece"], r["sequence_id"], r["offset"])
+        assert sorted(map(key, rows)) == sorted(map(key, again))  # from files in any order
