@@ -5,8 +5,8 @@ softmax over 64 outcomes. Features are the previous word, the word before it (a
 feature) and both together, hashed into fixed tables of weights. Weights start from
 feature counts over all training documents and are then improved by rounds of distributed
 gradients: each task adds up the gradient of its documents, Spark sums the tasks', and the
-driver takes the step. Rounds take disjoint shares of the documents, so the work grows with
-the corpus. Words outside the ``CLASSES * WITHIN - 1`` most frequent are one outcome, shared
+driver takes the step. Rounds take disjoint shares of the documents, one round for each share, so
+every training document gives gradients and the work grows with the corpus. Words outside the ``CLASSES * WITHIN - 1`` most frequent are one outcome, shared
 out by their counts, so probabilities of texts add up to one.
 
 Counts of all words are exact. Only the most frequent are broadcast (a fixed number); the
@@ -250,11 +250,14 @@ def _vocabulary(counts: DataFrame, known: int) -> Model:
 
 
 def fit(
-    docs: DataFrame, usable: Column, rounds: int = 2, share: int = 8, rate: float = 1 / KINDS, prior: float = 20.0,
+    docs: DataFrame, usable: Column, rounds: int = 2, share: int = 2, rate: float = 1 / KINDS, prior: float = 20.0,
     weight: float = 0.4, known: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text",
 ) -> tuple[Model, DataFrame]:
     """The model learnt from the rows of ``docs`` that are ``usable``, and the counts ``(word, n)`` of all
-    their tokens. Round r takes the gradient of the r-th of ``share`` parts of the documents."""
+    their tokens. Round r takes the gradient of part r modulo ``share`` of the documents; ``rounds`` is a
+    multiple of ``share``, so that all of them are used equally often."""
+    if share < 1 or rounds % share:
+        raise ValueError("rounds is a multiple of share")
     sc = docs.sparkSession.sparkContext
     train = docs.where(usable).select(F.col(id_col).alias("_ll_id"), text(text_col).alias("_ll_text"))
     counts = materialize(word_counts(train), "words")
@@ -265,7 +268,7 @@ def fit(
         word_w=_start(seen[1], np.repeat(model.word_bias, OWN_ROWS, axis=0), weight, prior),
     )
     for k in range(rounds):
-        part = train.where(F.pmod(F.xxhash64("_ll_id", F.lit("part")), F.lit(share)) == k).select("_ll_text")
+        part = train.where(F.pmod(F.xxhash64("_ll_id", F.lit("part")), F.lit(share)) == k % share).select("_ll_text")
         # A task returns a gradient of full size, so few tasks take several splits each.
         part = part.coalesce(-(-part.rdd.getNumPartitions() // TOGETHER))
         grads = _added(part.mapInArrow(_gradient(sc.broadcast(model)), _PARTS))

@@ -1,5 +1,6 @@
 """Odd rows in every operator and stage: nulls, empty and long texts, repeats, clashing names."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,8 +125,8 @@ def test_sequences_follow_the_mix(spark, monkeypatch, tmp_path):
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
     for a, b in ((3, 1), (1, 3)):
         monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"a": a, "b": b})
-        mixed = corpus_pipeline.mix_sources(spark, docs, "")
-        rows = corpus_pipeline.pack_sequences(spark, mixed, "").orderBy("sequence_id").collect()
+        mixed = corpus_pipeline.mix_sources(spark, docs, "").orderBy("source", "doc_id")  # as files read in any order
+        rows = sorted(corpus_pipeline.pack_sequences(spark, mixed, "").collect(), key=lambda r: r["sequence_id"])
         assert sorted(r["doc_id"] for r in rows) == list(range(4096))
         order = [source[r["doc_id"]] for r in rows]
         for k in range(0, 2048, 512):  # until the favoured source ends
@@ -133,3 +134,27 @@ def test_sequences_follow_the_mix(spark, monkeypatch, tmp_path):
         again = corpus_pipeline.pack_sequences(spark, docs, "").collect()
         key = lambda r: (r["doc_id"], r["piece"], r["sequence_id"], r["offset"])
         assert sorted(map(key, rows)) == sorted(map(key, again))  # from files in any order
+
+
+def test_gradients_come_from_all_training_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k} of some words") for k in range(200)], "doc_id long, text string").repartition(3)
+    sums, added = [], maxent_lm._added
+
+    def counting(held):
+        def run(batches):
+            table = np.zeros((maxent_lm.BLOCK_ROWS, 64), np.float32)
+            table[0, 0] = sum(b.num_rows for b in batches)
+            if table.any():
+                yield maxent_lm._as_batch(list(maxent_lm._blocks([table])))
+        return run
+
+    def recorded(parts):
+        sums.append(added(parts))
+        return sums[-1]
+
+    monkeypatch.setattr(maxent_lm, "_gradient", counting)
+    monkeypatch.setattr(maxent_lm, "_added", recorded)
+    maxent_lm.fit(docs, F.col("doc_id") % 4 != 0)
+    assert sum(s[0][0, 0] for s in sums[1:]) == 150  # the first sum is that of the feature counts
+    with pytest.raises(ValueError):
+        maxent_lm.fit(docs, F.lit(True), rounds=2, share=8)
