@@ -1,12 +1,13 @@
 """Odd rows in every operator and stage: nulls, empty and long texts, repeats, clashing names."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rotorwatch.llm import (
-    exact_dedup, jaccard, maxent_lm, mixing, packing, quality_qda, quality_rules, secrets, substring_dedup, toxicity,
+    exact_dedup, jaccard, maxent_lm, mixing, packing, quality_qda, quality_rules, queries, secrets, substring_dedup, toxicity,
 )
 
 LONG = " ".join(f"w{k % 977}x{k % 1009}" for k in range(60_000))
@@ -158,3 +159,17 @@ def test_gradients_come_from_all_training_documents(spark, monkeypatch):
     assert sum(s[0][0, 0] for s in sums[1:]) == 150  # the first sum is that of the feature counts
     with pytest.raises(ValueError):
         maxent_lm.fit(docs, F.lit(True), rounds=2, share=8)
+
+
+def test_repeated_rows_give_a_row_each(spark, tmp_path):
+    rows = [(1, "one text of some words here"), (1, "one text of some words here"), (2, "one text of some words here"),
+            (3, None), (3, ""), (4, "another"), (4, "another"), (4, "another")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = duck.execute(queries.SQL["op7_exact_dedup"])
+    columns = [d[0] for d in cur.description]
+    got = queries.op7_exact_dedup(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall())
+    near = queries.op6_ngram_jaccard(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in near) == sorted(k for k, _ in rows)
