@@ -1,9 +1,9 @@
 """Self-join of documents by the Jaccard similarity of their word n-grams.
 
-MinHash LSH forest: a signature has one label per tree, and documents whose labels begin
-alike meet in a node of that tree's sorted trie. The matched prefix starts long and is
-shortened until the recall at the threshold reaches the target (``prefix_depth``). What meets
-is then verified on the n-grams of the whole texts.
+MinHash banding: a signature has one band per tree, and documents of equal bands meet in a
+node. The band's length is fixed before the data is seen, the longest with which the recall at
+the threshold reaches the target (``prefix_depth``); nodes are not split by longer ones. What
+meets is then verified on the n-grams of the whole texts.
 
 Documents with the same set of n-grams are one class and travel once. A pair belongs to the
 first tree in which it meets, so it is counted once without listing pairs: a task returns
@@ -142,9 +142,10 @@ def _runs(batches):
 
 
 def _candidates(sig, size, mine, tree, across, trees, depth, threshold):
-    """Pairs of a cell that meet first in this tree, as (a, array of b). Left out is only what
-    can't reach the threshold: by the numbers of n-grams, or by a signature that agrees in
-    five standard deviations fewer places than at the threshold."""
+    """Pairs of a cell that meet first in this tree, as (a, array of b). Left out is what
+    can't reach the threshold by the numbers of n-grams, and what by its signature is unlikely to:
+    five standard deviations fewer equal places than at the threshold, which drops about 4 pairs
+    in a million at 0.8."""
     k = trees * depth
     least = k * threshold - 5 * np.sqrt(k * threshold * (1 - threshold))
     for a in range(len(sig)):
