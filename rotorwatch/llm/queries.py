@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotorwatch.llm import (
-    exact_dedup, jaccard, maxent_lm, mixing, packing, quality_qda, quality_rules, secrets, substring_dedup, toxicity,
+    exact_dedup, jaccard, maxent_lm, mixing, packing, quality_qda, quality_rules, secrets, source_audit,
+    substring_dedup, suffix_dedup, toxicity, whitening,
 )
 from rotorwatch.llm.rows import remainder
 
@@ -85,6 +86,20 @@ def op10_quality_qda(spark, sf_dir):
     return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_suffix_dedup(spark, sf_dir):
+    clean = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark, sf_dir):
+    parts = whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+    return parts.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_source_audit(spark, sf_dir):
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -93,7 +108,8 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_secret_scan, op3_pfair_mix, op4_line_first_rules, op5_toxicity, op6_ngram_jaccard,
-    op7_exact_dedup, op8_substring_dedup, op9_lm_scoring, op10_quality_qda, pipeline,
+    op7_exact_dedup, op8_substring_dedup, op9_lm_scoring, op10_quality_qda,
+    op11_suffix_dedup, op12_whitening, op13_source_audit, pipeline,
 )}
 
 SQL = {
@@ -101,4 +117,29 @@ SQL = {
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
  doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op13_source_audit": r"""
+WITH docs AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  coalesce(text, '') AS text FROM documents),
+words AS (SELECT k, lang, source, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM docs)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY ALL) USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+  CAST(1 + 1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT // (g.total + 5 * g.v)::HUGEINT AS BIGINT) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, CAST(1 + 1000000000 * (sum(n) + 5)::HUGEINT //
+  (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang))::HUGEINT AS BIGINT) AS q
+  FROM counts GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+WHERE part = 'pair' OR rank <= 50""",
 }
