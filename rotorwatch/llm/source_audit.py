@@ -29,6 +29,8 @@ PART = 1 << 12
 """Kept terms of a language in one part."""
 TILE = 256
 """Sources whose differences from all others one row of a part adds up."""
+SALTS = 64
+"""Ways in which the terms of a language are dealt when they learn its size."""
 CELLS = 1 << 20
 """Entries of the term by source matrix held at a time."""
 
@@ -288,8 +290,10 @@ def audit(docs: DataFrame, least: int = 30, smooth: int = 5, most: int = 50) ->
         heads.withColumns({"slices": slices, "tiles": tiles}).withColumn("slice", upto("slices")).withColumn("tile", upto("tiles"))
         .select("lang", "tile", "slice", F.lit(None).cast("string").alias("term"), "cells", "v")
     )
+    per_lang = per_lang.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     terms = (
-        kept.where(F.col("term").isNotNull()).join(per_lang, "lang")
+        kept.where(F.col("term").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(SALTS)))
+        .join(per_lang, ["lang", "salt"])
         .withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices"))).withColumn("tile", upto("tiles"))
         .select("lang", "tile", "slice", "term", "cells", "v")
     )
