@@ -44,7 +44,7 @@ class Settings:
     constant_sigma: float = 1e-10
 
     # --- execution knobs ----------------------------------------------------
-    chunk_seconds: int = 3600       # time slice of one machine handled by one task
+    range_parts: int = 0            # parts of a table in row order; 0: as many as the session shuffles into
     block_rows: int = 200_000       # rows of one machine in one rolling-window task
 
 

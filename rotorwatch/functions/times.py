@@ -21,11 +21,6 @@ def from_micros(u: Column) -> Column:
     return F.timestamp_add("MICROSECOND", u, _epoch())
 
 
-def time_chunk(ts, seconds: int) -> Column:
-    """Number of the fixed-width time slice a timestamp falls into."""
-    return F.floor(micros(ts) / F.lit(seconds * _MICROS))
-
-
 def seconds_between(start, end) -> Column:
     return (micros(end) - micros(start)) / F.lit(float(_MICROS))
 

@@ -1,9 +1,11 @@
 """Row-order operators on per-machine time series.
 
 A window over a whole machine would put all its rows into one task. The
-operators here cut a machine into slices first, and pass what crosses a slice
-border through a small table with one row per (machine, slice). Rows without a
-time stand before all others of their machine; a NULL machine is one like others.
+operators here deal the table by range of (machine, order) first, so that parts hold
+about equally many rows however dense an hour is, and write it once. What crosses the
+border of a part passes through a small table with one row per (machine, part). Rows
+without a time stand before all others of their machine and are dealt by the rest of
+the order; a NULL machine is one like others.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorwatch.config import DEFAULTS, Settings
-from rotorwatch.functions.times import time_chunk
 from rotorwatch.operators.quantiles import join_groups
+from rotorwatch.session import materialize
 
 TIME_ORDER = ("datetime", "row_id")
 
@@ -22,38 +24,38 @@ def _sorted_struct(cols) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def _slice_of(order, chunk, cfg: Settings) -> Column:
-    return chunk if chunk is not None else time_chunk(order[0], cfg.chunk_seconds)
+def in_parts(df: DataFrame, keys, order, cfg: Settings = DEFAULTS) -> DataFrame:
+    """``df`` with ``_part``, its place in equally large ranges of (keys, order).
 
+    Written once: the borders are drawn from a sample, and all readers must see the same ones.
+    Columns that repeat may stand in both lists.
+    """
+    by = list(dict.fromkeys([*keys, *order]))
+    dealt = df.repartitionByRange(*([cfg.range_parts] if cfg.range_parts else []), *by)
+    return materialize(dealt.withColumn("_part", F.spark_partition_id()), "in-order")
 
-def _from_slices(df: DataFrame, rows: DataFrame, keys, aggs, carried) -> DataFrame:
-    """Join rows with what the earlier slices of their machine hand over."""
-    per_slice = df.groupBy(*keys, "_slice").agg(*aggs)
-    before = Window.partitionBy(*keys).orderBy("_slice")
-    return join_groups(rows, per_slice.select(*keys, "_slice", *carried(before)), [*keys, "_slice"], "left")
 
+def over_borders(parts: DataFrame, rows: DataFrame, keys, aggs, carried) -> DataFrame:
+    """Join rows with what the other parts of their machine hand over: ``aggs`` per part, and
+    ``carried(window)`` over the parts in order."""
+    per_part = parts.groupBy(*keys, "_part").agg(*aggs)
+    along = Window.partitionBy(*keys).orderBy("_part")
+    return join_groups(rows, per_part.select(*keys, "_part", *carried(along)), [*keys, "_part"], "left")
 
-def with_position(
-    df: DataFrame, keys, order=TIME_ORDER, name="pos", chunk: Column | None = None,
-    cfg: Settings = DEFAULTS,
-) -> DataFrame:
-    """Number the rows of each key from 0 in the given order.
 
-    ``chunk`` may be any expression that never falls along ``order``; by default
-    the time slice of the first order column.
-    """
+def with_position(df: DataFrame, keys, order=TIME_ORDER, name="pos", cfg: Settings = DEFAULTS) -> DataFrame:
+    """Number the rows of each key from 0 in the given order."""
     keys = list(keys)
-    sliced = df.withColumn("_slice", _slice_of(order, chunk, cfg))
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    rows = sliced.withColumn("_rn", F.row_number().over(in_slice))
-    out = _from_slices(
-        sliced, rows, keys,
+    parts = in_parts(df, keys, order, cfg)
+    rows = parts.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    out = over_borders(
+        parts, rows, keys,
         [F.count("*").alias("_n")],
         lambda w: [
             (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_skip")
         ],
     )
-    return out.withColumn(name, F.col("_skip") + F.col("_rn") - 1).drop("_slice", "_rn", "_n", "_skip")
+    return out.withColumn(name, F.col("_skip") + F.col("_rn") - 1).drop("_part", "_rn", "_n", "_skip")
 
 
 def with_previous(
@@ -61,11 +63,11 @@ def with_previous(
 ) -> DataFrame:
     """Add the values of the preceding row of the key (NULL on its first row)."""
     keys, cols = list(keys), list(cols)
-    sliced = df.withColumn("_slice", _slice_of(order, None, cfg))
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    rows = sliced.withColumn("_near", F.lag(_sorted_struct(cols)).over(in_slice))
-    out = _from_slices(
-        sliced, rows, keys,
+    parts = in_parts(df, keys, order, cfg)
+    in_part = Window.partitionBy(*keys, "_part").orderBy(*order)
+    rows = parts.withColumn("_near", F.lag(_sorted_struct(cols)).over(in_part))
+    out = over_borders(
+        parts, rows, keys,
         [F.max_by(_sorted_struct(cols), _sorted_struct(order)).alias("_last")],
         lambda w: [F.lag("_last").over(w).alias("_far")],
     )
@@ -74,7 +76,7 @@ def with_previous(
 
 
 def _fill_parts(cols, order):
-    """Per-slice aggregates and carried columns for forward and backward fill."""
+    """Aggregates per part and carried columns for forward and backward fill."""
     aggs = [
         f(F.col(c), F.when(F.col(c).isNotNull(), _sorted_struct(order))).alias(f"_{side}_{c}")
         for c in cols
@@ -95,18 +97,18 @@ def _fill_parts(cols, order):
     return aggs, carried
 
 
-def _with_fill(sliced: DataFrame, keys, cols, order, extra_aggs=(), extra_carried=lambda w: []):
+def _with_fill(parts: DataFrame, keys, cols, order, extra_aggs=(), extra_carried=lambda w: []):
     """Rows plus ``_fill_c``: the latest non-null value up to the row, or the
     machine's first non-null value where there is none yet."""
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    so_far = in_slice.rowsBetween(Window.unboundedPreceding, 0)
-    rows = sliced.withColumns({
-        "_rn": F.row_number().over(in_slice),
+    in_part = Window.partitionBy(*keys, "_part").orderBy(*order)
+    so_far = in_part.rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.withColumns({
+        "_rn": F.row_number().over(in_part),
         **{f"_near_{c}": F.last(c, ignorenulls=True).over(so_far) for c in cols},
     })
     aggs, carried = _fill_parts(cols, order)
-    out = _from_slices(
-        sliced, rows, keys, [*aggs, *extra_aggs], lambda w: [*carried(w), *extra_carried(w)]
+    out = over_borders(
+        parts, rows, keys, [*aggs, *extra_aggs], lambda w: [*carried(w), *extra_carried(w)]
     )
     return out.withColumns({f"_fill_{c}": F.coalesce(f"_near_{c}", f"_fill_{c}") for c in cols}) if cols else out
 
@@ -116,8 +118,7 @@ def fill_gaps(
 ) -> DataFrame:
     """Forward fill, then backward fill of what is left at the start."""
     keys, cols = list(keys), list(cols)
-    sliced = df.withColumn("_slice", _slice_of(order, None, cfg))
-    out = _with_fill(sliced, keys, cols, order)
+    out = _with_fill(in_parts(df, keys, order, cfg), keys, cols, order)
     keep = [c for c in df.columns if suffix or c not in cols]
     return out.select(*keep, *[F.col(f"_fill_{c}").alias(c + suffix) for c in cols])
 
@@ -145,9 +146,8 @@ def rolling_median(
     """
     keys, cols = list(keys), list(cols)
     before, after = rows // 2, (rows - 1) // 2
-    sliced = df.withColumn("_slice", _slice_of(order, None, cfg))
     numbered = _with_fill(
-        sliced, keys, cols if fill else [], order,
+        in_parts(df, keys, order, cfg), keys, cols if fill else [], order,
         [F.count("*").alias("_n")],
         lambda w: [
             (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_skip")

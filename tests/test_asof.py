@@ -47,8 +47,8 @@ def test_other_keys_do_not_match(make):
 
 
 @pytest.mark.parametrize("tol", [30, 300, 20000])
-@pytest.mark.parametrize("chunk", [60, 3600])
-def test_equals_merge_asof(make, tol, chunk):
+@pytest.mark.parametrize("parts", [0, 13])
+def test_equals_merge_asof(make, tol, parts):
     rng = np.random.default_rng(tol)
     n = 800
     l = pd.DataFrame({"k": rng.choice(["a", "b"], n), "datetime": T0 + pd.to_timedelta(rng.integers(0, 90000, n), unit="s"),
@@ -56,7 +56,7 @@ def test_equals_merge_asof(make, tol, chunk):
     r = pd.DataFrame({"k": rng.choice(["a", "b"], n), "datetime": T0 + pd.to_timedelta(rng.integers(0, 90000, n), unit="s"),
                       "v": rng.random(n), "o": range(n)}).sort_values(["datetime", "o"])
     want = pd.merge_asof(l, r, on="datetime", by="k", direction="nearest", tolerance=pd.Timedelta(seconds=tol))
-    got = asof_nearest(make(l), make(r), ["k"], ["v"], tol, right_order="o", cfg=Settings(chunk_seconds=chunk)).toPandas()
+    got = asof_nearest(make(l), make(r), ["k"], ["v"], tol, right_order="o", cfg=Settings(range_parts=parts)).toPandas()
     np.testing.assert_allclose(got.sort_values("row_id")["v"].astype(float), want.sort_values("row_id")["v"], equal_nan=True)
 
 
@@ -69,3 +69,35 @@ def test_null_keys_match_nothing(spark):
                       "('a', 7.0D, NULL) AS t(k, x, datetime)")
     got = {r.n: r.x for r in asof_nearest(left, right, ["k"], ["x"]).collect()}
     assert got == {1: 1.0, 2: None, 3: None}
+
+
+def test_a_dense_hour_spreads_over_parts(make, monkeypatch):
+    """30 % of all rows in one hour of one key, many of them at one instant."""
+    from rotorwatch.operators import asof
+
+    rng = np.random.default_rng(6)
+    n = 6000
+    dense = rng.random(n) < 0.3
+
+    def times(seconds):
+        return T0 + pd.to_timedelta(np.where(dense, 400_000 + seconds % 3600, seconds), unit="s")
+
+    at = rng.integers(0, 900_000, n)
+    at[dense & (rng.random(n) < 0.5)] = 1800
+    key = np.where(dense, "a", rng.choice(list("abc"), n))
+    l = pd.DataFrame({"k": key, "datetime": times(at), "row_id": range(n)}).sort_values("datetime")
+    r = pd.DataFrame({"k": key, "datetime": times(rng.integers(0, 900_000, n)), "v": rng.random(n), "o": range(n)}).sort_values(["datetime", "o"])
+    sizes, deal = [], asof.in_parts
+
+    def counted(*a):
+        parts = deal(*a)
+        sizes.extend(x["count"] for x in parts.groupBy("_part").count().collect())
+        return parts
+
+    monkeypatch.setattr(asof, "in_parts", counted)
+    got = asof_nearest(make(l), make(r), ["k"], ["v"], 300, right_order="o", cfg=Settings(range_parts=10))
+    windows = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and all("_part" in x for x in windows)
+    want = pd.merge_asof(l, r, on="datetime", by="k", direction="nearest", tolerance=pd.Timedelta(seconds=300))
+    np.testing.assert_allclose(got.toPandas().sort_values("row_id")["v"].astype(float), want.sort_values("row_id")["v"], equal_nan=True)
+    assert len(sizes) == 10 and max(sizes) <= 2 * np.median(sizes)

@@ -50,7 +50,7 @@ def test_scoring(plant):
     summary = {r.machine_id: r for r in run.summary.collect()}
     assert set(summary) == {"Unit 1", "P2"} and summary["P2"].latest_score_M2 is None
     # Tiny slices give the same scores.
-    _, split = scores(plant, Settings(block_rows=64, chunk_seconds=7200))
+    _, split = scores(plant, Settings(block_rows=64, range_parts=6))
     np.testing.assert_allclose(split.health_score, out.health_score, rtol=1e-9)
     np.testing.assert_allclose(split.health_score_smooth, out.health_score_smooth, rtol=1e-9)
 

@@ -5,7 +5,7 @@ import pytest
 from rotorwatch.config import Settings
 from rotorwatch.operators import series
 
-SMALL = Settings(block_rows=37, chunk_seconds=1800)
+SMALL = Settings(block_rows=37, range_parts=9)
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,40 @@ def test_no_row_is_lost_without_time_or_key(spark):
     assert {r.row_id: r.prev_x for r in with_previous(rows, ["device_id"], ["x"]).collect()} == {2: None, 1: 2.0, 3: None, 4: 3.0}
     assert {r.row_id: r.x for r in fill_gaps(rows, ["device_id"], ["x"]).collect()} == {1: 1.0, 2: 2.0, 3: 3.0, 4: 3.0}
     assert {r.row_id: r.x for r in rolling_median(rows, ["device_id"], ["x"], 3).collect()} == {1: 1.5, 2: 1.5, 3: 3.0, 4: 3.0}
+
+
+def crowded(n=6000):
+    """One machine with 30 % of all rows in one hour, one with half of its times missing."""
+    rng = np.random.default_rng(8)
+    hour = rng.random(n) < 0.3
+    seconds = np.where(hour, rng.integers(500 * 3600, 501 * 3600, n), rng.integers(0, 1000 * 3600, n))
+    p = pd.DataFrame({"k": np.where(hour | (rng.random(n) < 0.3), "a", rng.choice(list("bc"), n)),
+                      "datetime": pd.Timestamp("2024-01-01") + pd.to_timedelta(seconds, unit="s"),
+                      "row_id": rng.permutation(n), "x": rng.random(n).round(2)})
+    p.loc[(p.k == "b") & (p.row_id % 2 == 0), "datetime"] = pd.NaT
+    p.loc[rng.random(n) < 0.3, "x"] = np.nan
+    return p.sort_values(["datetime", "row_id"], na_position="first").reset_index(drop=True)
+
+
+def test_parts_hold_equally_many_rows_and_results_stay(make):
+    p, cfg = crowded(), Settings(block_rows=500, range_parts=12)
+    df = make(p)
+    sizes = [r["count"] for r in series.in_parts(df, ["k"], series.TIME_ORDER, cfg).groupBy("_part").count().collect()]
+    assert len(sizes) == 12 and max(sizes) <= 2 * np.median(sizes)
+    g = p.groupby("k")["x"]
+    check(series.with_previous(df, ["k"], ["x"], cfg=cfg), p.assign(prev_x=g.shift()), "prev_x")
+    check(series.with_position(df, ["k"], cfg=cfg), p.assign(pos=p.groupby("k").cumcount()), "pos")
+    check(series.fill_gaps(df, ["k"], ["x"], cfg=cfg), p.assign(x=g.transform(lambda c: c.ffill().bfill())), "x")
+    want = p.assign(x=g.transform(lambda c: c.rolling(5, center=True, min_periods=1).median().ffill().bfill()))
+    check(series.rolling_median(df, ["k"], ["x"], 5, cfg=cfg), want, "x")
+
+
+def test_source_is_read_once(make, data):
+    df = make(data)
+    source = df.inputFiles()[0].rsplit("/", 1)[1]
+    for out in (series.with_previous(df, ["k"], ["x"]), series.with_position(df, ["k"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert source not in plan and not any(source in f for f in out.inputFiles())
+        assert len(out.inputFiles()) >= 1 and plan.count("partitionBy") == 0
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all("_part" in line for line in windows)
