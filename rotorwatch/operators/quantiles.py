@@ -1,9 +1,15 @@
 """Exact percentiles and average ranks, in one way for groups of any size.
 
-Distinct values are counted where the rows are, then dealt by range of (group, value), so
-that a large group spreads over many parts. A small table with the row count of every (group,
-part) tells how many values lie before a part, and only within a part are values sorted. NULL
-keys are groups like others; NULL and NaN values are skipped.
+Percentiles are selected by brackets. One mergeable aggregate gives a sketch of every column together
+with all other aggregates of a group; the sketch names two values between which a wanted place must
+lie. A second aggregate over the rows counts what lies below the bracket and, of the few values
+within it, how often each occurs; there the place is found exactly. Only the table with one row per
+group is written, and no group is sorted as a whole.
+
+Ranks and windows need all values in order: distinct values are counted where the rows are, then dealt by
+range of (group, value), so that a large group spreads over many parts. A small table with the row
+count of every (group, part) tells how many values lie before a part, and only within a part are
+values sorted. NULL keys are groups like others; NULL and NaN values are skipped.
 """
 
 from __future__ import annotations
@@ -15,6 +21,11 @@ from pyspark.sql import functions as F
 
 from rotorwatch.session import materialize
 
+SKETCH = 10_000
+"""A sketch errs by one in so many rows of its group, at most."""
+REACH = ((10_000, 3 / SKETCH), (40, 0.05), (0, 1.0))
+"""From so many rows on, how far a bracket reaches to each side: two rows more than the sketch may err."""
+
 
 def join_groups(left: DataFrame, right: DataFrame, keys, how: str = "inner", on: Column | None = None) -> DataFrame:
     """Join on keys of which NULLs count as equal; the right side's keys are dropped."""
@@ -84,16 +95,78 @@ def _placed(rows: DataFrame, keys) -> DataFrame:
         "_upto", F.col("_skip") + F.col("_inside"))
 
 
+def _known(c: str) -> Column:
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _clip(p: float) -> float:
+    return min(1.0, max(0.0, p))
+
+
 def exact_percentiles(df: DataFrame, keys, wanted: dict, extra=()) -> DataFrame:
     """One row per group with ``{name: (column, probability)}`` percentiles.
 
     Linear interpolation between neighbours, as pandas does. ``extra`` are further
     aggregates of the same groups. Groups whose values are all NULL still get their row.
+    The rows are read twice: for the sketch, and for the counts within brackets.
     """
-    keys = list(keys)
-    found = _pick(_placed(_ranged(df, keys, sorted({c for c, _ in wanted.values()})), keys), keys, wanted)
-    groups = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
-    return join_groups(groups, found, keys, "left")
+    keys, cols = list(keys), sorted({c for c, _ in wanted.values()})
+    at = {c: sorted({float(p) for d, p in wanted.values() if d == c}) for c in cols}
+    edges = {c: sorted({_clip(p + side * reach) for p in at[c] for side in (-1, 1) for _, reach in REACH}) for c in cols}
+    # One row per group, written so that the rows are read for it once, and joined with a table of known size.
+    sketch = materialize(df.groupBy(*keys).agg(*extra, *[x for i, c in enumerate(cols) for x in (
+        F.count(_known(c)).alias(f"_count{i}"),
+        F.percentile_approx(_known(c), edges[c], SKETCH).alias(f"_edge{i}"),
+    )]), "sketch")
+    places = [(i, j) for i, c in enumerate(cols) for j in range(len(at[c]))]
+
+    def edge(i, j, side):
+        """The bracket's value on one side of the place, by the size of the group."""
+        at_size = [(least, F.col(f"_edge{i}")[edges[cols[i]].index(_clip(at[cols[i]][j] + side * reach))]) for least, reach in REACH]
+        return F.coalesce(*[F.when(F.col(f"_count{i}") >= least, value) for least, value in at_size])
+
+    brackets = sketch.select(*keys, *[
+        edge(i, j, side).alias(f"_{name}{k}") for k, (i, j) in enumerate(places) for side, name in ((-1, "from"), (1, "to"))])
+    inside = join_groups(
+        df.select(*keys, *[_known(c).alias(f"_v{i}") for i, c in enumerate(cols)]), brackets, keys)
+    # Values below a bracket count as one NULL value; those above are left out.
+    hits = F.array(*[
+        F.when(F.col(f"_v{i}") <= F.col(f"_to{k}"), F.struct(
+            F.lit(k).alias("_k"), F.when(F.col(f"_v{i}") >= F.col(f"_from{k}"), F.col(f"_v{i}")).alias("_v")))
+        for k, (i, _) in enumerate(places)
+    ])
+    counts = (
+        inside.select(*keys, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_x"))
+        .groupBy(*keys, F.col("_x._k").alias("_k"), F.col("_x._v").alias("_v")).agg(F.count("*").alias("_c"))
+    )
+    # Each place lies where the running count first passes it.
+    total = F.element_at(F.array(*[F.col(f"_count{i}") for i, _ in places]), F.col("_k") + 1)
+    share = F.element_at(F.array(*[F.lit(at[cols[i]][j]) for i, j in places]), F.col("_k") + 1)
+    upto = F.sum("_c").over(_up_to(Window.partitionBy(*keys, "_k").orderBy("_v")))
+    sizes = sketch.select(*keys, *[f"_count{i}" for i in range(len(cols))])
+    placed = join_groups(counts.withColumn("_upto", upto), sizes, keys).withColumn("_at", share * (total - 1))
+
+    def holds(place):
+        return (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c"))
+
+    mine = lambda k, place: F.max(F.when((F.col("_k") == k) & holds(place), F.col("_v")))
+    found = placed.groupBy(*keys).agg(*[x for k in range(len(places)) for x in (
+        mine(k, F.floor("_at")).alias(f"_low{k}"), mine(k, F.ceil("_at")).alias(f"_high{k}"),
+        F.max(F.when(F.col("_k") == k, F.col("_at") - F.floor("_at"))).alias(f"_share{k}"),
+    )])
+    out = join_groups(sketch, found, keys, "left")
+    number = {(cols[i], at[cols[i]][j]): k for k, (i, j) in enumerate(places)}
+
+    def between(name, c, p):
+        k = number[c, float(p)]
+        a, b, w = F.col(f"_low{k}"), F.col(f"_high{k}"), F.col(f"_share{k}")
+        missed = (F.col(f"_count{cols.index(c)}") > 0) & (a.isNull() | b.isNull())
+        return F.when(missed, F.raise_error(F.lit(f"no exact place for {name}"))).when(a == b, a).otherwise(
+            a * (F.lit(1.0) - w) + b * w).alias(name)
+
+    more = [c for c in sketch.columns if c not in keys and not any(c in (f"_count{i}", f"_edge{i}") for i in range(len(cols)))]
+    return out.select(*keys, *more, *[between(name, c, p) for name, (c, p) in wanted.items()])
 
 
 def window_percentiles(df: DataFrame, key: str, wanted: dict, cell, windows_of, covers: Column) -> DataFrame:

@@ -1,7 +1,9 @@
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rotorwatch.operators.quantiles import average_ranks, exact_percentiles
 
@@ -57,3 +59,34 @@ def test_null_keys_nan_infinities_and_skew(spark):
     ranks = {(r.k, r.x): r.r for r in average_ranks(df, ["k"], "x", "r").collect()}
     assert ranks[None, 1.0] == 1.0 and ranks[None, 4.0] == 2.5
     assert ranks["a", inf] == 3.0 and ranks["b", 7.0] == 7 + 3002 / 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 19, 39, 40, 41, 999, 9_999, 10_000, 60_000])
+def test_brackets_hold_every_place(spark, n):
+    """Groups around the sizes at which brackets narrow, in shuffled order, with and without ties."""
+    p = pd.DataFrame({"k": "a", "v": np.random.default_rng(n).permutation(n) * 1.0})
+    p["t"] = np.floor(p.v / 7)
+    shares = [0.0, 1e-4, 0.1, 1 / 3, 0.5, 0.95, 0.9999, 1.0]
+    wanted = {f"{c}{i}": (c, q) for c in "vt" for i, q in enumerate(shares)}
+    df = spark.createDataFrame(p).repartition(5)
+    got = exact_percentiles(df, ["k"], wanted).first()
+    for name, (c, q) in wanted.items():
+        assert got[name] == pytest.approx(p[c].quantile(q), rel=1e-12, abs=1e-12)
+
+
+def test_source_is_read_twice_and_only_groups_are_written(make, monkeypatch):
+    from rotorwatch.operators import quantiles
+
+    written, write = [], quantiles.materialize
+
+    def counted(df, name):
+        written.append((df.inputFiles(), write(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(quantiles, "materialize", counted)
+    df = make(pd.DataFrame({"k": ["a", "a", "b"], "x": [1.0, 2.0, 3.0], "y": [1.0, 5.0, 7.0]}))
+    got = exact_percentiles(df, ["k"], {"m": ("x", 0.5), "q": ("y", 0.25)}, extra=[F.avg("x").alias("mean")])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [t.count() for _, t in written] == [2]
+    assert sum("y#" in x and "Relation [k#" in x and "_count" not in x for x in plan.splitlines()) == 1
+    assert sorted(tuple(r) for r in got.select("k", "mean", "m", "q").collect()) == [("a", 1.5, 1.5, 2.0), ("b", 3.0, 3.0, 7.0)]
