@@ -34,22 +34,24 @@ def parse_timestamp(text) -> Column:
     """
     c = F.col(text) if isinstance(text, str) else text
     clean = F.upper(F.trim(F.regexp_replace(F.regexp_replace(c.cast("string"), "/", "-"), r"\s+", " ")))
+    # The pattern is matched once: a text that fits becomes its parts, any other stays whole.
+    fits = F.when(~clean.contains("|"), F.regexp_replace(clean, STAMP, "$1$6$7|$2$4$8|$3$5$9|$10|$11|$12|$13|$14"))
+    return F.transform(F.array(F.split(fits, r"\|")), _stamp)[0]
 
-    def part(*groups):
-        """The first of these groups that matched."""
-        return F.concat(*[F.regexp_extract(clean, STAMP, g) for g in groups])
 
+def _stamp(p) -> Column:
+    """Timestamp from year, month, day, hour, minute, second, fraction and half of the day; NULL for a whole text."""
     def two(x):
         return F.lpad(x, 2, "0")
 
-    hour, half = F.regexp_extract(clean, STAMP, 10), F.regexp_extract(clean, STAMP, 14)
+    hour, half = F.get(p, F.lit(3)), F.get(p, F.lit(7))
     number = hour.try_cast("int")
     hour = F.when(half == "", hour).when(number.between(1, 12), (number % 12 + F.when(half == "PM", 12).otherwise(0)).cast("string"))
     iso = F.concat(
-        part(1, 6, 7), F.lit("-"), two(part(2, 4, 8)), F.lit("-"), two(part(3, 5, 9)), F.lit(" "),
-        two(hour), F.lit(":"), two(part(11)), F.lit(":"), two(part(12)), F.lit("."), F.rpad(part(13), 6, "0"),
+        F.get(p, F.lit(0)), F.lit("-"), two(F.get(p, F.lit(1))), F.lit("-"), two(F.get(p, F.lit(2))), F.lit(" "),
+        two(hour), F.lit(":"), two(F.get(p, F.lit(4))), F.lit(":"), two(F.get(p, F.lit(5))), F.lit("."), F.rpad(F.get(p, F.lit(6)), 6, "0"),
     )
-    return F.when(clean.rlike(STAMP), iso.try_cast("timestamp_ntz"))
+    return F.when(F.size(p) == 8, iso.try_cast("timestamp_ntz"))
 
 
 def timestamp_counts(ts="datetime") -> list[Column]:

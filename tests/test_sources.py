@@ -1,5 +1,6 @@
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rotorwatch.sources import columns, readers, sinks
 
@@ -158,3 +159,69 @@ def test_load_report(spark, tmp_path):
     got = {r.file[-5:]: tuple(r)[1:] for r in readers.load_report(spark, str(d)).collect()}
     assert got == {"a.csv": ("date", 3, 1, 1), "b.CSV": (None, 1, 1, 0), "c.csv": ("date", 0, 0, 0)}
     assert readers.load_report(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_pattern_is_matched_once(spark):
+    plan = spark.range(1).select(columns.parse_timestamp(F.lit("x").cast("string")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("AM|PM") == 1
+
+
+def test_texts_that_look_like_parts(spark):
+    odd = ["\x01|2024|1|2|3|4|5|6|", "2024-01-02|", "\x01"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert [r.x for r in rows.select(columns.parse_timestamp("t").alias("x")).collect()] == [None, None, None]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_a_run_for_some_devices_leaves_the_others(spark, make, frame, tmp_path, fmt):
+    path, read = str(tmp_path / "scores"), lambda: sorted(
+        (r.device_id, float(r.health_score)) for r in spark.read.option("header", "true").format(fmt).load(path).collect())
+    both = pd.concat([frame(device=d, health_score=[s, s + 1]) for d, s in (("P1_M1", 10.0), ("P2_M1", 20.0))])
+    sinks.sink_scores(make(both), path, fmt)
+    again = make(frame(device="P1_M1", health_score=[70.0]))
+    for _ in range(2):
+        sinks.sink_scores(again, path, fmt)
+        assert read() == [("P1_M1", 70.0), ("P2_M1", 20.0), ("P2_M1", 21.0)]
+    with pytest.raises(Exception, match="(?i)already exists"):
+        sinks.sink_scores(again, path, fmt, mode="errorifexists")
+
+
+def test_every_table_by_device_is_replaced_by_device(spark, make, tmp_path):
+    rows = lambda *d: make(pd.DataFrame({"device_id": d, "x": 1.0, "pearson_raw": 0.5, "spearman_raw": 0.5}))
+    for name, sink in (("c", sinks.sink_candidates), ("r", sinks.sink_correlation), ("e", sinks.sink_export)):
+        path = str(tmp_path / name)
+        sink(rows("a", "a", "b"), path)
+        sink(rows("a"), path)
+        assert sorted(r.device_id for r in sinks.read_table(spark, path).collect()) == ["a", "b"]
+    path = str(tmp_path / "energy")
+    sinks.sink_energy(rows("a", "b"), rows("b"), path)
+    sinks.sink_energy(rows("b"), rows("b", "b"), path)
+    assert sinks.read_table(spark, f"{path}/daily").count() == 2 and sinks.read_table(spark, f"{path}/gaps").count() == 2
+
+
+def test_models_are_published_as_a_whole(spark, tmp_path):
+    path, model = str(tmp_path / "model"), lambda k: spark.range(k).select("id", F.lit(k).alias("k"))
+    with pytest.raises(FileNotFoundError):
+        sinks.load_model(spark, path)
+    assert sinks.save_model(model(3), path) == 1
+    broken = model(5).withColumn("k", F.when(F.col("id") == 4, F.raise_error(F.lit("fails half-way"))).otherwise(F.col("k")))
+    with pytest.raises(Exception, match="half-way"):
+        sinks.save_model(broken, path)
+    assert sinks.model_versions(spark, path) == [1] and sinks.load_model(spark, path).count() == 3
+    assert not [f for f in (tmp_path / "model").iterdir() if f.name.startswith("_writing")]
+    # Load, change and save on one path; the loaded table stays readable.
+    first = sinks.load_model(spark, path)
+    assert sinks.save_model(first.where("id > 0"), path) == 2
+    assert (first.count(), sinks.load_model(spark, path).count(), sinks.load_model(spark, path, 1).count()) == (3, 2, 3)
+    (tmp_path / "model" / "_writing-of-a-lost-job").mkdir()
+    assert sinks.save_model(model(7), path, keep=2) == 3
+    assert sinks.model_versions(spark, path) == [2, 3] and sinks.load_model(spark, path).count() == 7
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "model")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda k: sinks.save_model(spark.range(k), path), [1, 2, 3, 4]))
+    assert sorted(numbers) == [1, 2, 3, 4] and sorted(sinks.load_model(spark, path, n).count() for n in numbers) == [1, 2, 3, 4]
