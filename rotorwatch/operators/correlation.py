@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorwatch.config import DEFAULTS, Settings
-from rotorwatch.functions.scoring import pearson
-from rotorwatch.operators.quantiles import average_ranks
+from rotorwatch.operators.quantiles import with_centred_ranks
 
 SIMPSON_STEPS = 2000
 
@@ -31,24 +30,26 @@ def correlation_matrix(df: DataFrame, xs, ys, key="device_id", cfg: Settings = D
     """r of every telemetry x feature pair of a machine, 4 decimals.
 
     Uses rows where both are known; pairs with too few rows or a constant side
-    are left out.
+    are left out. Equal (x, y) of a pair are counted first; what follows grows with the
+    different ones.
     """
     pair = [key, "variable_type", "vibration_feature"]
-    long = _pairs(df, xs, ys, key)
-    rank_x = average_ranks(long, pair, "x", "rx")
-    rank_y = average_ranks(long, pair, "y", "ry")
-    ranked = long.join(rank_x, [*pair, "x"]).join(rank_y, [*pair, "y"])
-    out = ranked.groupBy(*pair).agg(
-        F.count("*").alias("n_samples"),
-        pearson("x", "y").alias("_p"), pearson("rx", "ry").alias("_s"),
-        F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy"),
-    )
-    sigma = cfg.constant_sigma
+    cells = _pairs(df, xs, ys, key).groupBy(*pair, "x", "y").agg(F.count("*").alias("_n"))
+    ranked = with_centred_ranks(with_centred_ranks(cells, pair, "x", "_n", "_rx"), pair, "y", "_n", "_ry")
+    products = {"xx": ("_rx_value", "_rx_value"), "yy": ("_ry_value", "_ry_value"), "xy": ("_rx_value", "_ry_value"),
+                "rxx": ("_rx", "_rx"), "ryy": ("_ry", "_ry"), "rxy": ("_rx", "_ry")}
+    sums = ranked.groupBy(*pair).agg(
+        F.sum("_n").alias("n_samples"),
+        *[F.sum(F.col("_n") * F.col(a) * F.col(b)).alias(f"_{name}") for name, (a, b) in products.items()])
+
+    def r(kind):
+        return F.col(f"_{kind}xy") / F.nullif(F.sqrt(F.col(f"_{kind}xx")) * F.sqrt(F.col(f"_{kind}yy")), F.lit(0.0))
+
+    varies = [F.sqrt(F.col(c) / F.col("n_samples")) >= cfg.constant_sigma for c in ("_xx", "_yy")]
     return (
-        out.where(
-            (F.col("n_samples") >= cfg.corr_min_rows) & (F.col("_sx") >= sigma) & (F.col("_sy") >= sigma)
-            & F.col("_p").isNotNull() & F.col("_s").isNotNull()
-        )
+        sums.withColumns({"_p": r(""), "_s": r("r")})
+        .where((F.col("n_samples") >= cfg.corr_min_rows) & varies[0] & varies[1]
+               & F.col("_p").isNotNull() & F.col("_s").isNotNull())
         .select(*pair, F.round("_p", 4).alias("pearson_r"), F.round("_s", 4).alias("spearman_r"), "n_samples",
                 F.col("_p").alias("pearson_raw"), F.col("_s").alias("spearman_raw"))
     )

@@ -202,3 +202,55 @@ def average_ranks(df: DataFrame, keys, value: str, name: str) -> DataFrame:
     keys = list(keys)
     rank = F.col("_upto") - (F.col("_c") - 1) / F.lit(2.0)
     return _placed(_ranged(df, keys, [value]), keys).select(*keys, F.col("_v").alias(value), rank.alias(name))
+
+
+def with_centred_ranks(rows: DataFrame, keys, value: str, weight: str, name: str) -> DataFrame:
+    """Rows plus ``name``, the average rank of ``value`` in its group less the mean rank, and ``name`` with
+    ``_value``, the value less the group's mean. A row stands for ``weight`` equal ones.
+
+    Rows are dealt by range of (group, value) with a hash behind, so that one value of very many rows
+    spreads too. What lies in other parts, ties of a part's first and last value among it, comes from
+    a table with one row per (group, part); no join is keyed by a value.
+    """
+    keys = list(keys)
+    dealt = rows.repartitionByRange(*keys, value, F.xxhash64(*rows.columns))
+    parts = materialize(dealt.withColumn("_p", F.spark_partition_id()), "ranked")
+    group, v, c = [*keys, "_p"], F.col(value), F.col(weight)
+    per_value = parts.groupBy(*group, v.alias("_v")).agg(F.sum(c).alias("_c"))
+    per_part = per_value.groupBy(*group).agg(
+        F.sum("_c").alias("_n"), F.sum(F.col("_v") * F.col("_c")).alias("_s"),
+        F.min("_v").alias("_first"), F.min_by("_c", "_v").alias("_c_first"),
+        F.max("_v").alias("_last"), F.max_by("_c", "_v").alias("_c_last"),
+    )
+    whole = Window.partitionBy(*keys)
+    per_part = per_part.withColumns({
+        "_skip": F.sum("_n").over(_up_to(whole.orderBy("_p"))) - F.col("_n"),
+        "_total": F.sum("_n").over(whole), "_mean": F.sum("_s").over(whole) / F.sum("_n").over(whole),
+    })
+    # A value in several parts is the last of one and the first of the next.
+    ends = F.array(
+        F.struct(F.lit(0).alias("e"), F.col("_first").alias("v"), F.col("_c_first").alias("c"), F.col("_skip").alias("less")),
+        F.struct(F.lit(1).alias("e"), F.col("_last").alias("v"),
+                 F.when(F.col("_last") == F.col("_first"), 0).otherwise(F.col("_c_last")).alias("c"),
+                 (F.col("_skip") + F.col("_n") - F.col("_c_last")).alias("less")),
+    )
+    same = Window.partitionBy(*keys, "_x.v")
+    at = lambda e, x: F.max(F.when(F.col("_x.e") == e, x))
+    borders = (
+        per_part.withColumn("_x", F.explode(ends))
+        .withColumn("_rank", F.min("_x.less").over(same) + (F.sum("_x.c").over(same) + 1) / F.lit(2.0))
+        .groupBy(*group, "_skip", "_total", "_mean")
+        .agg(at(0, F.col("_x.v")).alias("_first"), at(0, F.col("_rank")).alias("_rank_first"),
+             at(1, F.col("_x.v")).alias("_last"), at(1, F.col("_rank")).alias("_rank_last"))
+    )
+    order = Window.partitionBy(*group).orderBy(v)
+    inside = parts.withColumns({
+        "_ties": F.sum(c).over(Window.partitionBy(*group, value)),
+        "_upto": F.sum(c).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    rank = (
+        F.when(v == F.col("_first"), F.col("_rank_first")).when(v == F.col("_last"), F.col("_rank_last"))
+        .otherwise(F.col("_skip") + F.col("_upto") - (F.col("_ties") - 1) / F.lit(2.0))
+    )
+    return join_groups(inside, borders, group).select(
+        *rows.columns, (rank - (F.col("_total") + 1) / F.lit(2.0)).alias(name), (v - F.col("_mean")).alias(f"{name}_value"))

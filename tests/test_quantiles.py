@@ -90,3 +90,27 @@ def test_source_is_read_twice_and_only_groups_are_written(make, monkeypatch):
     assert [t.count() for _, t in written] == [2]
     assert sum("y#" in x and "Relation [k#" in x and "_count" not in x for x in plan.splitlines()) == 1
     assert sorted(tuple(r) for r in got.select("k", "mean", "m", "q").collect()) == [("a", 1.5, 1.5, 2.0), ("b", 3.0, 3.0, 7.0)]
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_centred_ranks_over_many_parts(spark, make, parts):
+    """Ties that fill several parts, ties inside one, weights, a NULL group."""
+    from rotorwatch.operators.quantiles import with_centred_ranks
+
+    rng = np.random.default_rng(parts)
+    p = pd.DataFrame({"k": rng.choice(list("aab"), 600), "x": np.where(rng.random(600) < 0.4, 50.0, rng.integers(0, 90, 600)),
+                      "w": rng.integers(1, 4, 600), "n": range(600)})
+    p.loc[:40, "k"] = None
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = with_centred_ranks(make(p), ["k"], "x", "w", "r").toPandas().sort_values("n")
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    every = p.loc[p.index.repeat(p.w)]
+    g = every.assign(k=every.k.fillna("none")).groupby("k")["x"]
+    want = pd.DataFrame({"n": every.n, "r": g.rank() - (g.transform("size") + 1) / 2, "v": every.x - g.transform("mean")}).drop_duplicates("n")
+    np.testing.assert_allclose(got.r.astype(float), want.sort_values("n").r)
+    np.testing.assert_allclose(got.r_value.astype(float), want.sort_values("n").v, atol=1e-12)
