@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotorwatch.config import DEFAULTS, Settings
@@ -10,6 +10,7 @@ from rotorwatch.functions.scoring import alert_level, trend_label
 from rotorwatch.functions.times import from_micros, micros
 from rotorwatch.operators.mapping import map_devices
 from rotorwatch.operators.quantiles import exact_percentiles, join_groups
+from rotorwatch.session import materialize
 
 
 def filter_valid_scores(df: DataFrame, score="HealthScore") -> DataFrame:
@@ -73,37 +74,60 @@ def health_trend(df: DataFrame, score="HealthScore", key="device_id", cfg: Setti
     return fit.select(key, "n_valid", *_line_columns(cfg))
 
 
-def _valid_with_span(df, score, key):
-    rows = filter_valid_scores(df, score).select(key, "datetime", F.col(score).alias("_s"))
-    span = rows.groupBy(key).agg(F.min("datetime").alias("_t0"), F.max("datetime").alias("_t1"))
-    return rows.join(span, key)
-
+def _halves_and_recent(df: DataFrame, score, key, days: int) -> DataFrame:
+    """Per machine with a valid score the means before (``_a``) and from (``_b``) the middle of its time range,
+    and mean and number (``_r``, ``_m``) of its last ``days`` days.
 
-def _halves() -> tuple[list[Column], list[Column]]:
-    """Aggregates over rows with their machine's span, and the columns made from them."""
-    middle = from_micros(micros("_t0") + F.floor((micros("_t1") - micros("_t0")) / 2))
-    early = F.col("datetime") < middle
+    Scores are added up once per machine and day. Whole days go to their sides as they are;
+    only the rows of the days in which the middle or the start of the last days lies are read again.
+    """
+    rows = filter_valid_scores(df, score).select(
+        key, "datetime", F.col(score).alias("_s"), F.to_date("datetime").alias("_day"))
+    cells = materialize(rows.groupBy(key, "_day").agg(
+        F.count("*").alias("_n"), F.sum("_s").alias("_sum"), F.min("datetime").alias("_from"), F.max("datetime").alias("_to")), "days")
+    machine = Window.partitionBy(key)
+    start, end = F.min("_from").over(machine), F.max("_to").over(machine)
+    marked = cells.withColumns({
+        "_middle": from_micros(micros(start) + F.floor((micros(end) - micros(start)) / 2)),
+        "_recent": F.timestamp_add("DAY", F.lit(-days), end),
+    })
+    # A day without a time (NULL) lies on no side, as in a comparison of its rows.
+    split = lambda cut: (F.col("_from") < F.col(cut)) & (F.col("_to") >= F.col(cut))
+    border = split("_middle") | split("_recent")
+
+    def sides(at, n, total):
+        early, late, recent = F.col(at) < F.col("_middle"), F.col(at) >= F.col("_middle"), F.col(at) >= F.col("_recent")
+        return [x for name, side in (("a", early), ("b", late), ("m", recent)) for x in (
+            F.sum(F.when(side, n)).alias(f"_n{name}"), F.sum(F.when(side, total)).alias(f"_s{name}"))]
+
+    days_ = marked.where(~F.coalesce(border, F.lit(False))).groupBy(key).agg(*sides("_from", F.col("_n"), F.col("_sum")))
+    cut = marked.where(border).select(key, "_day", "_middle", "_recent")
+    near = join_groups(rows, cut, [key, "_day"]).groupBy(key).agg(*sides("datetime", F.lit(1), F.col("_s")))
+    both = days_.unionByName(near).groupBy(key).agg(*[F.sum(c).alias(c) for c in days_.columns if c != key])
+    mean = lambda x: F.col(f"_s{x}") / F.col(f"_n{x}")
+    return both.select(
+        key, mean("a").alias("_a"), mean("b").alias("_b"), mean("m").alias("_r"),
+        F.coalesce("_nm", F.lit(0)).cast("long").alias("_m"))
+
+
+def _half_columns() -> list[Column]:
     change = (F.col("_b") - F.col("_a")) / F.nullif(F.col("_a"), F.lit(0.0)) * 100
-    return [F.avg(F.when(early, F.col("_s"))).alias("_a"), F.avg(F.when(~early, F.col("_s"))).alias("_b")], [
-        F.round("_a", 2).alias("first_half_mean"), F.round("_b", 2).alias("second_half_mean"),
-        F.round(change, 1).alias("half_change_pct"),
-    ]
+    return [F.round("_a", 2).alias("first_half_mean"), F.round("_b", 2).alias("second_half_mean"),
+            F.round(change, 1).alias("half_change_pct")]
 
 
-def _recent(days: int) -> list[Column]:
-    recent = F.when(F.col("datetime") >= F.timestamp_add("DAY", F.lit(-days), F.col("_t1")), F.col("_s"))
-    return [F.round(F.avg(recent), 2).alias("recent_mean"), F.count(recent).alias("recent_n")]
+def _recent_columns() -> list[Column]:
+    return [F.round("_r", 2).alias("recent_mean"), F.col("_m").alias("recent_n")]
 
 
 def half_period_change(df: DataFrame, score="HealthScore", key="device_id") -> DataFrame:
     """Mean score before and after the middle of the machine's time range."""
-    aggs, out = _halves()
-    return _valid_with_span(df, score, key).groupBy(key).agg(*aggs).select(key, *out)
+    return _halves_and_recent(df, score, key, 1).select(key, *_half_columns())
 
 
 def recent_window_mean(df: DataFrame, days: int = 30, score="HealthScore", key="device_id") -> DataFrame:
     """Mean score of the machine's own last ``days`` days, both ends included."""
-    return _valid_with_span(df, score, key).groupBy(key).agg(*_recent(days))
+    return _halves_and_recent(df, score, key, days).select(key, *_recent_columns())
 
 
 def daily_device_scores(df: DataFrame, score="HealthScore", key="device_id") -> DataFrame:
@@ -130,18 +154,13 @@ def fleet_ranking(stats: DataFrame) -> DataFrame:
 
 
 def health_summary(df: DataFrame, recent_days: int = 30, score="HealthScore", key="device_id", cfg: Settings = DEFAULTS) -> DataFrame:
-    """All fleet columns of a machine in one row.
-
-    One aggregate takes statistics and the trend, a second one, which needs each machine's
-    time span, the halves and the recent mean.
-    """
+    """All fleet columns of a machine in one row."""
     rows = df.select(key, "datetime", _valid(score).alias("_s"))
     whole = _health_stats(rows, key, *_line())
-    halves, out = _halves()
-    parts = _valid_with_span(df, score, key).groupBy(key).agg(*halves, *_recent(recent_days))
+    parts = _halves_and_recent(df, score, key, recent_days)
     stats = [c for c in whole.columns if not c.startswith("_")]
-    both = whole.join(parts, key)
-    return both.select(*stats, *_line_columns(cfg), *out, "recent_mean", "recent_n")
+    both = join_groups(whole, parts, [key])
+    return both.select(*stats, *_line_columns(cfg), *_half_columns(), *_recent_columns())
 
 
 def device_records(scored: DataFrame, baseline: DataFrame, device_dim: DataFrame) -> DataFrame:

@@ -64,3 +64,38 @@ def test_validation(make, frame):
     got = {r.device_id: r for r in fleet.validation_summary(rows, rows.where("device_id = 'A_M1'")).collect()}
     assert got["A_M1"].passed and got["A_M1"].has_current and got["A_M1"].has_m2
     assert (got["A_M2"].row_count, got["A_M2"].passed, got["A_M2"].has_current) == (0, False, False)
+
+
+def test_halves_and_recent_equal_rows(make, monkeypatch):
+    """Borders within days, on day borders, single rows, missing times and scores."""
+    rng = np.random.default_rng(11)
+    parts = []
+    for k, (n, hours) in enumerate([(500, 900), (40, 20), (1, 1), (7, 24 * 7), (300, 24 * 60)]):
+        p = pd.DataFrame({"device_id": f"P{k}_M1", "datetime": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, hours * 60, n), unit="min"),
+                          "HealthScore": rng.integers(0, 100, n) * 1.0})
+        p.loc[rng.random(n) < 0.1, "HealthScore"] = np.nan
+        p.loc[0, "HealthScore"] = 55.0
+        parts.append(p)
+    p = pd.concat(parts, ignore_index=True)
+    p.loc[[3, 9, 505], "datetime"] = pd.NaT
+    valid = p[p.HealthScore.notna() & (p.HealthScore != 0)]
+    read, write = [], fleet.materialize
+
+    def counted(df, name):
+        read.append(write(df, name))
+        return read[-1]
+
+    monkeypatch.setattr(fleet, "materialize", counted)
+    halves = fleet.half_period_change(make(p))
+    got = {r.device_id: r for r in halves.collect()}
+    recent = {r.device_id: r for r in fleet.recent_window_mean(make(p), days=9).collect()}
+    for d, g in valid.groupby("device_id"):
+        t = g.datetime.dropna()
+        middle = t.min() + ((t.max() - t.min()) // 2).floor("us")
+        first, second, last = g[g.datetime < middle], g[g.datetime >= middle], g[g.datetime >= t.max() - pd.Timedelta(days=9)]
+        for have, want in ((got[d].first_half_mean, first), (got[d].second_half_mean, second), (recent[d].recent_mean, last)):
+            assert (have is None and want.empty) or abs(have - want.HealthScore.mean()) <= 0.00501
+        assert recent[d].recent_n == len(last)
+    # Only rows of the cut days are read again: the join is by machine and day.
+    joins = [x for x in halves._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and all("_day#" in x for x in joins) and read[0].count() < len(valid)
