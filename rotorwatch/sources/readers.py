@@ -1,8 +1,9 @@
 """CSV folders to typed DataFrames.
 
-Files may differ in encoding and header. One distributed pass over the lines
-finds both for every file; files that agree are then read together, so the
-number of scans is the number of different layouts, not of files.
+Files may differ in encoding and header. One pass over the lines makes a catalogue of the files, kept
+as a table; only the different layouts (encoding and header) reach the driver, however many
+files there are. A second pass reads the lines of all files together, learns each one's layout from
+the catalogue and takes columns by their place in it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rotorwatch.config import DEFAULT_EVENT_NAME, DISPLAY_METRICS
+from rotorwatch.session import materialize
 from rotorwatch.sources import columns as C
 
 log = logging.getLogger("rotorwatch.sources")
@@ -53,41 +55,61 @@ LOG_SCHEMA = "device_id string, event_ts timestamp_ntz, event_name string"
 class Layout(NamedTuple):
     encoding: tuple
     header: tuple
-    files: list
 
 
-def file_layouts(spark: SparkSession, path) -> list[Layout]:
-    """Files grouped by encoding and header; none where the path is absent. One row per
-    file reaches the driver."""
+class Files(NamedTuple):
+    """What a folder holds: its layouts, and a table with ``file`` and ``layout``, the place in that list."""
+
+    layouts: list[Layout]
+    catalogue: DataFrame | None
+    paths: list
+
+    def lines(self) -> DataFrame:
+        """Lines without headers, as ``_cells``, with ``_file``, ``_layout`` and their place in the file."""
+        return _cells(self)
+
+
+def catalogue(spark: SparkSession, path) -> Files:
+    """Files by encoding and header; none where the path is absent. One row per different layout
+    reaches the driver."""
     paths = [path] if isinstance(path, str) else list(path)
     try:
-        return _layouts(spark, paths)
+        return _catalogue(spark, paths)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         log.error("no such input: %s", paths)
-        return []
+        return Files([], None, paths)
 
 
-def _layouts(spark, paths) -> list[Layout]:
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").text(paths)
-        .select("value", F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
-    )
+def _reader(spark):
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]")
+
+
+def _catalogue(spark, paths) -> Files:
+    lines = _reader(spark).text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
     raw = F.col("value").cast("binary")
     found = lines.groupBy("file").agg(
         F.min_by(raw, F.struct("start", "n")).alias("first"),
         F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8"),
         F.bool_and(F.hex(raw).rlike(_CP950_HEX)).alias("cp950"),
     )
-    groups: dict = {}
-    for row in found.orderBy("file").collect():
-        enc = UTF8 if row["utf8"] else CP950 if row["cp950"] else LATIN1
+    code = F.when(F.col("utf8"), 0).when(F.col("cp950"), 1).otherwise(2)
+    table = materialize(found.select("file", code.alias("code"), "first"), "catalogue")
+    kinds = table.select("code", "first").distinct().orderBy("code", "first").collect()
+    layouts: dict = {}
+    numbers = []
+    for row in kinds:  # headers that differ in blanks only are one layout
+        enc = (UTF8, CP950, LATIN1)[row["code"]]
         text = bytes(row["first"]).decode(enc[1], errors="replace")
-        header = _distinct(h.strip() for h in next(csv.reader([text]), []))
-        groups.setdefault((enc, header), []).append(row["file"])
-    return [Layout(e, h, f) for (e, h), f in groups.items()]
+        layout = Layout(enc, _distinct(h.strip() for h in next(csv.reader([text]), [])))
+        numbers.append((row["code"], row["first"], layouts.setdefault(layout, len(layouts))))
+    if any(x.encoding == CP950 for x in layouts):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # cp950 is not in the default list
+    number = spark.createDataFrame(numbers, "code int, first binary, layout int")
+    return Files(list(layouts), table.join(number, ["code", "first"]).select("file", "layout"), paths)
 
 
 def _distinct(names) -> tuple:
@@ -100,33 +122,61 @@ def _distinct(names) -> tuple:
     return tuple(out)
 
 
-def _read_layout(spark: SparkSession, layout: Layout) -> DataFrame:
-    if layout.encoding == CP950:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # cp950 is not in the default list
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in layout.header])
-    df = (
-        spark.read.schema(schema).option("header", "true").option("encoding", layout.encoding[0])
-        .option("recursiveFileLookup", "true").csv(layout.files)
-    )
-    return df.select("*", F.col("_metadata.file_path").alias("_file"))
+def _cells(files: Files) -> DataFrame:
+    spark = files.catalogue.sparkSession
+    # Whole lines without headers: no quotes, and a separator that text doesn't hold. Latin-1 keeps every byte.
+    lines = _reader(spark).schema("line string").options(
+        header="true", sep="\x01", quote="", encoding=LATIN1[0]).csv(files.paths).select(
+        "line", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_n"))
+    known = lines.join(files.catalogue.withColumnsRenamed({"file": "_file", "layout": "_layout"}), "_file")
+    raw, text = F.encode("line", LATIN1[0]), F.col("line")
+    for enc in {x.encoding for x in files.layouts} - {LATIN1}:
+        mine = [k for k, x in enumerate(files.layouts) if x.encoding == enc]
+        text = F.when(F.col("_layout").isin(mine), F.decode(raw, enc[0])).otherwise(text)
+    width = max(len(x.header) for x in files.layouts)
+    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
+    return known.select("_file", "_start", "_n", "_layout", F.from_csv(text, schema.simpleString()[7:-1].replace(":", " ")).alias("_cells"))
+
+
+def _by_layout(choice: dict):
+    """``choice`` holds an expression by number of layout; NULL for other layouts."""
+    out = None
+    for k, value in choice.items():
+        out = F.when(F.col("_layout") == k, value) if out is None else out.when(F.col("_layout") == k, value)
+    return out
+
+
+def _cell(k: int):
+    return F.col("_cells")[f"c{k}"]
+
+
+def _columns(layouts: list[Layout]) -> dict:
+    """For every name, case aside, its place by number of layout, in order of first use."""
+    out: dict = {}
+    for k, layout in enumerate(layouts):
+        for place, h in enumerate(layout.header):
+            out.setdefault(h.lower(), (h, {}))[1][k] = place
+    return dict(out.values())
+
+
+def _text(places: dict):
+    """The column that stands at these places, as text."""
+    return _by_layout({k: _cell(place) for k, place in places.items()})
 
 
 def _quoted(name: str):
     return F.col(f"`{name}`")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    """At least one frame, united by column name."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+def _all_text(files: Files) -> list:
+    return [_text(places).alias(name) for name, places in _columns(files.layouts).items()]
 
 
 def read_csv_multi_encoding(spark: SparkSession, path) -> DataFrame:
     """All columns as text, files united by column name; without files, no column."""
-    frames = [_read_layout(spark, x) for x in file_layouts(spark, path)]
-    return _union(frames).drop("_file") if frames else spark.createDataFrame([], T.StructType([]))
+    files = catalogue(spark, path)
+    return files.lines().select(*_all_text(files)) if files.layouts else spark.createDataFrame([], T.StructType([]))
 
 
 def load_vibration(spark: SparkSession, folder) -> DataFrame:
@@ -135,65 +185,73 @@ def load_vibration(spark: SparkSession, folder) -> DataFrame:
     Files without a device in their name or without a time column are skipped,
     and so are rows whose time cannot be read.
     """
-    frames = []
-    for layout in file_layouts(spark, folder):
-        time = C.time_header(layout.header)
+    files = catalogue(spark, folder)
+    times, ids, named = {}, {}, []
+    for k, layout in enumerate(files.layouts):
+        time, score = C.time_header(layout.header), C.score_header(layout.header)
         if time is None:
-            log.error("no time column in %s: %s", layout.files[:3], layout.header)
+            log.error("no time column in %s", layout.header)
+            named.append(Layout(layout.encoding, ()))
             continue
-        score = C.score_header(layout.header)
-        df = _read_layout(spark, layout)
-        rest = [h for h in layout.header if h != time]
-        frames.append(df.select(
-            C.parse_timestamp(_quoted(time)).alias("datetime"),
-            *[(C.number(_quoted(h)) if h in MEASURES or h == score else _quoted(h)).alias(
-                "HealthScore" if h == score else h) for h in rest],
-            *C.device_from_path("_file"),
-            F.xxhash64("_file", *[_quoted(h) for h in layout.header]).alias("row_id"),
-        ))
-    if not frames:
+        times[k] = layout.header.index(time)
+        ids[k] = F.xxhash64("_file", *[_cell(j) for j in range(len(layout.header))])
+        # A blank name stands for the time, which has a column of its own.
+        named.append(Layout(layout.encoding, tuple(
+            "" if h == time else "HealthScore" if h == score else h for h in layout.header)))
+    if not times:
         log.error("no vibration file with a time column in %s", folder)
         return spark.createDataFrame([], VIBRATION_SCHEMA)
-    return _union(frames).where(F.col("datetime").isNotNull() & F.col("device_id").isNotNull())
+    rest = {h: places for h, places in _columns(named).items() if h}
+    return files.lines().where(F.col("_layout").isin(list(times))).select(
+        C.parse_timestamp(_text(times)).alias("datetime"),
+        *[(C.number(_text(p)) if h in MEASURES else _text(p)).alias(h) for h, p in rest.items()],
+        *C.device_from_path("_file"), _by_layout(ids).alias("row_id"),
+    ).where(F.col("datetime").isNotNull() & F.col("device_id").isNotNull())
 
 
 def load_report(spark: SparkSession, folder) -> DataFrame:
     """One row per file: its time column (NULL: the loaders skip the file), rows, rows whose time
-    cannot be read and that the loaders leave out, and rows of an unlikely year."""
-    files, frames = [], []
-    for layout in file_layouts(spark, folder):
-        time = C.time_header(layout.header)
-        files += [(f, time) for f in layout.files]
-        stamp = C.parse_timestamp(_quoted(time)) if time else F.lit(None).cast("timestamp_ntz")
-        frames.append(_read_layout(spark, layout).select(F.col("_file").alias("file"), stamp.alias("datetime")))
-    if not frames:
-        return spark.createDataFrame([], "file string, time_column string, n_rows long, n_unparsed long, n_odd_year long")
-    known = spark.createDataFrame(files, "file string, time_column string")
-    rows = _union(frames)
-    counts = rows.groupBy("file").agg(F.count("*").alias("n_rows"), *C.timestamp_counts("datetime"))
-    return known.join(counts, "file", "left").fillna(0, ["n_rows", "n_unparsed", "n_odd_year"])
+    cannot be read and that the loaders leave out, rows of an unlikely year, and up to three of
+    the time texts that cannot be read."""
+    files = catalogue(spark, folder)
+    if not files.layouts:
+        return spark.createDataFrame(
+            [], "file string, time_column string, n_rows long, n_unparsed long, n_odd_year long, examples array<string>")
+    names = {k: C.time_header(x.header) for k, x in enumerate(files.layouts)}
+    names = {k: (h, files.layouts[k].header.index(h)) for k, h in names.items() if h}
+    none = F.lit(None).cast("string")
+    text = _text({k: place for k, (_, place) in names.items()}) if names else none
+    rows = files.lines().select(F.col("_file").alias("file"), text.alias("t")).withColumn("datetime", C.parse_timestamp("t"))
+    bad = F.when(F.col("datetime").isNull(), F.col("t"))
+    counts = rows.groupBy("file").agg(
+        F.count("*").alias("n_rows"), *C.timestamp_counts("datetime"),
+        F.array(F.min(bad), F.max(bad), F.first(bad, ignorenulls=True)).alias("examples"))
+    known = files.catalogue.withColumnRenamed("layout", "_layout")
+    known = known.select("file", (_by_layout({k: F.lit(h) for k, (h, _) in names.items()}) if names else none).alias("time_column"))
+    examples = F.array_distinct(F.array_compact(F.coalesce("examples", F.array().cast("array<string>"))))
+    return known.join(counts, "file", "left").fillna(0, ["n_rows", "n_unparsed", "n_odd_year"]).withColumn("examples", examples)
 
 
 def _load_long(spark, folder, loose: bool) -> DataFrame:
     """``loose`` also accepts headers that merely contain 'tag' or 'val'."""
-    frames = []
-    for layout in file_layouts(spark, folder):
+    files, found = catalogue(spark, folder), {}
+    for k, layout in enumerate(files.layouts):
         h = list(layout.header)
         time = C.time_header(h) if loose else C.first_header(h, C.TIME_NAMES, ("date", "time"))
         others = [x for x in h if x != time]
         tag = C.first_header(others, C.TAG_NAMES, ("tag",) if loose else ())
         value = C.first_header([x for x in others if x != tag], C.VALUE_NAMES, ("val",) if loose else ())
         if time is None or tag is None or value is None:
-            log.error("skipped %s: time=%s tag=%s value=%s", layout.files[:3], time, tag, value)
+            log.error("skipped files with %s: time=%s tag=%s value=%s", layout.header, time, tag, value)
             continue
-        frames.append(_read_layout(spark, layout).select(
-            C.parse_timestamp(_quoted(time)).alias("datetime"), _quoted(tag).alias("tagname"),
-            C.number(_quoted(value)).alias("value"),
-            F.xxhash64("_file", _quoted(time), _quoted(tag), _quoted(value)).alias("row_id"),
-        ))
-    if not frames:
+        found[k] = [h.index(x) for x in (time, tag, value)]
+    if not found:
         return spark.createDataFrame([], LONG_SCHEMA)
-    return _union(frames).where(F.col("datetime").isNotNull())
+    time, tag, value = (_text({k: places[j] for k, places in found.items()}) for j in range(3))
+    return files.lines().where(F.col("_layout").isin(list(found))).select(
+        C.parse_timestamp(time).alias("datetime"), tag.alias("tagname"), C.number(value).alias("value"),
+        F.xxhash64("_file", time, tag, value).alias("row_id"),
+    ).where(F.col("datetime").isNotNull())
 
 
 def load_current(spark: SparkSession, folder) -> DataFrame:
@@ -207,8 +265,13 @@ def load_other_data(spark: SparkSession, folder) -> DataFrame:
 
 
 def _dimension(spark, path) -> tuple[DataFrame, list[str]]:
-    df = read_csv_multi_encoding(spark, path)
-    return df.withColumn("row_no", F.monotonically_increasing_id()), df.columns
+    """All columns as text and ``row_no``, which rises with file name and line."""
+    files = catalogue(spark, path)
+    if not files.layouts:
+        return spark.createDataFrame([], "row_no long"), []
+    names = list(_columns(files.layouts))
+    ordered = files.lines().select("_file", "_start", "_n", *_all_text(files)).orderBy("_file", "_start", "_n")
+    return ordered.select(*[_quoted(c) for c in names], F.monotonically_increasing_id().alias("row_no")), names
 
 
 def _blank_to_null(name):

@@ -18,14 +18,46 @@ def test_encodings_and_headers_mix(spark, tmp_path):
     write(d, "c.csv", "x,y\né,3\n", "latin1")
     got = {(r["名稱"], r.x, r.y) for r in readers.read_csv_multi_encoding(spark, str(d)).collect()}
     assert got == {("電流", "1", None), ("頻率", None, "2"), (None, "é", "3")}
-    assert len(readers.file_layouts(spark, str(d))) == 3
+    assert len(readers.catalogue(spark, str(d)).layouts) == 3
 
 
-def test_files_of_one_layout_are_read_together(spark, tmp_path):
-    for k in range(5):
-        write(tmp_path / "in", f"{k}.csv", f"a,b\n{k},x\n")
-    layouts = readers.file_layouts(spark, str(tmp_path / "in"))
-    assert len(layouts) == 1 and len(layouts[0].files) == 5
+def test_thousands_of_files_bring_their_layouts_to_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    d = tmp_path / "in"
+    heads = (("datetime,tagname,value", "utf-8"), ("值,Tag,DateTime", "cp950"), ("é,value,time,tag", "latin1"))
+    for k in range(5000):
+        head, enc = heads[k % 3]
+        row = dict(datetime=f"2026-01-01 00:{k % 60:02d}", value=str(k), tagname=f"t{k % 7}")
+        row |= {"DateTime": row["datetime"], "time": row["datetime"], "值": "電", "é": "è", "Tag": "x", "tag": "y"}
+        write(d, f"{k}.csv", head + "\n" + ",".join(row[h] for h in head.split(",")) + "\n", enc)
+    collected, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    files = readers.catalogue(spark, str(d))
+    assert [len(x) for x in collected] == [3] and len(files.layouts) == 3 and files.catalogue.count() == 5000
+    df = readers.load_current(spark, str(d))
+    assert [len(x) for x in collected] == [3, 3]
+    got = df.groupBy("tagname").count().toPandas().set_index("tagname")["count"]
+    assert got.sum() == 3333 and got["y"] == 1666 and df.agg(F.sum("value")).first()[0] == sum(k for k in range(5000) if k % 3 != 1)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" csv") == 1  # one scan for all layouts
+
+
+def test_cells_of_lines(spark, tmp_path):
+    """Quotes, separators within quotes, short and long lines, blank lines, a header that occurs again."""
+    d = write(tmp_path / "in", "a.csv", 'a,b,c\n"x, y","say ""hi""",\n1\n1,2,3,4\n\n  ,"", z\na,b,c\n')
+    got = [tuple(r) for r in readers.read_csv_multi_encoding(spark, d).collect()]
+    plain = [tuple(r) for r in spark.read.schema("a string, b string, c string").option("header", "true").csv(d).collect()]
+    assert sorted(got, key=str) == sorted(plain, key=str) and len(got) == 5
+
+
+def test_mapping_rows_follow_files_and_lines(spark, tmp_path):
+    d = tmp_path / "tags"
+    write(d, "1.csv", "unit,tagname,variable_type,device_id\nA,t1,freq,Z\nA,t2,freq,Z\n")
+    write(d, "0.csv", "tagname,variable_type,device_id\nt0,freq,Z\n" + "t9,freq,Z\n" * 50)
+    write(d, "2.csv", "tagname,variable_type,device_id\nt3,freq,Z\n")
+    got = [r.tagname for r in readers.load_tag_mapping(spark, str(d)).orderBy("row_no").collect()]
+    assert got == ["t0"] + ["t9"] * 50 + ["t1", "t2", "t3"]
 
 
 def test_vibration_files(spark, tmp_path):
@@ -157,7 +189,7 @@ def test_load_report(spark, tmp_path):
     write(d, "b.CSV", "x,y\n1,2\n")
     write(d, "c.csv", "date,z\n")
     got = {r.file[-5:]: tuple(r)[1:] for r in readers.load_report(spark, str(d)).collect()}
-    assert got == {"a.csv": ("date", 3, 1, 1), "b.CSV": (None, 1, 1, 0), "c.csv": ("date", 0, 0, 0)}
+    assert got == {"a.csv": ("date", 3, 1, 1, ["soon"]), "b.CSV": (None, 1, 1, 0, []), "c.csv": ("date", 0, 0, 0, [])}
     assert readers.load_report(spark, str(tmp_path / "none")).count() == 0
 
 
