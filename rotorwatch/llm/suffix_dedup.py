@@ -485,7 +485,7 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, gram = buckets or 16 * parts, gram or max(1, window // 3)
+    buckets, gram = buckets or 4 * parts, gram or max(1, window // 3)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_ll_id"), text(text_col).alias("_ll_text"))
     lots = materialize(rows.mapInArrow(
