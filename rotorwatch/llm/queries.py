@@ -71,8 +71,8 @@ def op8_substring_dedup(spark, sf_dir):
 
 def op9_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model, counts = maxent_lm.fit(docs, remainder(7) != 2)
-    scored = maxent_lm.score(docs, model, counts)
+    model, counts, ranks = maxent_lm.fit(docs, remainder(7) != 2)
+    scored = maxent_lm.score(ranks, model, counts)
     return scored.withColumn("held_out", remainder(7) == 2)
 
 

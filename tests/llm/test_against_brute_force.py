@@ -187,9 +187,9 @@ def test_language_model(corpus, known):
     tokens = {k: [x.lower() for x in words(t)] + ["end"] for k, t in texts.items()}
     count = Counter(x for k, t in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2 for x in t)
     total, distinct = sum(count.values()), len(count)
-    model, counts = maxent_lm.fit(docs, remainder(7) != 2, known=known)
+    model, counts, ranks = maxent_lm.fit(docs, remainder(7) != 2, known=known)
     ours = base = 0.0
-    for r in maxent_lm.score(docs, model, counts).collect():
+    for r in maxent_lm.score(ranks, model, counts).collect():
         t = tokens[r["doc_id"]]
         want = sum(math.log10((count[x] + 1) / (total + distinct + 1)) for x in t)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(count[x] > 0 for x in t), total)
@@ -199,16 +199,63 @@ def test_language_model(corpus, known):
     assert known == 4 or ours > base
 
 
+def _plain_log(m, ranks):
+    """Natural logarithms of each symbol's probability, token by token."""
+    out, one, two = [], maxent_lm.BEFORE, maxent_lm.BEFORE
+    for r in ranks:
+        s = r if 0 <= r < maxent_lm.RARE else maxent_lm.RARE
+        keys = maxent_lm._features(np.array([one]), np.array([two]))
+        group, place = divmod(s, maxent_lm.WITHIN)
+        a = m.class_bias + sum(m.class_w[x[0]] for x in maxent_lm._class_rows(keys))
+        b = m.word_bias[group] + sum(m.word_w[x[0]] for x in maxent_lm._word_rows(keys, np.array([group])))
+        out.append(sum(float(z[k] - z.max() - np.log(np.exp(np.float64(z) - z.max()).sum())) for z, k in ((a, group), (b, place))))
+        one, two = s, one
+    return out
+
+
+def test_scores_and_gradients_equal_plain_ones(corpus, spark, monkeypatch):
+    """Contexts are shared by tokens; each token worked out by itself gives the same."""
+    texts, docs = corpus
+    model, counts, ranks = maxent_lm.fit(docs, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score(ranks, model, counts).collect()}
+    count = {r["word"]: r["n"] for r in counts.collect()}
+    order = {bytes(w): k for k, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], bytes(x[0]))))}
+    for k, t in texts.items():
+        tokens = [*re.sub(r"[A-Z]", lambda x: x[0].lower(), t).encode().split(), maxent_lm.END]
+        want = sum(_plain_log(model, [order[w] for w in tokens])) / math.log(10)
+        want += sum(math.log10(count[w] + 1) - model.rare_log for w in tokens if order[w] >= maxent_lm.RARE)
+        assert got[k] == pytest.approx(want, rel=1e-4, abs=1e-4)
+    # Observed less expected: each token adds one at its outcome and takes away the probabilities.
+    class Held:
+        value = model
+    lots = [np.array([3, 9, 3, 9, 4], np.int32), np.array([3, 9, 4], np.int32)]
+    import pyarrow as pa
+    import zstandard
+    batch = pa.RecordBatch.from_arrays([pa.array([zstandard.compress(x.tobytes()) for x in lots], pa.binary())], ["_ll_ranks"])
+    plain = np.zeros((maxent_lm.CLASS_ROWS, maxent_lm.CLASSES))
+    for x in lots:
+        one = two = maxent_lm.BEFORE
+        for s in x.tolist():
+            rows = [r[0] for r in maxent_lm._class_rows(maxent_lm._features(np.array([one]), np.array([two])))]
+            z = model.class_bias + sum(model.class_w[r] for r in rows)
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            for r in rows:
+                plain[r] -= p
+                plain[r, s // maxent_lm.WITHIN] += 1
+            one, two = s, one
+    out = next(maxent_lm._gradient(Held)([batch])).to_pylist()
+    have = np.zeros_like(plain)
+    for r in out:
+        if r["block"] < 1 << 20:
+            b = r["block"] * maxent_lm.BLOCK_ROWS
+            have[b:b + maxent_lm.BLOCK_ROWS] = np.frombuffer(
+                zstandard.decompress(r["part"]), np.float32).reshape(maxent_lm.BLOCK_ROWS, -1)
+    assert np.abs(have - plain).max() < 1e-4
+
+
 def test_next_word_probabilities_add_up(corpus):
     """Over all frequent words and the rare ones together, after any two words."""
     _, docs = corpus
-    model, _ = maxent_lm.fit(docs, F.lit(True))
-    two = np.array([3, 9])
-    log = []
-    for s in range(maxent_lm.SYMBOLS):
-        sym, keys = maxent_lm._features(np.array([*two, s]), np.array([0, 3]))
-        k, own = [x[2:] for x in keys], sym[2:] % maxent_lm.WITHIN
-        g = sym[2:] // maxent_lm.WITHIN
-        a = maxent_lm._softmax(model.class_bias, model.class_w, maxent_lm._class_rows(k), g)[0]
-        log.append((a + maxent_lm._softmax(model.word_bias, model.word_w, maxent_lm._word_rows(k, g), own, g)[0])[0])
+    model, _, _ = maxent_lm.fit(docs, F.lit(True))
+    log = [_plain_log(model, [3, 9, s])[-1] for s in range(maxent_lm.SYMBOLS)]
     assert np.exp(np.float64(log)).sum() == pytest.approx(1, abs=1e-4)

@@ -41,7 +41,8 @@ def operators(labels):
         return quality_qda.score(stats, quality_qda.fit(stats, labels, every))
 
     def lm(docs):
-        return maxent_lm.score(docs, *maxent_lm.fit(docs, every))
+        model, counts, ranks = maxent_lm.fit(docs, every)
+        return maxent_lm.score(ranks, model, counts)
 
     return {
         "pack": packing.pack, "scan": secrets.scan, "mix": lambda d: mixing.mix(d, {"a": 3, "b": 2}),
