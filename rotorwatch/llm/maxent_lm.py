@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,17 +92,20 @@ def _ranked(held):
         for batch in batches:
             lo = 0
             for part in _some(_tokens(batch.column("_ll_text")), len, 1 << 18):
-                packed, rare = [], []
+                packed, words, times, ends = [], [], [], [0]
                 for t in part:
-                    rank = np.fromiter((index.get(w, -1) for w in t), np.int32, len(t))
+                    rank = np.fromiter(map(index.get, t, repeat(-1)), np.int32, len(t))
                     packed.append(squeeze.compress(rank.tobytes()))
-                    rare.append(list(Counter(t[j] for j in np.flatnonzero(rank < 0)).items()))
+                    rare = Counter(compress(t, (rank < 0).tolist()))
+                    words += rare.keys()
+                    times += rare.values()
+                    ends.append(len(words))
                 rest = batch.slice(lo, len(part))
                 lo += len(part)
+                flat = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
                 yield pa.RecordBatch.from_arrays([
                     *[rest.column(c) for c in ("_ll_id", "_ll_use")], pa.array(packed, pa.binary()),
-                    pa.array([[{"word": w, "times": c} for w, c in r] for r in rare],
-                             pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
                 ], ["_ll_id", "_ll_use", "_ll_ranks", "_ll_rare"])
     return run
 
