@@ -27,7 +27,7 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 ACCESS = r"AKIA[A-Z0-9]+"
 GITHUB = r"(?:ghp|gho|ghu|ghs|ghr)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"
 NPM = r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"
-JWT = r"eyJ([A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+JWT_RUN, JWT_REST = r"[A-Za-z0-9_-]*", r"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 PEM = r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----[A-Za-z0-9+/=\s]+-----END \1-----"
 KEYWORDS = {
     "assign": ["password", "passwd", "secret", "token", "apikey", "api_key"],
@@ -69,7 +69,7 @@ def _valid(kind: str, m: re.Match) -> bool:
         return len(m[0]) >= ACCESS_LEAST
     if kind in ("github", "npm"):
         return m[2] == checksum(m[1])
-    return kind != "jwt" or _readable("eyJ" + m[1])
+    return True
 
 
 @lru_cache
@@ -83,11 +83,32 @@ def _scanner():
     auto.make_automaton()
     patterns = {
         "assign": re.compile(ASSIGN, re.A | re.I), "access": re.compile(ACCESS), "github": re.compile(GITHUB),
-        "npm": re.compile(NPM), "jwt": re.compile(JWT), "pem": re.compile(PEM, re.A),
+        "npm": re.compile(NPM), "pem": re.compile(PEM, re.A), "run": re.compile(JWT_RUN), "rest": re.compile(JWT_REST),
     }
     return auto, patterns
 
 
+class _WebTokens:
+    """Three runs joined by dots, the first two beginning with ``eyJ``.
+
+    A dot is in no run, so a token's first part ends where its run does, for every place in the run at which
+    it may begin. The run's end and what follows are found once, and time grows with the text.
+    """
+
+    def __init__(self, s: str):
+        self.s, self.lo, self.hi, self.rest = s, 0, 0, None
+
+    def match(self, at: int):
+        """End of the token that begins at ``at``, and whether its header can be read; None without one."""
+        patterns = _scanner()[1]
+        if not self.lo <= at < self.hi:
+            self.lo, self.hi = at, patterns["run"].match(self.s, at).end()
+            self.rest = patterns["rest"].match(self.s, self.hi)
+        if self.rest is None or at + 3 >= self.hi or not self.s.startswith("eyJ", at):
+            return None
+        return self.rest.end(), _readable(self.s[at:self.hi])
+
+
 def _lower(s: str) -> str:
     out = s.lower()
     return out if len(out) == len(s) else s.translate(_LOWER)
@@ -114,10 +135,16 @@ def spans(s: str) -> list[tuple[str, int, int]]:
     the end exclusive. Matches of one kind don't overlap."""
     auto, patterns = _scanner()
     out = [("hex", a, b) for a, b in _hex_runs(s)]
-    done = dict.fromkeys(KINDS, 0)
+    done, tokens = dict.fromkeys(KINDS, 0), _WebTokens(s)
     for last, (kind, n) in auto.iter(_lower(s)):
         at = last - n + 1
-        if at >= done[kind] and (m := patterns[kind].match(s, at)):
+        if at < done[kind]:
+            continue
+        if kind == "jwt":
+            if found := tokens.match(at):
+                done[kind], good = found
+                out += [(kind, at, done[kind])] * good
+        elif m := patterns[kind].match(s, at):
             done[kind] = m.end()
             if _valid(kind, m):
                 out.append((kind, at, m.end()))

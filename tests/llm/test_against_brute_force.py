@@ -83,6 +83,30 @@ def test_checksums():
     assert secrets.spans(key) == [("pem", 0, len(key))]
 
 
+def test_web_tokens_equal_the_plain_pattern():
+    import random
+
+    r = random.Random(7)
+    plain = re.compile(r"eyJ([A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    head = "eyJhbGciOiJIUzI1NiJ9"
+    for _ in range(3000):
+        s = "".join(r.choice(["eyJ", "eyJ", ".", "a", "-", " ", head, ".eyJ", "EYJ"]) for _ in range(r.randint(0, 14)))
+        want = [("jwt", m.start(), m.end()) for m in plain.finditer(s) if secrets._readable("eyJ" + m[1])]
+        assert secrets.spans(s) == want
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    def seconds(s):
+        start = time.perf_counter()
+        secrets.spans(s)
+        return time.perf_counter() - start
+
+    for text in ("eyJa", "eyJa.eyJ", "eyJa.eyJb.", "password", "-----BEGIN PRIVATE KEY-----", "ghp_", "AKIA", "abcdef0"):
+        assert seconds(text * 250_000) < 30  # 1 to 7 MB; a try that ran to the end of its run took 12 s for 80 KB
+
+
 def test_mix_keeps_shares_within_a_block(spark, corpus):
     _, docs = corpus
     weights = {"s0": 5, "s3": 2, "s2": 1}
