@@ -14,6 +14,7 @@ first position that they hold, so the numbering follows the order, however tasks
 from __future__ import annotations
 
 import base64
+import re
 from collections import defaultdict
 from functools import lru_cache
 
@@ -32,6 +33,9 @@ SPECIAL_ID = 50256
 CACHED_WORDS = 300_000
 
 
+LONE_SPACE, BESIDE_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
+
+
 class _Words(dict):
     """Ids, as bytes, of a space and the piece that follows it."""
 
@@ -50,9 +54,9 @@ class _Words(dict):
 def encoder(path: str):
     """Function from text to little-endian 32-bit ids, equal to the ``tokenizers`` library's.
 
-    Tokens never reach over a space that stands between two other characters, so texts are
-    cut there and the ids of frequent pieces are looked up. Texts with two spaces in a row
-    or with the special token are encoded whole."""
+    A space with no other white space beside it begins a piece of the tokenizer's own pattern, whatever
+    the vocabulary holds, so texts are cut there and the ids of frequent pieces are looked up. Other white
+    space stays within its piece. Texts with the special token are encoded whole."""
     import tiktoken
 
     with open(path, "rb") as lines:
@@ -63,9 +67,7 @@ def encoder(path: str):
     def encode(s: str) -> bytes:
         if SPECIAL in s:
             return np.array(enc.encode(s, allowed_special={SPECIAL}), "<u4").tobytes()
-        if "  " in s:
-            return np.array(enc.encode_ordinary(s), "<u4").tobytes()
-        head, *rest = s.split(" ")
+        head, *rest = LONE_SPACE.split(s) if BESIDE_SPACE.search(s) else s.split(" ")
         return np.array(enc.encode_ordinary(head), "<u4").tobytes() + b"".join(map(words.__getitem__, rest))
 
     return encode

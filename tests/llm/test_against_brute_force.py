@@ -46,6 +46,22 @@ def test_packing(corpus):
     assert len(bins) <= 1.08 * total / 128 + docs.rdd.getNumPartitions()
 
 
+def test_ids_of_any_white_space():
+    """Runs of ordinary, no-break and ideographic spaces, line ends and control characters between words."""
+    import random
+
+    tokenizers = pytest.importorskip("tokenizers")
+    tok = tokenizers.Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    encode = packing.encoder(tokenizer_file("byte_bpe_50k.tiktoken"))
+    r = random.Random(5)
+    odd = ["x \u00a0 \u00a0", " \u00a0 \u00a0 y", "a  b", " ", "  ", "", "\n ", " \n", "x \x1c y", "x\x85 y", "it's \u3000 's"]
+    space = [" ", " ", " ", "\u00a0", "\u3000", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\u2028", "\u200b", "\x00"]
+    for _ in range(4000):
+        odd.append("".join(r.choice([r.choice(space), r.choice(["x", "the", "é", "世", "1", "'s", "--", "'"])]) for _ in range(r.randint(0, 12))))
+    for s in odd:
+        assert np.frombuffer(encode(s), "<u4").tolist() == tok.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 def test_bins_take_the_fullest_that_fits_and_close_the_fullest():
     b = Bins(10, 2)
     assert [b.place(n) for n in (4, 7)] == [(0, 0), (1, 0)]
