@@ -33,7 +33,13 @@ SPECIAL_ID = 50256
 CACHED_WORDS = 300_000
 
 
-LONE_SPACE, BESIDE_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+
+
+def _spaces_meet(s: str) -> bool:
+    """Whether a space has white space beside it. Most texts hold few kinds, which is quick to find out."""
+    return "  " in s or any(c in s and (c + " " in s or " " + c in s) for c in WHITE)
 
 
 class _Words(dict):
@@ -67,7 +73,7 @@ def encoder(path: str):
     def encode(s: str) -> bytes:
         if SPECIAL in s:
             return np.array(enc.encode(s, allowed_special={SPECIAL}), "<u4").tobytes()
-        head, *rest = LONE_SPACE.split(s) if BESIDE_SPACE.search(s) else s.split(" ")
+        head, *rest = LONE_SPACE.split(s) if _spaces_meet(s) else s.split(" ")
         return np.array(enc.encode_ordinary(head), "<u4").tobytes() + b"".join(map(words.__getitem__, rest))
 
     return encode
