@@ -95,15 +95,20 @@ def _placed(rows: DataFrame, keys) -> DataFrame:
         "_upto", F.col("_skip") + F.col("_inside"))
 
 
-def _known(c: str) -> Column:
-    v = F.col(c).cast("double")
-    return F.when(~F.isnan(v), v)
+def _known(c: str) -> str:
+    """SQL of a column as double, NULL where it is NaN."""
+    v = "CAST(`" + c.replace("`", "``") + "` AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({v}) THEN {v} END"
 
 
 def _clip(p: float) -> float:
     return min(1.0, max(0.0, p))
 
 
+def _doubles(values) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+
+
 def exact_percentiles(df: DataFrame, keys, wanted: dict, extra=()) -> DataFrame:
     """One row per group with ``{name: (column, probability)}`` percentiles.
 
@@ -111,61 +116,59 @@ def exact_percentiles(df: DataFrame, keys, wanted: dict, extra=()) -> DataFrame:
     aggregates of the same groups. Groups whose values are all NULL still get their row.
     The rows are read twice: for the sketch, and for the counts within brackets.
     """
+    # Expressions are SQL text: with many columns, calls to the JVM would cost more than the job.
     keys, cols = list(keys), sorted({c for c, _ in wanted.values()})
     at = {c: sorted({float(p) for d, p in wanted.values() if d == c}) for c in cols}
     edges = {c: sorted({_clip(p + side * reach) for p in at[c] for side in (-1, 1) for _, reach in REACH}) for c in cols}
     # One row per group, written so that the rows are read for it once, and joined with a table of known size.
-    sketch = materialize(df.groupBy(*keys).agg(*extra, *[x for i, c in enumerate(cols) for x in (
-        F.count(_known(c)).alias(f"_count{i}"),
-        F.percentile_approx(_known(c), edges[c], SKETCH).alias(f"_edge{i}"),
+    sketch = materialize(df.groupBy(*keys).agg(*extra, *[F.expr(x) for i, c in enumerate(cols) for x in (
+        f"count({_known(c)}) AS _count{i}",
+        f"percentile_approx({_known(c)}, {_doubles(edges[c])}, {SKETCH}) AS _edge{i}",
     )]), "sketch")
-    places = [(i, j) for i, c in enumerate(cols) for j in range(len(at[c]))]
+    places = [(i, p) for i, c in enumerate(cols) for p in at[c]]
 
-    def edge(i, j, side):
+    def edge(i, p, side):
         """The bracket's value on one side of the place, by the size of the group."""
-        at_size = [(least, F.col(f"_edge{i}")[edges[cols[i]].index(_clip(at[cols[i]][j] + side * reach))]) for least, reach in REACH]
-        return F.coalesce(*[F.when(F.col(f"_count{i}") >= least, value) for least, value in at_size])
+        return "coalesce(" + ", ".join(
+            f"CASE WHEN _count{i} >= {least} THEN _edge{i}[{edges[cols[i]].index(_clip(p + side * reach))}] END"
+            for least, reach in REACH) + ")"
 
-    brackets = sketch.select(*keys, *[
-        edge(i, j, side).alias(f"_{name}{k}") for k, (i, j) in enumerate(places) for side, name in ((-1, "from"), (1, "to"))])
-    inside = join_groups(
-        df.select(*keys, *[_known(c).alias(f"_v{i}") for i, c in enumerate(cols)]), brackets, keys)
+    brackets = sketch.select(*keys, *[F.expr(f"{edge(i, p, side)} AS _{name}{k}")
+                                      for k, (i, p) in enumerate(places) for side, name in ((-1, "from"), (1, "to"))])
+    inside = join_groups(df.select(*keys, *[F.expr(f"{_known(c)} AS _v{i}") for i, c in enumerate(cols)]), brackets, keys)
     # Values below a bracket count as one NULL value; those above are left out.
-    hits = F.array(*[
-        F.when(F.col(f"_v{i}") <= F.col(f"_to{k}"), F.struct(
-            F.lit(k).alias("_k"), F.when(F.col(f"_v{i}") >= F.col(f"_from{k}"), F.col(f"_v{i}")).alias("_v")))
-        for k, (i, _) in enumerate(places)
-    ])
+    hits = ", ".join(
+        f"CASE WHEN _v{i} <= _to{k} THEN named_struct('_k', {k}, '_v', CASE WHEN _v{i} >= _from{k} THEN _v{i} END) END"
+        for k, (i, _) in enumerate(places))
     counts = (
-        inside.select(*keys, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_x"))
+        inside.select(*keys, F.expr(f"explode(filter(array({hits}), x -> x IS NOT NULL)) AS _x"))
         .groupBy(*keys, F.col("_x._k").alias("_k"), F.col("_x._v").alias("_v")).agg(F.count("*").alias("_c"))
     )
     # Each place lies where the running count first passes it.
-    total = F.element_at(F.array(*[F.col(f"_count{i}") for i, _ in places]), F.col("_k") + 1)
-    share = F.element_at(F.array(*[F.lit(at[cols[i]][j]) for i, j in places]), F.col("_k") + 1)
+    total = F.expr("array(" + ", ".join(f"_count{i}" for i, _ in places) + ")[_k]")
+    share = F.expr(f"{_doubles(p for _, p in places)}[_k]")
     upto = F.sum("_c").over(_up_to(Window.partitionBy(*keys, "_k").orderBy("_v")))
     sizes = sketch.select(*keys, *[f"_count{i}" for i in range(len(cols))])
-    placed = join_groups(counts.withColumn("_upto", upto), sizes, keys).withColumn("_at", share * (total - 1))
-
-    def holds(place):
-        return (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c"))
-
-    mine = lambda k, place: F.max(F.when((F.col("_k") == k) & holds(place), F.col("_v")))
-    found = placed.groupBy(*keys).agg(*[x for k in range(len(places)) for x in (
-        mine(k, F.floor("_at")).alias(f"_low{k}"), mine(k, F.ceil("_at")).alias(f"_high{k}"),
-        F.max(F.when(F.col("_k") == k, F.col("_at") - F.floor("_at"))).alias(f"_share{k}"),
-    )])
+    placed = join_groups(counts.withColumn("_upto", upto), sizes, keys).select(
+        *keys, "_k", "_v", "_c", "_upto", (share * (total - 1)).alias("_at"))
+    holds = "{0}(_at) < _upto AND {0}(_at) >= _upto - _c"
+    hit = placed.select(*keys, "_k", *map(F.expr, (
+        f"CASE WHEN {holds.format('floor')} THEN _v END AS _low", f"CASE WHEN {holds.format('ceil')} THEN _v END AS _high",
+        "_at - floor(_at) AS _share",
+    )))
+    found = hit.groupBy(*keys).agg(*[F.expr(f"max(CASE WHEN _k = {k} THEN {x} END) AS {x}{k}")
+                                     for k in range(len(places)) for x in ("_low", "_high", "_share")])
     out = join_groups(sketch, found, keys, "left")
-    number = {(cols[i], at[cols[i]][j]): k for k, (i, j) in enumerate(places)}
+    number = {(cols[i], p): k for k, (i, p) in enumerate(places)}
 
     def between(name, c, p):
         k = number[c, float(p)]
-        a, b, w = F.col(f"_low{k}"), F.col(f"_high{k}"), F.col(f"_share{k}")
-        missed = (F.col(f"_count{cols.index(c)}") > 0) & (a.isNull() | b.isNull())
-        return F.when(missed, F.raise_error(F.lit(f"no exact place for {name}"))).when(a == b, a).otherwise(
-            a * (F.lit(1.0) - w) + b * w).alias(name)
+        return F.expr(
+            f"CASE WHEN _count{cols.index(c)} > 0 AND (_low{k} IS NULL OR _high{k} IS NULL) THEN raise_error('no exact place') "
+            f"WHEN _low{k} = _high{k} THEN _low{k} ELSE _low{k} * (1D - _share{k}) + _high{k} * _share{k} END").alias(name)
 
-    more = [c for c in sketch.columns if c not in keys and not any(c in (f"_count{i}", f"_edge{i}") for i in range(len(cols)))]
+    own = {f"_{x}{i}" for i in range(len(cols)) for x in ("count", "edge")}
+    more = [c for c in sketch.columns if c not in keys and c not in own]
     return out.select(*keys, *more, *[between(name, c, p) for name, (c, p) in wanted.items()])
 
 
