@@ -9,6 +9,10 @@ Copies are combined before the shuffle: of equal strings in a lot (some MB of te
 that of the smallest id travels, and the others are known to be repeated. A passage that very
 many documents share thus reaches its bucket once a lot. Strings travel compressed, one row
 per lot and bucket.
+
+A task holds one bucket at a time, and of a bucket at most ``most_bytes`` of strings. The number of
+buckets grows with the input; what one minimiser alone brings can't be dealt by it, so a bucket above that
+size passes its windows on one by one, with id and place, and Spark groups them by their words.
 """
 
 from __future__ import annotations
@@ -20,12 +24,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rotorwatch.llm.rows import text
 from rotorwatch.llm.text import pieces, window_hashes, words
+from rotorwatch.operators.series import with_position
+from rotorwatch.session import materialize
 
 LAST = np.iinfo(np.int64).max
 """Stands for a null id: larger than any other, and never smaller than another null."""
+FOUND = ["_ll_id", "_ll_check", "_ll_gone", "place", "window"]
+BUCKET_BYTES = 1 << 26
+"""Text per bucket, on average, from which on more buckets are made."""
 
 
 def super_kmers(w, n: int, m: int):
@@ -134,18 +144,42 @@ def _repeated(number, place, windows, strings, n):
     return own[hit], where[hit]
 
 
-def _buckets(n):
-    """Repeated stretches of each row: ``(id, check, stretches)``; stretches are pairs of first word
-    and first word after, as bytes."""
+def _windows(got, n):
+    """The windows of packed strings, each with its words: batches of the rows of ``_buckets``."""
+    number, check, place, windows, strings = got
+    rows = []
+    for k, string in enumerate(strings.split(b"\n")):
+        w = string.split(b" ")
+        for j in range(int(windows[k])):
+            rows.append((int(number[k]), int(check[k]), int(place[k]) + j, b" ".join(w[j:j + n])))
+        if len(rows) >= 1 << 14:
+            yield _window_batch(rows)
+            rows = []
+    if rows:
+        yield _window_batch(rows)
+
+
+def _window_batch(rows):
+    number, check, place, window = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([
+        pa.array(number, pa.int64()), pa.array(check, pa.int32()), pa.nulls(len(rows), pa.binary()),
+        pa.array(place, pa.int64()), pa.array(window, pa.binary()),
+    ], FOUND)
+
+
+def _buckets(n, most_bytes):
+    """Rows ``FOUND``: repeated stretches of each row, pairs of first word and first word after as
+    bytes; of a bucket with more than ``most_bytes`` of strings, its windows instead."""
     def emit(number, check, a, b):
         order = np.lexsort((a, check, number))
         number, check, a, b = number[order], check[order], a[order], b[order]
         cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(check) != 0)) + 1
         at, to = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(number)]])
         yield pa.RecordBatch.from_arrays([
-            pa.array(number[at], mask=number[at] == LAST), pa.array(check[at]),
+            pa.array(number[at]), pa.array(check[at]),
             pa.array([merged(a[x:y], b[x:y]).tobytes() for x, y in zip(at.tolist(), to.tolist(), strict=True)], pa.binary()),
-        ], ["_ll_id", "_ll_check", "_ll_gone"])
+            pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()),
+        ], FOUND)
 
     def flush(parts):
         number, check, place, windows, strings = zip(*parts, strict=True)
@@ -156,7 +190,7 @@ def _buckets(n):
 
     def run(batches):
         expand = zstandard.ZstdDecompressor()
-        now, parts = None, []
+        now, parts, held = None, [], 0
         for batch in batches:
             for bucket, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 got = pickle.loads(expand.decompress(payload))
@@ -164,11 +198,16 @@ def _buckets(n):
                     number, check, place, windows, _ = got
                     yield from emit(number, check, place, place + windows + n - 1)
                     continue
-                if bucket != now and parts:
-                    yield from flush(parts)
-                    parts = []
-                now = bucket
+                if bucket != now:
+                    if parts:
+                        yield from flush(parts)
+                    now, parts, held = bucket, [], 0
+                held += len(got[4])
                 parts.append(got)
+                if held > most_bytes:  # from here on, this bucket holds nothing
+                    for part in parts:
+                        yield from _windows(part, n)
+                    parts = []
         if parts:
             yield from flush(parts)
     return run
@@ -183,37 +222,70 @@ def merged(a, b):
     return np.stack([a[at], reach[np.append(at[1:], len(a)) - 1]], 1).astype(np.int64)
 
 
+def _repeated_windows(windows: DataFrame, n: int) -> DataFrame:
+    """Stretches from windows that travelled one by one: those whose words also start in a smaller id."""
+    least = windows.groupBy("window").agg(F.min("_ll_id").alias("_least"), F.max("_ll_id").alias("_most"))
+    least = least.where("_most > _least").drop("_most")
+    hit = windows.join(least, "window").where("_ll_id > _least").select("_ll_id", "_ll_check", "place")
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            pairs = np.stack([at, at + n], 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_ll_id"), batch.column("_ll_check"), pa.array([x.tobytes() for x in pairs], pa.binary())], FOUND[:3])
+
+    return hit.mapInArrow(run, "_ll_id long, _ll_check int, _ll_gone binary")
+
+
+def _numbered(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with ``_ll_number``, a whole number in the order of the ids, null for a null id."""
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return docs.withColumn("_ll_number", F.col(id_col).cast("long"))
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_ll_known")).distinct()
+    places = with_position(known, [], ["_ll_known"], "_ll_number")
+    return docs.join(places, docs[id_col] == places["_ll_known"], "left").drop("_ll_known")
+
+
 def remove_repeats(
     docs: DataFrame, window: int = 13, minimiser_words: int = 3, buckets: int | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 1 << 28,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one
     space) and ``removed``, the stretches of word numbers as an array.
 
     A word goes if a window over it also starts in a document of a smaller id; windows are
     judged on the input. Null text is empty. A null id is larger than all others, and none of
-    two nulls is the smaller. Rows that share an id are told apart by 32 bits of a hash of their
-    text. Repeated rows are equal in id, so neither removes from the other,
-    and both lose the same words. Texts shorter than a window stay. An empty table gives an
-    empty result. Only the two named columns are read.
+    two nulls is the smaller. Ids keep their type; others than whole numbers, such as texts, are numbered
+    in their order first. Rows that share an id are told apart by 31 bits of a hash of their
+    text; two of those whose hashes collide would lose each other's words. Repeated rows are equal in id, so
+    neither removes from the other, and both lose the same words. Texts shorter than a window stay. An empty
+    table gives an empty result. Only the two named columns are read. ``buckets`` and ``most_bytes`` decide how
+    work is split and change no result.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 8 * parts
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length(text(text_col)))).first()[0] or 0
+        buckets = max(8 * parts, size // BUCKET_BYTES)
     # Rows that share an id are told apart by a hash; where none do, the id is enough.
     alone = docs.groupBy(id_col).count().where("count > 1").isEmpty()
     check = F.lit(0) if alone else F.pmod(F.xxhash64(text(text_col)), F.lit(1 << 31)).cast("int")
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("_ll_id"), check.alias("_ll_check"),
+    rows = _numbered(docs.select(id_col, text_col), id_col).select(
+        F.col(id_col).alias("_ll_own"), F.col("_ll_number").alias("_ll_id"), check.alias("_ll_check"),
         text(text_col).alias("_ll_text"),
     )
-    lots = rows.mapInArrow(_lots(window, minimiser_words, buckets), "bucket long, kind int, payload binary")
+    lots = rows.drop("_ll_own").mapInArrow(_lots(window, minimiser_words, buckets), "bucket long, kind int, payload binary")
     dealt = lots.repartition(parts, "bucket").sortWithinPartitions("kind", "bucket")
-    gone = dealt.mapInArrow(_buckets(window), "_ll_id long, _ll_check int, _ll_gone binary")
+    found = materialize(dealt.mapInArrow(
+        _buckets(window, most_bytes), "_ll_id long, _ll_check int, _ll_gone binary, place long, window binary"), "stretches")
+    single = _repeated_windows(found.where("window is not null").drop("_ll_gone"), window)
+    gone = found.where("window is null").select(*FOUND[:3]).union(single)
+    gone = gone.withColumn("_ll_id", F.nullif("_ll_id", F.lit(int(LAST))))
     gone = gone.groupBy("_ll_id", "_ll_check").agg(F.collect_list("_ll_gone").alias("_ll_gone"))
     gone = gone.withColumnsRenamed({"_ll_id": "_ll_id_g", "_ll_check": "_ll_check_g"})
     on = [rows[c].eqNullSafe(gone[f"{c}_g"]) for c in ("_ll_id", "_ll_check")]
-    both = rows.join(gone, on, "left").select("_ll_id", "_ll_text", "_ll_gone")
+    both = rows.join(gone, on, "left").select("_ll_own", "_ll_text", "_ll_gone")
 
     def run(batches):
         for batch in batches:
@@ -230,9 +302,10 @@ def remove_repeats(
                 out.append((n, n - len(w), b" ".join(w).decode(), cut.tolist()))
             n, gone, kept, cut = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([
-                batch.column("_ll_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()),
+                batch.column("_ll_own"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()),
                 pa.array(cut, pa.list_(pa.list_(pa.int64()))),
-            ], ["_ll_id", "n_words", "n_removed", "kept_text", "removed"])
+            ], ["_ll_own", "n_words", "n_removed", "kept_text", "removed"])
 
-    schema = "_ll_id long, n_words long, n_removed long, kept_text string, removed array<array<long>>"
-    return both.mapInArrow(run, schema).withColumnRenamed("_ll_id", id_col)
+    own = docs.schema[id_col].dataType.simpleString()
+    schema = f"_ll_own {own}, n_words long, n_removed long, kept_text string, removed array<array<long>>"
+    return both.mapInArrow(run, schema).withColumnRenamed("_ll_own", id_col)

@@ -203,22 +203,52 @@ def test_exact_groups(corpus):
         assert r["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("buckets", [1, None])
-def test_substrings(corpus, buckets):
-    texts, docs = corpus
-    w, first = {k: words(t) for k, t in texts.items()}, {}
+def check_substrings(texts, rows):
+    w, first, removed = {k: words(t) for k, t in texts.items()}, {}, 0
     for k in sorted(w):
         for i in range(len(w[k]) - 12):
             first.setdefault(tuple(w[k][i:i + 13]), k)
-    removed = 0
-    for r in substring_dedup.remove_repeats(docs, buckets=buckets).collect():
+    assert sorted(r["doc_id"] for r in rows) == sorted(w)
+    for r in rows:
         x = w[r["doc_id"]]
         gone = {j for i in range(len(x) - 12) if first[tuple(x[i:i + 13])] < r["doc_id"] for j in range(i, i + 13)}
         assert (r["n_words"], r["n_removed"]) == (len(x), len(gone))
         assert r["kept_text"] == b" ".join(y for j, y in enumerate(x) if j not in gone).decode()
         assert sum(b - a for a, b in r["removed"]) == len(gone)
         removed += len(gone)
-    assert removed > 1000
+    return removed
+
+
+@pytest.mark.parametrize("buckets, most_bytes", [(1, 1 << 28), (None, 1 << 28), (1, 2000), (None, 0)])
+def test_substrings(corpus, buckets, most_bytes):
+    texts, docs = corpus
+    assert check_substrings(texts, substring_dedup.remove_repeats(docs, buckets=buckets, most_bytes=most_bytes).collect()) > 1000
+
+
+def test_substrings_of_text_ids(corpus):
+    texts, docs = corpus
+    named = {f"d{k:05}": t for k, t in texts.items()}
+    rows = substring_dedup.remove_repeats(docs.withColumn("doc_id", F.format_string("d%05d", "doc_id"))).collect()
+    assert check_substrings(named, rows) > 1000
+
+
+def test_a_minimiser_in_every_document(spark, monkeypatch):
+    """Three words stand in every text, each time among others: their bucket is not held in one task."""
+    r = np.random.default_rng(5)
+    low = min((" ".join(p) for p in r.choice(["".join(x) for x in r.choice(list("abcdefgh"), (900, 5))], (400, 3))),
+              key=lambda t: substring_dedup.window_hashes(substring_dedup.words(*_buffer(t)).hash, 3)[0])
+    texts = {k: " ".join([*(f"x{v}" for v in r.integers(0, 9**9, 12)), low, *(f"y{v}" for v in r.integers(0, 9**9, 12))]) for k in range(300)}
+    texts[300], texts[301] = texts[7], texts[7] + " and more"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    written, write = [], substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    assert check_substrings(texts, substring_dedup.remove_repeats(docs, most_bytes=4000).collect()) == 2 * 27
+    assert written[-1].where("window is not null").count() > 1000
+
+
+def _buffer(t):
+    data = np.frombuffer(t.encode(), np.uint8)
+    return data, np.array([0, len(data)])
 
 
 @pytest.mark.parametrize("known", [4, 1 << 17])
