@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotorwatch.llm import (
-    exact_dedup, jaccard, maxent_lm, mixing, packing, quality_rules, secrets, substring_dedup,
+    exact_dedup, jaccard, maxent_lm, mixing, packing, quality_qda, quality_rules, secrets, substring_dedup,
 )
 from rotorwatch.llm.packing import Bins
 from rotorwatch.llm.rows import remainder, tokenizer_file
@@ -329,3 +329,43 @@ def test_next_word_probabilities_add_up(corpus):
     model, _, _ = maxent_lm.fit(docs, F.lit(True))
     log = [_plain_log(model, [3, 9, s])[-1] for s in range(maxent_lm.SYMBOLS)]
     assert np.exp(np.float64(log)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def plain_statistics(t):
+    w = words(t)
+    if not w:
+        return [0.0] * 10
+    chars, n = sum(map(len, w)), len(w)
+
+    def share(chosen):
+        return math.sqrt(sum(b in chosen for b in t.encode()) / chars)
+
+    return [
+        math.log1p(n), len(set(w)) / n ** 0.9, math.log(chars / n), share(b"#*$%&|<>{}~^=+\\@"),
+        share(bytes(range(65, 91))), share(b"0123456789"), share(b".,;:"),
+        math.sqrt(sum(a == b for a, b in zip(w, w[1:])) / n), share(b"!?"), share(b"\n"),
+    ]
+
+
+def test_quadratic_discriminant(spark, corpus):
+    """Scores equal those of class densities written out with inverse and determinant."""
+    texts, docs = corpus
+    label = {k: int(len(words(t)) > 50 or "API_KEY" in t) for k, t in texts.items() if k % 3}
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, quality int")
+    stats = quality_qda.features(docs)
+    got = {r["doc_id"]: r for r in quality_qda.score(stats, quality_qda.fit(stats, labels, F.lit(True))).collect()}
+    x = {k: np.array(plain_statistics(t)) for k, t in texts.items()}
+    of = [np.array([x[k] for k, y in label.items() if y == c]) for c in (0, 1)]
+    n, cov = [len(o) for o in of], [np.cov(o.T, bias=True) for o in of]
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / sum(n)
+    target = (pooled + np.diag(np.diag(pooled))) / 2 + 1e-4 * np.eye(10)
+    logs = []
+    for c in (0, 1):
+        own = 0.1 + 10 / (n[c] + 10)
+        v = (1 - own) * cov[c] + own * target
+        d = np.array([x[k] for k in sorted(x)]) - of[c].mean(0)
+        logs.append(np.log((n[c] + 0.5) / (sum(n) + 1)) - 0.5 * np.linalg.slogdet(v)[1] - 0.5 * ((d @ np.linalg.inv(v)) * d).sum(1))
+    want = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -30, 30)))
+    np.testing.assert_allclose([got[k]["score"] for k in sorted(x)], want, rtol=1e-6, atol=1e-12)
+    assert [got[k]["predicted"] for k in sorted(x)] == [int(p >= 0.5) for p in want]
+    assert 0 < want.min() < 0.5 < want.max()
