@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotorwatch.llm import (
-    exact_dedup, jaccard, maxent_lm, mixing, packing, quality_qda, quality_rules, secrets, substring_dedup,
+    exact_dedup, jaccard, maxent_lm, mixing, packing, quality_qda, quality_rules, secrets, substring_dedup, toxicity,
 )
 from rotorwatch.llm.packing import Bins
 from rotorwatch.llm.rows import remainder, tokenizer_file
@@ -369,3 +369,98 @@ def test_quadratic_discriminant(spark, corpus):
     np.testing.assert_allclose([got[k]["score"] for k in sorted(x)], want, rtol=1e-6, atol=1e-12)
     assert [got[k]["predicted"] for k in sorted(x)] == [int(p >= 0.5) for p in want]
     assert 0 < want.min() < 0.5 < want.max()
+
+
+def test_toxicity_is_the_ratio_of_two_kneser_ney_models(spark):
+    """Both models as plain dictionaries: each context adds up to one, and ``log_ratio`` is the difference of
+    the log-likelihoods per word."""
+    import random
+
+    r = random.Random(8)
+    plain = [f"w{k}" for k in range(60)]
+    rows, y = [], {}
+    for k in range(160):
+        w = r.choices(plain, range(60, 0, -1), k=r.randint(5, 60))
+        y[k] = int(k % 4 == 0)
+        if y[k]:
+            for _ in range(4):
+                at = r.randrange(len(w))
+                w[at:at] = r.choice((["vile"], ["w1", "w2", "w1"], ["vile", "mob"]))
+        rows.append((k, " ".join(w).upper() if k % 9 == 0 else ", ".join(w)))
+    rows += [(500, ""), (501, None), (502, "never seen words"), (503, "w1 " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    own = {"word_ratio": 2.0, "word_prior": 1.0, "pair_ratio": 2.0, "pair_prior": 2.0}
+    for most_pairs in (1 << 18, 3):
+        model = toxicity.fit(docs, labels, F.lit(True), most_pairs=most_pairs, **own)
+        got = {x["doc_id"]: x["log_ratio"] for x in toxicity.score(docs, model).collect()}
+        curve = {x[0] for x in labels.where(F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0).collect()}
+        texts = {k: re.findall("[a-z0-9]+", (t or "").lower()) for k, t in rows}
+        n = [Counter(), Counter()]
+        for k in y:
+            if k not in curve:
+                n[y[k]].update(zip(["", *texts[k]], texts[k]))  # noqa: B905
+        n.append(n[0] + n[1])
+        size, d = 1 << 20, 0.75
+        before = [Counter(w for _, w in m) for m in n]
+        total = [sum(m.values()) for m in before]
+
+        def shared(w):
+            return (before[2][w] + 0.5) / (total[2] + 0.5 * size)  # noqa: B023
+
+        def apart(toxic, expected, ratio, prior):
+            q = (toxic + prior) / (expected + prior)
+            return q >= ratio or q <= 1 / ratio
+
+        known = sorted(before[2])
+        far = {w for w in known if apart(before[1][w], before[2][w] and (before[0][w] + before[1][w]) * total[1] / (total[0] + total[1]), 2, 1)}
+        of = [sum(m.values()) for m in n]
+        strong = [p for p in n[2] if apart(n[1][p], n[2][p] * of[1] / (of[0] + of[1]), 2, 2)]
+        assert far and len(strong) > 3
+        if most_pairs == 3:  # the most frequent ones; the tables say which of equal ones
+            counts = sorted((n[2][p] for p in strong), reverse=True)
+            if counts[2] == counts[3]:
+                continue
+            strong = [p for p in strong if n[2][p] >= counts[2]]
+        after = [defaultdict(dict), defaultdict(dict), defaultdict(dict)]
+        for c in range(3):
+            for (v, w), m in n[c].items():
+                after[c][v][w] = m
+
+        def kneser_ney(c, v, w, lower):
+            seen = after[c][v]  # noqa: B023
+            if not seen:
+                return lower
+            t = sum(seen.values())
+            return max(seen.get(w, 0) - d, 0) / t + d * len(seen) / t * lower  # noqa: B023
+
+        def word(c, w):
+            def alone(x):
+                return max(before[c][x] - d, 0) / total[c] + d * len(before[c]) / total[c] * shared(x)  # noqa: B023
+
+            if w in far:  # noqa: B023
+                return alone(w)
+            return shared(w) * (1 - sum(map(alone, far))) / (1 - sum(map(shared, far)))  # noqa: B023
+
+        one = [{w: word(c, w) for w in [*known, "?"]} for c in (0, 1)]
+        picked = defaultdict(set)
+        for v, w in strong:
+            picked[v].add(w)
+
+        def model_of(c, v):
+            """Probabilities of the known words and of one unknown one after v."""
+            loose = {w: kneser_ney(2, v, w, shared(w)) * one[c][w] / shared(w) for w in one[c] if w not in picked[v]}  # noqa: B023
+            tight = {w: kneser_ney(c, v, w, one[c][w]) for w in picked[v]}  # noqa: B023
+            unknown = (size - len(known) - 1) * loose["?"]  # noqa: B023
+            left = (1 - sum(tight.values())) / (sum(loose.values()) + unknown)
+            out = {**tight, **{w: p * left for w, p in loose.items()}}
+            assert abs(sum(out.values()) + out["?"] * (size - len(known) - 1) - 1) < 1e-9  # noqa: B023
+            return out
+
+        p = [{v: model_of(c, v) for v in {"", "?", *known}} for c in (0, 1)]
+        for k, w in texts.items():
+            logs = [0.0, 0.0]
+            for c in (0, 1):
+                for v, x in zip(["", *w], w):  # noqa: B905
+                    logs[c] += math.log(p[c][v if v in p[c] else "?"].get(x, p[c][v if v in p[c] else "?"]["?"]))
+            assert got[k] == pytest.approx((logs[1] - logs[0]) / max(1, len(w)), abs=2e-6)
