@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotorwatch.llm import exact_dedup, jaccard, mixing, packing, toxicity
-from rotorwatch.llm.queries import REST_WEIGHT, WEIGHTS, toxicity_model
+from rotorwatch.llm.queries import OTHERS, REST_WEIGHT, WEIGHTS, toxicity_model
 from rotorwatch.llm.rows import ROW, keyed, same_row
 from rotorwatch.session import materialize
 
@@ -41,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def _in_mix(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_ll_position``, the place in the mix. It follows from the rows alone, so every
     stage that works on the same documents finds the same places."""
-    placed = mixing.mix(docs, WEIGHTS, REST_WEIGHT).groupBy(*ROW)  # rows that repeat stand together
+    placed = mixing.mix(docs, WEIGHTS, REST_WEIGHT, others=OTHERS).groupBy(*ROW)  # rows that repeat stand together
     order = materialize(placed.agg(F.min("position").alias("_ll_position")), "mix")
     return same_row(keyed(docs), order)
 

@@ -11,6 +11,7 @@ or repeated.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import DataFrame
@@ -19,24 +20,28 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rotorwatch.llm.rows import ROW, keyed
+from rotorwatch.session import materialize
 
-REST = "_ll_rest"
 
-
-def cycle(weights: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source in one cycle, by earliest deadline among released blocks."""
+def cycle(weights: dict) -> dict:
+    """Slots of each source in one cycle, by earliest deadline among released blocks. Of equal
+    deadlines the lesser key is first."""
     total = sum(weights.values())
-    slots: dict[str, list[int]] = {s: [] for s in weights}
+    slots: dict = {s: [] for s in weights}
+    waiting, ready = [(0, s) for s in weights], []
+    heapq.heapify(waiting)
     for t in range(total):
-        ready = [
-            (-((-(len(slots[s]) + 1) * total) // w), s) for s, w in weights.items()
-            if len(slots[s]) < w and len(slots[s]) * total // w <= t
-        ]
-        slots[min(ready)[1]].append(t)
+        while waiting and waiting[0][0] <= t:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // weights[s]), s))
+        s = heapq.heappop(ready)[1]
+        slots[s].append(t)
+        if len(slots[s]) < weights[s]:
+            heapq.heappush(waiting, (len(slots[s]) * total // weights[s], s))
     return slots
 
 
-def phases(blocks: dict[str, int], weights: dict[str, int]) -> dict[str, list[tuple]]:
+def phases(blocks: dict, weights: dict) -> dict:
     """Of each source, per phase: ``(first block, first slot, cycle length, weight, slots)``.
     A phase ends with the slot in which some source places its last block."""
     left = {s: n for s, n in blocks.items() if n}
@@ -58,35 +63,46 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> dict[str, list[tu
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_rows: int = 64,
+    docs: DataFrame, weights: dict[str, int], rest_weight: int = 1, block_rows: int = 64, others: int = 0,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: the row key (``_ll_*``), id, source, ``block`` (of its source),
     ``slot`` (of the block in the mix), ``release`` and ``deadline`` (slots), ``position`` (sort key of
     the row in the mix).
 
-    Sources that ``weights`` does not name, null among them, together are one source of
-    ``rest_weight``; so what reaches the driver is one count per weight. Rows of a source are
+    Of the sources that ``weights`` does not name, null among them, the ``others`` with the most rows are
+    sources of ``rest_weight`` each, and what is left of them together is one more; so what reaches
+    the driver is one count per weight. Rows of a source are
     numbered in slices by hash, about the root of their number each. Repeated rows keep
     their number. An empty table gives an empty result; null ids and texts are placed like others.
     """
     if min([rest_weight, *weights.values()]) < 1:
         raise ValueError("weights are whole numbers from 1")
-    named = F.col(source_col).isin(*weights) if weights else F.lit(False)
-    rows = keyed(docs, id_col, text_col).select(
-        *ROW, F.col(source_col).alias("_ll_source"),
-        F.when(named, F.col(source_col)).otherwise(F.lit(REST)).alias("_ll_queue"),
-    ).withColumn("_ll_order", F.shiftrightunsigned(F.xxhash64("_ll_id", "_ll_hash", F.lit("mix")), 33))
-    counts = {r[0]: r[1] for r in docs.groupBy(
-        F.when(named, F.col(source_col)).otherwise(F.lit(REST))).count().collect()}
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, {**weights, REST: rest_weight})
+    source = F.col(source_col).cast("string")
+    sizes = materialize(docs.groupBy(source.alias("source")).count(), "sources")
+    named = F.col("source").isin(*weights) if weights else F.lit(False)
+    own = sizes.withColumn("named", F.coalesce(named, F.lit(False)))
+    own = own.orderBy(F.desc("named"), F.desc("count"), "source").limit(len(weights) + others).collect()
+    known = [r["source"] for r in own if r["named"]]
+    known += [r["source"] for r in own if not r["named"]][:others]
+    size = {r["source"]: r["count"] for r in own}
+    left = int(sizes.agg(F.sum("count")).first()[0] or 0) - sum(size[s] for s in known)
+    rest = len(known)
+    counts = {q: size[s] for q, s in enumerate(known)} | ({rest: left} if left else {})
+    weight = {q: weights.get(s, rest_weight) for q, s in enumerate(known)} | {rest: rest_weight}
+    plan = phases({q: -(-n // block_rows) for q, n in counts.items()}, weight)
     # Bounded: a row per weight, and in it at most as many phases and slots as weights make.
     table = docs.sparkSession.createDataFrame(
-        [(s, math.isqrt(counts[s]) + 1, [tuple(p) for p in plan[s]]) for s in counts],
+        [(q, math.isqrt(counts[q]) + 1, [tuple(p) for p in plan[q]]) for q in counts],
         T._parse_datatype_string(
-            "_ll_queue string, slices long, phases array<struct<first:long,at:long,total:long,weight:long,slots:array<int>>>"
+            "_ll_queue int, slices long, phases array<struct<first:long,at:long,total:long,weight:long,slots:array<int>>>"
         ),
     )
+    queues = docs.sparkSession.createDataFrame(list(zip(known, range(rest), strict=True)), "_ll_known string, _ll_queue int")
+    rows = keyed(docs, id_col, text_col).select(*ROW, F.col(source_col).alias("_ll_source"))
+    rows = rows.join(F.broadcast(queues), F.col("_ll_source").cast("string").eqNullSafe(F.col("_ll_known")), "left")
+    rows = rows.withColumn("_ll_queue", F.coalesce("_ll_queue", F.lit(rest))).drop("_ll_known")
+    rows = rows.withColumn("_ll_order", F.shiftrightunsigned(F.xxhash64("_ll_id", "_ll_hash", F.lit("mix")), 33))
     sliced = rows.join(F.broadcast(table.select("_ll_queue", "slices")), "_ll_queue").withColumn(
         "_ll_slice", F.shiftright(F.col("_ll_order") * F.col("slices"), 31)
     ).drop("slices")

@@ -11,9 +11,10 @@ from rotorwatch.llm import (
 )
 from rotorwatch.llm.rows import remainder
 
-#: Target weights of the sources in the mix; the others together count ``REST_WEIGHT``.
-WEIGHTS = {"src0": 12, **{f"src{k}": 4 for k in range(1, 20)}}
-REST_WEIGHT = 2
+#: Target weights of the mix: of the sources named, of each other one, and how many of those are told apart.
+WEIGHTS = {"src0": 12}
+REST_WEIGHT = 4
+OTHERS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op2_secret_scan(spark, sf_dir):
 
 
 def op3_pfair_mix(spark, sf_dir):
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, REST_WEIGHT)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, REST_WEIGHT, others=OTHERS)
     return mixed.select("doc_id", "source", "block", "slot", "release", "deadline", "position")
 
 

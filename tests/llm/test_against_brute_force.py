@@ -145,6 +145,45 @@ def test_mix_keeps_shares_within_a_block(spark, corpus):
         left = +(left - done)
 
 
+def plain_schedule(blocks, weights):
+    """Slots of each source's blocks, slot by slot; when a source ends the others begin anew."""
+    out, left, t = defaultdict(list), {s: n for s, n in blocks.items() if n}, 0
+    while left:
+        total, start, done = sum(weights[s] for s in left), t, Counter()
+        while True:
+            ready = [(-(-(done[s] + 1) * total // weights[s]), s) for s in left if done[s] * total // weights[s] <= t - start]
+            s = min(ready)[1]
+            out[s].append(t)
+            done[s] += 1
+            t += 1
+            if done[s] == left[s]:
+                left = {x: n - done[x] for x, n in left.items() if n > done[x]}
+                break
+    return out
+
+
+def test_mix_of_sources_without_a_weight(spark):
+    """Each of the largest has a queue of its own, null too, and the slots are those of a plain schedule."""
+    sizes = {None: 70, "a": 50, "b": 35, "": 30, "c": 9, "d": 8, "named": 20, "_ll_rest": 1}
+    rows = [(s, f"text {k}") for s, n in sizes.items() for k in range(n)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, source string, text string").repartition(3)
+    for weights, others in (({"named": 5, "absent": 7}, 4), ({}, 100), ({"named": 1}, 0)):
+        got = mixing.mix(docs, weights, rest_weight=2, block_rows=4, others=others).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(len(rows)))
+        known = [s for s in weights if s in sizes]
+        known += sorted((s for s in sizes if s not in weights), key=lambda s: -sizes[s])[:others]
+        number = {s: known.index(s) if s in known else len(known) for s in sizes}
+        count = Counter()
+        for s, n in sizes.items():
+            count[number[s]] += n
+        weight = {q: weights.get(known[q], 2) if q < len(known) else 2 for q in count}
+        want = plain_schedule({q: -(-n // 4) for q, n in count.items()}, weight)
+        slots = defaultdict(set)
+        for r in got:
+            slots[number[r["source"]]].add((r["block"], r["slot"]))
+        assert {q: sorted(x) for q, x in slots.items()} == {q: list(enumerate(x)) for q, x in want.items()}
+
+
 def test_rules(corpus):
     texts, docs = corpus
     kept = {}
