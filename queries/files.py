@@ -150,8 +150,9 @@ SELECT device_id, datetime, load_bin, {r('health_score', 4)} AS health_score, al
  {r('health_score_smooth', 4)} AS health_score_smooth FROM scored""")
 def scores(spark, sf):
     path = scratch_path(spark, "scores")
-    sinks.sink_scores(scoring(spark, sf).scored, path, load_columns=("頻率",))
-    df = sinks.read_table(spark, path)
+    scored = scoring(spark, sf).scored
+    sinks.sink_scores(scored, path, load_columns=("頻率",))
+    df = sinks.read_table(spark, path, scored.schema)
     return df.select("device_id", "datetime", "load_bin", F.round("health_score", 4).alias("health_score"),
                      "alert_level", F.round("health_score_smooth", 4).alias("health_score_smooth"))
 
@@ -159,8 +160,9 @@ def scores(spark, sf):
 @query("sink_candidates", "SELECT device_id, rank, start_date, end_date, stability_score, n_rows FROM candidates")
 def candidates(spark, sf):
     path = scratch_path(spark, "candidates")
-    sinks.sink_candidates(scoring(spark, sf).candidates, path)
-    return sinks.read_table(spark, path).select(
+    best = scoring(spark, sf).candidates
+    sinks.sink_candidates(best, path)
+    return sinks.read_table(spark, path, best.schema).select(
         "device_id", "rank", "start_date", "end_date", "stability_score", "n_rows")
 
 
@@ -190,8 +192,9 @@ def validated(spark, sf):
 SELECT device_id, variable_type, vibration_feature, pearson_r, n_samples FROM pair_corr WHERE vibration_feature <> 'HealthScore'""")
 def correlations(spark, sf):
     path = scratch_path(spark, "correlation")
-    sinks.sink_correlation(_correlations(spark, sf), path)
-    return sinks.read_table(spark, path).select(
+    table = _correlations(spark, sf)
+    sinks.sink_correlation(table, path)
+    return sinks.read_table(spark, path, table.schema).select(
         "device_id", "variable_type", "vibration_feature", "pearson_r", "n_samples")
 
 
@@ -199,9 +202,10 @@ def correlations(spark, sf):
 SELECT datetime, device_id, {r('cur')} AS "current", {r('health_score')} AS health_score FROM exported""")
 def export(spark, sf):
     path = scratch_path(spark, "export")
-    sinks.sink_export(_exported(spark, sf), path)
+    table = _exported(spark, sf)
+    sinks.sink_export(table, path)
     cols = ("current", "health_score")
-    return rounded(sinks.read_table(spark, path).select("datetime", "device_id", *cols), *cols)
+    return rounded(sinks.read_table(spark, path, table.schema).select("datetime", "device_id", *cols), *cols)
 
 
 @query("sink_energy", f"""
@@ -212,9 +216,9 @@ def energy(spark, sf):
     report = specific_power.energy_report(i.counters(spark, sf), i.tag_dim(spark, sf), i.maintenance(spark, sf))
     sinks.sink_energy(report.daily, report.gaps, path)
     parts = [
-        sinks.read_table(spark, f"{path}/{p}").groupBy(F.lit(p).alias("part"), "device_id").agg(
+        sinks.read_table(spark, f"{path}/{p}", table.schema).groupBy(F.lit(p).alias("part"), "device_id").agg(
             F.count("*").alias("n_rows"), F.round(F.sum(c), 4).alias("total"))
-        for p, c in (("daily", "flow_sum"), ("gaps", "gap_hours"))
+        for p, table, c in (("daily", report.daily, "flow_sum"), ("gaps", report.gaps, "gap_hours"))
     ]
     return parts[0].unionByName(parts[1])
 

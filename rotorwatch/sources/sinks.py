@@ -45,8 +45,10 @@ def write_table(
     (w.partitionBy(by) if by else w).save(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Read a table back. A table with sub-folders that got no row holds no file to take columns
+    from; with ``schema`` it is read as an empty table."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
 def sink_scores(scored: DataFrame, path: str, fmt="parquet", load_columns=(), mode="replace", **kw) -> None:

@@ -231,6 +231,25 @@ def test_every_table_by_device_is_replaced_by_device(spark, make, tmp_path):
     assert sinks.read_table(spark, f"{path}/daily").count() == 2 and sinks.read_table(spark, f"{path}/gaps").count() == 2
 
 
+def test_a_table_without_rows_is_read_back(spark, make, tmp_path):
+    """Counters that report all the time have no gap."""
+    days, path = make(pd.DataFrame({"device_id": ["a"], "x": [1.0]})), str(tmp_path / "energy")
+    sinks.sink_energy(days, days.where("x > 1"), path)
+    gaps = sinks.read_table(spark, f"{path}/gaps", days.schema)
+    assert gaps.columns == ["device_id", "x"] and gaps.count() == 0
+    assert [tuple(r) for r in sinks.read_table(spark, f"{path}/daily", days.schema).select("device_id", "x").collect()] == [("a", 1.0)]
+
+
+def test_energy_of_counters_without_gaps(spark, tmp_path):
+    from queries.files import energy
+
+    spark.sql("""
+        SELECT id AS event_id, timestampadd(MINUTE, id, timestamp_ntz'2024-01-01 00:00:00') AS ts, t * 3L AS user_id,
+         CASE t WHEN 0 THEN 'error' WHEN 1 THEN 'purchase' ELSE 'signup' END AS event_type, 1.0D AS value
+        FROM (SELECT id, explode(array(0, 1, 2)) AS t FROM range(3000))""").write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r.part, r.device_id, r.n_rows) for r in energy(spark, str(tmp_path)).collect()] == [("daily", "ZP1_0", 3)]
+
+
 def test_models_are_published_as_a_whole(spark, tmp_path):
     path, model = str(tmp_path / "model"), lambda k: spark.range(k).select("id", F.lit(k).alias("k"))
     with pytest.raises(FileNotFoundError):
