@@ -40,7 +40,7 @@ def _with_cells(df: DataFrame, key: str, cfg: Settings) -> DataFrame:
     short = length < width
     last = F.when(short, F.lit(0)).otherwise(F.floor((length + step - width) / step))
     cell = F.when(short, F.lit(0)).otherwise(F.floor((micros("datetime") - F.col("_t0")) / step))
-    return df.join(span, key).withColumn("_cell", cell.cast("long")).withColumn("_last", last.cast("long"))
+    return df.join(F.broadcast(span), key).withColumn("_cell", cell.cast("long")).withColumn("_last", last.cast("long"))
 
 
 def _reach(cfg: Settings) -> tuple[Column, Column]:
@@ -116,10 +116,7 @@ def window_stability(df: DataFrame, key="device_id", cfg: Settings = DEFAULTS) -
     cells = _with_cells(narrow, key, cfg)
     group = [key, "window_no"]
     wanted = {"_acc": ("accOA", 0.5), "_vrms": ("Total_vRMS", 0.5)}
-    low, high = _reach(cfg)
-    medians = window_percentiles(
-        cells, key, wanted, ["_cell", "_last"], lambda d: _windows_of(d, cfg), F.col("window_no").between(low, high)
-    )
+    medians = window_percentiles(cells, key, wanted, ["_cell", "_last"], lambda d: _windows_of(d, cfg))
     stats = _with_dates(_window_moments(cells, key, cfg).join(medians, group), cfg)
     few = lambda c, v: F.when(F.col(f"n_{c}") >= 2, v)
     return (
@@ -187,7 +184,7 @@ def manual_baseline(df: DataFrame, device_dim: DataFrame) -> DataFrame:
     given = one_per_device(device_dim).where(
         F.col("train_start").isNotNull() & F.col("train_end").isNotNull()
     ).select("devicename", "train_start", "train_end")
-    return df.join(given, "devicename").where(
+    return df.join(F.broadcast(given), "devicename").where(
         (F.col("datetime") >= F.col("train_start")) & (F.col("datetime") <= F.col("train_end"))
     )
 
@@ -203,7 +200,7 @@ def baseline_slice(
     best = candidates.where(F.col("rank") == 1).select(key, "start_date", "end_date")
     in_auto = (F.col("datetime") >= F.col("start_date")) & (F.col("datetime") < F.col("end_date"))
     if device_dim is None:
-        return df.join(best, key).where(in_auto).select(*df.columns, F.lit(False).alias("is_manual"))
+        return df.join(F.broadcast(best), key).where(in_auto).select(*df.columns, F.lit(False).alias("is_manual"))
     given = (
         manual_baseline(df, device_dim)
         .groupBy(key).agg(F.min("train_start").alias("_m0"), F.max("train_end").alias("_m1"))
@@ -212,7 +209,7 @@ def baseline_slice(
     in_manual = (F.col("datetime") >= F.col("_m0")) & (F.col("datetime") <= F.col("_m1"))
     by_hand = F.col("_m0").isNotNull()
     return (
-        df.join(bounds, key)
+        df.join(F.broadcast(bounds), key)
         .where(F.when(by_hand, in_manual).otherwise(in_auto))
         .select(*df.columns, by_hand.alias("is_manual"))
     )

@@ -6,7 +6,10 @@ lie. A second aggregate over the rows counts what lies below the bracket and, of
 within it, how often each occurs; there the place is found exactly. Only the table with one row per
 group is written, and no group is sorted as a whole.
 
-Ranks and windows need all values in order: distinct values are counted where the rows are, then dealt by
+Medians of windows go by bins of equally many values instead, which such a sketch gives: counts of bins
+tell in which one a place lies, and only its values are looked at.
+
+Ranks need all values in order: distinct values are counted where the rows are, then dealt by
 range of (group, value), so that a large group spreads over many parts. A small table with the row
 count of every (group, part) tells how many values lie before a part, and only within a part are
 values sorted. NULL keys are groups like others; NULL and NaN values are skipped.
@@ -23,27 +26,33 @@ from rotorwatch.session import materialize
 
 SKETCH = 10_000
 """A sketch errs by one in so many rows of its group, at most."""
+BINS = 128
+"""Bins of a key's values over all its windows, a power of two."""
 REACH = ((10_000, 3 / SKETCH), (40, 0.05), (0, 1.0))
 """From so many rows on, how far a bracket reaches to each side: two rows more than the sketch may err."""
 
 
-def join_groups(left: DataFrame, right: DataFrame, keys, how: str = "inner", on: Column | None = None) -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join on keys of which NULLs count as equal; the right side's keys are dropped."""
     right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_right_{k}"]) for k in keys])
-    return left.join(right, same if on is None else same & on, how).drop(*[f"_right_{k}" for k in keys])
+    return left.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def _ranged(df: DataFrame, keys, cols, cell=()) -> DataFrame:
-    """Counts of distinct values per group (and cell) with ``_p``, the part of the value order
-    they lie in. Written once, because a part's borders are drawn from a sample."""
+def _long(df: DataFrame, keys, cols, cell=()) -> DataFrame:
+    """One row per known value, with its column's name."""
     pairs = F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols])
-    long = (
+    return (
         df.select(*keys, *cell, F.explode(pairs).alias("_x"))
         .select(*keys, *cell, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     )
-    counted = long.groupBy(*keys, *cell, "_m", "_v").agg(F.count("*").alias("_c"))
+
+
+def _ranged(df: DataFrame, keys, cols) -> DataFrame:
+    """Counts of distinct values per group with ``_p``, the part of the value order
+    they lie in. Written once, because a part's borders are drawn from a sample."""
+    counted = _long(df, keys, cols).groupBy(*keys, "_m", "_v").agg(F.count("*").alias("_c"))
     return materialize(
         counted.repartitionByRange(*keys, "_m", "_v").withColumn("_p", F.spark_partition_id()), "value-counts"
     )
@@ -172,26 +181,39 @@ def exact_percentiles(df: DataFrame, keys, wanted: dict, extra=()) -> DataFrame:
     return out.select(*keys, *more, *[between(name, c, p) for name, (c, p) in wanted.items()])
 
 
-def window_percentiles(df: DataFrame, key: str, wanted: dict, cell, windows_of, covers: Column) -> DataFrame:
+def _bin(value: Column, edges: Column) -> Column:
+    """How many of BINS - 1 sorted edges lie below a value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(BINS.bit_length() - 1))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.element_at(edges, at + step) < value, at + step).otherwise(at))
+
+
+def window_percentiles(df: DataFrame, key: str, wanted: dict, cell, windows_of) -> DataFrame:
     """Percentiles per (key, window_no) where windows are runs of cells.
 
-    ``windows_of`` copies a table with the columns ``cell`` into the windows of each cell, and
-    ``covers`` tells whether ``window_no`` has the cell of a row. Only counts are copied into
-    windows; of the values, only those of parts that hold a wanted place.
+    ``windows_of`` copies a table with the columns ``cell`` into the windows of each cell. A sketch
+    deals the values of each key into BINS bins of about equally many. Only their counts are copied
+    into windows, and of the values, counted by cell, only those of bins in which a window of the key
+    has a wanted place. The sketch sets what is copied, not what comes out.
     """
-    cell, group = list(cell), [key, "window_no"]
-    rows = _ranged(df, [key], sorted({c for c, _ in wanted.values()}), cell)
-    sizes = windows_of(rows.groupBy(key, *cell, "_m", "_p").agg(F.sum("_c").alias("_n")))
-    sizes = sizes.groupBy(*group, "_m", "_p").agg(F.sum("_n").alias("_n"))
-    parts = _with_skips(sizes, [*group, "_m"])
+    cell, group, column = list(cell), [key, "window_no"], [key, "_m"]
+    rows = _long(df, [key], sorted({c for c, _ in wanted.values()}), cell)
+    edges = rows.groupBy(*column).agg(
+        F.percentile_approx("_v", [i / BINS for i in range(1, BINS)], SKETCH).alias("_edges"))
+    edges = materialize(edges, "edges")  # all readers must see the same ones
+    binned = join_groups(rows, F.broadcast(edges), column).withColumn("_p", _bin(F.col("_v"), F.col("_edges"))).drop("_edges")
+    sizes = windows_of(binned.groupBy(key, *cell, "_m", "_p").agg(F.count("*").alias("_n")))
+    parts = _with_skips(sizes.groupBy(*group, "_m", "_p").agg(F.sum("_n").alias("_n")), [*group, "_m"])
     hit = reduce(lambda a, b: a | b, [
         (F.col("_m") == c) & (place >= F.col("_skip")) & (place < F.col("_skip") + F.col("_n"))
         for _, c, _, low, high in _positions(wanted) for place in (low, high)
     ])
-    needed = parts.where(hit).drop("_n")
-    near = join_groups(rows, needed, [key, "_m", "_p"], on=covers)
+    needed = materialize(parts.where(hit).drop("_n"), "needed-bins")
+    some = needed.groupBy(*column).agg(F.collect_set("_p").alias("_hits"))
+    near = join_groups(binned, F.broadcast(some), column).where(F.array_contains("_hits", F.col("_p")))
     part = [*group, "_m", "_p"]
-    values = near.groupBy(*part, "_skip", "_total", "_v").agg(F.sum("_c").alias("_c"))
+    counted = windows_of(near.groupBy(key, *cell, "_m", "_p", "_v").agg(F.count("*").alias("_c")))
+    values = join_groups(counted, needed, part).groupBy(*part, "_skip", "_total", "_v").agg(F.sum("_c").alias("_c"))
     inside = F.sum("_c").over(_up_to(Window.partitionBy(*part).orderBy("_v")))
     return _pick(values.withColumn("_upto", F.col("_skip") + inside), group, wanted)
 

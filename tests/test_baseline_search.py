@@ -93,3 +93,21 @@ def test_manual_period_wins_unless_empty(make, month):
     assert used.count() == inside.sum()
     auto = baseline.baseline_slice(df, cands, dim("2030-01-05"))
     assert auto.where("is_manual").count() == 0 and auto.count() == cands.where("rank = 1").first().n_rows
+
+
+def test_few_values_are_copied_into_windows(make, month, monkeypatch):
+    copied, windows_of = [], baseline._windows_of
+
+    def counted(df, cfg):
+        if "_v" in df.columns:
+            copied.append(df.count())
+        return windows_of(df, cfg)
+
+    monkeypatch.setattr(baseline, "_windows_of", counted)
+    got = baseline.window_stability(make(month)).orderBy("start_date").toPandas()
+    np.testing.assert_allclose(got.accOA_median, [w[2] for w in loop(month)], atol=1e-6)
+    assert 0 < sum(copied) < 0.4 * 2 * len(month)
+    copied.clear()
+    tied = month.assign(accOA=(month.accOA * 5).round(), Total_vRMS=month.Total_vRMS.where(month.index % 3 > 0))
+    got = baseline.window_stability(make(tied)).orderBy("start_date").toPandas()
+    np.testing.assert_allclose(got.accOA_median, [w[2] for w in loop(tied)], atol=1e-6)
