@@ -44,8 +44,8 @@ class Settings:
     constant_sigma: float = 1e-10
 
     # --- execution knobs ----------------------------------------------------
-    range_parts: int = 0            # parts of a table in row order; 0: as many as the session shuffles into
-    block_rows: int = 200_000       # rows of one machine in one rolling-window task
+    range_parts: int = 0            # parts of a table in row order; 0: four for each core
+    block_rows: int = 200_000       # without effect: rolling frames run over the same parts
 
 
 DEFAULTS = Settings()

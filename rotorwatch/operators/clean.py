@@ -46,7 +46,7 @@ def filter_running(
         return df.where(by_vibration) if "Total_vRMS" in df.columns else df
     metered = df.where(F.col(current).isNotNull()).select(key, F.lit(True).alias("_metered")).distinct()
     on = F.when(F.col("_metered"), F.col(current) > cfg.current_on).otherwise(by_vibration)
-    return df.join(metered, key, "left").where(on).select(*df.columns)
+    return df.join(F.broadcast(metered), key, "left").where(on).select(*df.columns)
 
 
 def filter_running_hybrid(

@@ -33,7 +33,7 @@ def baseline_average_score(
 
 def bin_range_check(scored: DataFrame, model: DataFrame, key="device_id") -> DataFrame:
     """Range of the load column in the scored rows against the trained edges."""
-    rows = scored.drop("bin_col").join(model_by_machine(model, key).select(key, "bin_col", "edges"), key)
+    rows = scored.drop("bin_col").join(F.broadcast(model_by_machine(model, key).select(key, "bin_col", "edges")), key)
     v = _chosen_value(scored.drop("bin_col"))
     return (
         rows.where(F.col("edges").isNotNull())

@@ -49,7 +49,7 @@ def role_tags(tag_dim: DataFrame) -> DataFrame:
 def outer_join_daily(counters: DataFrame, tags: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """One row per device and day that any of its counters reports, one column
     per role. Increments are taken on each tag's own clock before days are joined."""
-    used = counters.drop("device_id").join(tags, "tagname")
+    used = counters.drop("device_id").join(F.broadcast(tags), "tagname")
     return (
         counter_daily_sum(used, ("device_id", "role", "tagname"), cfg=cfg)
         .groupBy("device_id", "date")

@@ -21,7 +21,7 @@ def map_devices(df: DataFrame, device_dim: DataFrame) -> DataFrame:
     """Add tag, machine and model group; the machine defaults to the device name."""
     dim = one_per_device(device_dim).select("devicename", "tagname", "machine_id", "model_group")
     return (
-        df.join(dim, "devicename", "left")
+        df.join(F.broadcast(dim), "devicename", "left")
         .withColumn("machine_id", F.coalesce("machine_id", "devicename"))
         .withColumn("model_group", F.coalesce("model_group", F.lit("")))
     )
@@ -30,7 +30,7 @@ def map_devices(df: DataFrame, device_dim: DataFrame) -> DataFrame:
 def semi_join_tags(long: DataFrame, tag_dim: DataFrame, device: str | None = None) -> DataFrame:
     """Telemetry rows whose tag belongs to the mapping (of one device)."""
     dim = tag_dim if device is None else tag_dim.where(F.col("device_id") == device)
-    return long.join(dim.select("tagname").distinct(), "tagname", "left_semi")
+    return long.join(F.broadcast(dim.select("tagname").distinct()), "tagname", "left_semi")
 
 
 def anti_join_tags(long: DataFrame, tag_dim: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def asof_current(
 ) -> DataFrame:
     """Vibration rows with ``current_A`` of the device's own current tag."""
     tags = one_per_device(device_dim).select("devicename", "tagname")
-    rows = vib.join(tags, "devicename", "left")
+    rows = vib.join(F.broadcast(tags), "devicename", "left")
     right = current.select("tagname", "datetime", "row_id", F.col("value").alias("current_A"))
     out = asof_nearest(rows, right, ["tagname"], ["current_A"], tolerance_s, right_order="row_id", cfg=cfg)
     return out.select(*vib.columns, "current_A")

@@ -55,7 +55,7 @@ def _chosen_value(df: DataFrame, name="bin_col") -> Column:
 
 
 def with_bin_value(df: DataFrame, choice: DataFrame, key="device_id") -> DataFrame:
-    return df.join(choice, key, "left").withColumn("bin_value", _chosen_value(df))
+    return df.join(F.broadcast(choice), key, "left").withColumn("bin_value", _chosen_value(df))
 
 
 def quantile_bins(
@@ -75,7 +75,7 @@ def quantile_bins(
         for q in range(1, cfg.n_bins + 1)
     })
     labelled = df.where(F.col(value).isNotNull()).join(
-        edges.select(key, *[f"_edges{q}" for q in range(1, cfg.n_bins + 1)]), key
+        F.broadcast(edges.select(key, *[f"_edges{q}" for q in range(1, cfg.n_bins + 1)])), key
     )
     counts = labelled.groupBy(key).agg(*[
         F.count_if(load_bin(value, f"_edges{q}") == b).alias(f"_n{q}_{b}")
@@ -157,7 +157,7 @@ def label_baseline(
     """Baseline rows with their load column, bin edges and bin number."""
     rows = with_bin_value(df, resolve_bin_column(df, candidates, key), key)
     edges = quantile_bins(rows, key=key, cfg=cfg)
-    return rows.join(edges, key, "left").withColumn("bin_id", load_bin("bin_value", "edges"))
+    return rows.join(F.broadcast(edges), key, "left").withColumn("bin_id", load_bin("bin_value", "edges"))
 
 
 def train_model(
@@ -176,12 +176,12 @@ def train_model(
     moments = materialize(
         fit_bin_moments(labelled, features, keys, ("bin_col", "edges"), cfg), "moments"
     )
-    dist = labelled.join(moments.select(*keys, "mean", "cov_inv"), keys).select(
+    dist = labelled.join(F.broadcast(moments.select(*keys, "mean", "cov_inv")), keys).select(
         *keys, mahalanobis(features, "mean", "cov_inv").alias("distance")
     )
     lam = calibrate_lambda(dist, keys, cfg=cfg)
     quality = (
-        dist.join(lam.select(*keys, "lambda"), keys)
+        dist.join(F.broadcast(lam.select(*keys, "lambda")), keys)
         .groupBy(*keys).agg(F.avg(score_from_distance("distance", "lambda")).alias("avg_score"))
     )
     return (
@@ -213,7 +213,7 @@ def model_by_machine(model: DataFrame, key="device_id") -> DataFrame:
 def bin_params_fallback(df: DataFrame, model: DataFrame, key="device_id") -> DataFrame:
     """Attach ``load_bin`` and the parameters of that bin, or of the last trained
     bin where it was not trained. Machines without a model drop out."""
-    rows = df.join(model_by_machine(model, key), key)
+    rows = df.join(F.broadcast(model_by_machine(model, key)), key)
     rows = rows.withColumn("load_bin", load_bin(_chosen_value(df), "edges"))
     return rows.withColumn("_p", F.coalesce(F.try_element_at("_bins", F.col("load_bin")), "_last"))
 

@@ -24,23 +24,32 @@ def _sorted_struct(cols) -> Column:
     return F.struct(*[F.col(c) for c in cols])
 
 
-def in_parts(df: DataFrame, keys, order, cfg: Settings = DEFAULTS) -> DataFrame:
-    """``df`` with ``_part``, its place in equally large ranges of (keys, order).
+def in_parts(df: DataFrame, keys, order, cfg: Settings = DEFAULTS, numbered=False) -> DataFrame:
+    """``df`` with ``_part``, its place in equally large ranges of (keys, order); if ``numbered``,
+    with ``_row``, which counts the rows of a part in their order.
 
     Written once: the borders are drawn from a sample, and all readers must see the same ones.
     Columns that repeat may stand in both lists.
     """
     by = list(dict.fromkeys([*keys, *order]))
-    dealt = df.repartitionByRange(*([cfg.range_parts] if cfg.range_parts else []), *by)
+    # Several parts for each core, so that tasks which take parts by hash get about equally many rows.
+    dealt = df.repartitionByRange(cfg.range_parts or 4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+    if numbered:  # a part is one task, whose ids are consecutive
+        dealt = dealt.sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
     return materialize(dealt.withColumn("_part", F.spark_partition_id()), "in-order")
 
 
 def over_borders(parts: DataFrame, rows: DataFrame, keys, aggs, carried) -> DataFrame:
     """Join rows with what the other parts of their machine hand over: ``aggs`` per part, and
     ``carried(window)`` over the parts in order."""
-    per_part = parts.groupBy(*keys, "_part").agg(*aggs)
+    return _with_borders(rows, parts.groupBy(*keys, "_part").agg(*aggs), keys, carried)
+
+
+def _with_borders(rows: DataFrame, per_part: DataFrame, keys, carried) -> DataFrame:
     along = Window.partitionBy(*keys).orderBy("_part")
-    return join_groups(rows, per_part.select(*keys, "_part", *carried(along)), [*keys, "_part"], "left")
+    # As many rows as machines and parts together; rows of the series stay where they are.
+    borders = F.broadcast(per_part.select(*keys, "_part", *carried(along)))
+    return join_groups(rows, borders, [*keys, "_part"], "left")
 
 
 def with_position(df: DataFrame, keys, order=TIME_ORDER, name="pos", cfg: Settings = DEFAULTS) -> DataFrame:
@@ -97,19 +106,14 @@ def _fill_parts(cols, order):
     return aggs, carried
 
 
-def _with_fill(parts: DataFrame, keys, cols, order, extra_aggs=(), extra_carried=lambda w: []):
+def _with_fill(parts: DataFrame, keys, cols, order):
     """Rows plus ``_fill_c``: the latest non-null value up to the row, or the
     machine's first non-null value where there is none yet."""
     in_part = Window.partitionBy(*keys, "_part").orderBy(*order)
     so_far = in_part.rowsBetween(Window.unboundedPreceding, 0)
-    rows = parts.withColumns({
-        "_rn": F.row_number().over(in_part),
-        **{f"_near_{c}": F.last(c, ignorenulls=True).over(so_far) for c in cols},
-    })
+    rows = parts.withColumns({f"_near_{c}": F.last(c, ignorenulls=True).over(so_far) for c in cols})
     aggs, carried = _fill_parts(cols, order)
-    out = over_borders(
-        parts, rows, keys, [*aggs, *extra_aggs], lambda w: [*carried(w), *extra_carried(w)]
-    )
+    out = over_borders(parts, rows, keys, aggs, carried)
     return out.withColumns({f"_fill_{c}": F.coalesce(f"_near_{c}", f"_fill_{c}") for c in cols}) if cols else out
 
 
@@ -146,26 +150,49 @@ def rolling_median(
     """
     keys, cols = list(keys), list(cols)
     before, after = rows // 2, (rows - 1) // 2
-    numbered = _with_fill(
-        in_parts(df, keys, order, cfg), keys, cols if fill else [], order,
-        [F.count("*").alias("_n")],
-        lambda w: [
-            (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_skip")
-        ],
-    ).withColumn("_pos", F.col("_skip") + F.col("_rn") - 1)
-
-    # A row is copied into the neighbouring block when a row there can reach it.
-    block = lambda p: F.floor(p / F.lit(cfg.block_rows))
-    pos = F.col("_pos")
-    spread = numbered.withColumns({
-        "_home": block(pos),
-        "_block": F.explode(F.sequence(block(F.greatest(pos - after, F.lit(0))), block(pos + before))),
-    })
-    frame = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(-before, after)
-    reach = spread.withColumns({f"_near_{c}": F.collect_list(c).over(frame) for c in cols})
-    out = reach.where(F.col("_block") == F.col("_home")).withColumns(
-        {f"_mid_{c}": _middle(F.col(f"_near_{c}")) for c in cols}
-    )
+    parts = in_parts(df, keys, order, cfg, numbered=True)
+    group, place = [*keys, "_part"], F.col("_row")
+    fills, fill_carried = _fill_parts(cols if fill else [], ["_row"])
+    ends = parts.groupBy(*group).agg(F.min("_row").alias("_first"), F.max("_row").alias("_end"), *fills)
+    # The rows that a frame of a neighbouring part can reach: a few per machine and part.
+    near = join_groups(
+        parts.select(*group, "_row", *cols), F.broadcast(ends.select(*group, "_first", "_end")), group
+    ).withColumns({"_head": place < F.col("_first") + after, "_tail": place > F.col("_end") - before})
+    row = _sorted_struct(["_row", *cols])
+    edges = near.where("_head OR _tail").groupBy(*group).agg(*[
+        F.sort_array(F.collect_list(F.when(F.col(side), row))).alias(f"{side}s") for side in ("_head", "_tail")])
+    per_part = join_groups(ends, edges, group, "left")
+
+    def carried(w):
+        """The rows before a part and those after it, in order. Each part has at least one."""
+        def rows_of(side, n, low, high):
+            lists = F.flatten(F.collect_list(side).over(w.rowsBetween(low, high))) if n else F.array()
+            return lists.alias("_before" if low < 0 else "_after")
+
+        return ["_first", "_end", *fill_carried(w), rows_of("_tails", before, -before, -1), rows_of("_heads", after, 1, after)]
+
+    in_part = Window.partitionBy(*group).orderBy("_row")
+    frame, so_far = in_part.rowsBetween(-before, after), in_part.rowsBetween(Window.unboundedPreceding, 0)
+    out = _with_borders(
+        parts.withColumns({
+            **{f"_near_{c}": F.collect_list(c).over(frame) for c in cols},
+            **{f"_last_{c}": F.last(c, ignorenulls=True).over(so_far) for c in (cols if fill else [])},
+        }), per_part, keys, carried)
+    # How many rows of the frame lie before the part, and how many after it.
+    lack, more = before - (place - F.col("_first")), after - (F.col("_end") - place)
+
+    def values(c):
+        sides = [F.col(f"_near_{c}")]
+        if before:
+            sides.append(F.when(lack > 0, F.slice(F.reverse("_before"), 1, lack.cast("int"))[c]))
+        if after:
+            sides.append(F.when(more > 0, F.slice("_after", 1, more.cast("int"))[c]))
+        return F.concat(sides[0], *[F.coalesce(F.array_compact(s), F.array()) for s in sides[1:]])
+
+    out = out.withColumns({f"_mid_{c}": _middle(values(c)) for c in cols})
     keep = [c for c in df.columns if suffix or c not in cols]
-    value = (lambda c: F.coalesce(f"_mid_{c}", f"_fill_{c}")) if fill else (lambda c: F.col(f"_mid_{c}"))
+
+    def value(c):
+        return F.coalesce(f"_mid_{c}", f"_last_{c}", f"_fill_{c}") if fill else F.col(f"_mid_{c}")
+
     return out.select(*keep, *[value(c).alias(c + suffix) for c in cols])

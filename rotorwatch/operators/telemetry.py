@@ -13,7 +13,7 @@ from rotorwatch.operators.series import TIME_ORDER, with_previous
 def map_tags(long: DataFrame, tag_dim: DataFrame) -> DataFrame:
     """Attach device and variable of each tag; unmapped tags drop out."""
     dim = tag_dim.select("tagname", "variable_type", "device_id")
-    return long.drop("device_id", "variable_type").join(dim, "tagname")
+    return long.drop("device_id", "variable_type").join(F.broadcast(dim), "tagname")
 
 
 def variable_types(tag_dim: DataFrame) -> list[str]:

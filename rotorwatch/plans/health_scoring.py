@@ -45,7 +45,8 @@ def clean_rows(
     aligned = materialize(aligned_rows(vib, current, device_dim, tolerance_s, cfg), "aligned")
     rows = smooth_features(filter_running(aligned, cfg=cfg), cfg=cfg)
     if telemetry is not None and tag_dim is not None:
-        rows = asof_scada_wide(rows, pivot_scada(telemetry, tag_dim), tolerance_s, cfg)
+        # Its rows are dealt by range, which reads them twice: once for the borders.
+        rows = asof_scada_wide(materialize(rows, "smooth"), pivot_scada(telemetry, tag_dim), tolerance_s, cfg)
     return rows
 
 

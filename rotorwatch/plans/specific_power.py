@@ -27,7 +27,7 @@ class EnergyReport(NamedTuple):
 
 def energy_gaps(counters: DataFrame, tag_dim: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Gaps of the counters in use, each tag on its own clock."""
-    used = counters.drop("device_id").join(role_tags(tag_dim), "tagname")
+    used = counters.drop("device_id").join(F.broadcast(role_tags(tag_dim)), "tagname")
     return detect_gaps(used, ("device_id", "role", "tagname"), cfg=cfg).select(
         "device_id", F.col("role").alias("tag"), "gap_start", "gap_end", "gap_hours"
     )

@@ -140,3 +140,31 @@ def test_single_bin_without_load_column(make, rows):
 def test_latest_score_and_last_alert(make, frame):
     p = frame(health_score=[90.0, 70.0, np.nan], alert_level=["Normal", "Warning", "Unknown"])
     assert tuple(diagnosis.latest_score(make(p)).first()) == ("P1_M1", 70.0, "Unknown")
+
+
+def test_rows_are_not_dealt_by_machine(spark, make, rows, frame):
+    """A table with one row per machine goes to the rows, whatever size Spark expects of it."""
+    from rotorwatch.operators import baseline, clean, mapping
+    from rotorwatch.session import materialize
+
+    df = make(rows)
+    trained = materialize(model.train_model(df), "model")
+    devices = make(pd.DataFrame({"devicename": ["P1"], "tagname": ["T"], "machine_id": ["P1"], "model_group": ["A"], "row_no": [1],
+                                 "train_start": [pd.Timestamp("2024-01-01")], "train_end": [pd.Timestamp("2024-02-01")]}))
+    best = df.groupBy("device_id").agg(F.min("datetime").alias("start_date"), F.max("datetime").alias("end_date"), F.lit(1).alias("rank"))
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        for out in (
+            model.score_rows(df, trained), model.with_bin_value(df, model.resolve_bin_column(df)), baseline.baseline_slice(df, best, devices),
+            baseline.sliding_windows(df), clean.filter_running(df.withColumn("current_A", F.lit(2.0))),
+            mapping.map_devices(df, devices), diagnosis.bin_range_check(model.score_rows(df, trained), trained),
+        ):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in plan.splitlines() if "Join" in line]
+            assert any("BroadcastHashJoin" in line for line in joins)
+            # Two tables of a row per machine may still meet by a sort.
+            assert not any("SortMergeJoin" in line and ("Inner" in line or "LeftOuter" in line) for line in joins), joins
+    finally:
+        spark.conf.set(limit, before)

@@ -116,3 +116,22 @@ def test_source_is_read_once(make, data):
         assert len(out.inputFiles()) >= 1 and plan.count("partitionBy") == 0
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert windows and all("_part" in line for line in windows)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 4, 7])
+def test_frames_reach_over_parts_of_few_rows(make, rows):
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"k": rng.choice(list("ab"), 60), "datetime": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(60), unit="h"),
+                      "row_id": np.arange(60), "x": rng.random(60).round(2), "y": rng.random(60)})
+    p.loc[rng.random(60) < 0.4, "x"] = np.nan
+    df = make(p)
+    for fill in (True, False):
+        got = series.rolling_median(df, ["k"], ["x", "y"], rows, fill=fill, cfg=Settings(range_parts=40))
+        for c in "xy":
+            mid = p.groupby("k")[c].transform(lambda v: v.rolling(rows, center=True, min_periods=1).median())
+            check(got, p.assign(**{c: mid.groupby(p.k).transform(lambda v: v.ffill().bfill()) if fill else mid}), c)
+
+
+def test_frames_copy_no_row(make, data):
+    plan = series.rolling_median(make(data), ["k"], ["x"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(x" in plan and "Generate" not in plan
