@@ -9,6 +9,7 @@ from queries.registry import STEPS, query, r
 from queries.rows import rounded
 from queries.stages import scoring
 from rotorwatch.operators import baseline, diagnosis, fleet, model
+from rotorwatch.session import materialize
 
 STEPS["spans"] = """
 SELECT device_id, min(datetime) AS t0, max(datetime) AS t1,
@@ -239,9 +240,9 @@ def lam(spark, sf):
     run = scoring(spark, sf)
     labelled = model.label_baseline(run.baseline)
     feats = list(model.DEFAULTS.features)
-    d = labelled.join(run.model.select("device_id", "bin_id", "mean", "cov_inv"), ["device_id", "bin_id"]).select(
+    d = labelled.join(F.broadcast(run.model.select("device_id", "bin_id", "mean", "cov_inv")), ["device_id", "bin_id"]).select(
         "device_id", "bin_id", model.mahalanobis(feats, "mean", "cov_inv").alias("distance"))
-    return rounded(model.calibrate_lambda(d), "p95", "lambda")
+    return rounded(model.calibrate_lambda(materialize(d, "distances")), "p95", "lambda")
 
 
 @query("mahalanobis_distance", f"SELECT row_id, device_id, {r('distance', 5)} AS distance FROM score_rows")
